@@ -265,6 +265,10 @@ _QUERIES = {
         SELECT farm_id, crop_prob FROM points p LEFT JOIN cells c ON c.row = p.crow AND c.col = p.ccol""",
     "masked_distance": """
         SELECT farm_id, dist_to_defo_m_masked FROM distances JOIN shares USING (farm_id) WHERE defo_pct IS NOT NULL""",
+    "both_distances": "SELECT farm_id, dist_to_defo_m, dist_to_defo_m_masked FROM distances",
+    "context_features": """
+        SELECT farm_id, defo_m2, total_m2, defo_pct, nb_defo_pct_20, nb_defo_pct_50, nb_defo_pct_100, dist_to_defo_m,
+               dist_to_defo_m_masked FROM shares JOIN distances USING (farm_id)""",
     "masking_report": """
         SELECT count(*)::BIGINT AS n_affected, count(*) FILTER (WHERE dist_to_defo_m = 0)::BIGINT AS n_was_zero,
                count(*) FILTER (WHERE dist_to_defo_m = 0 AND dist_to_defo_m_masked > 0)::BIGINT AS n_now_positive,

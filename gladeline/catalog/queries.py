@@ -23,6 +23,7 @@ from gladeline.plans import modelling as mo
 from gladeline.plans import reports as rp
 from gladeline.plans import screening as sc
 from gladeline.plans import serving as sv
+from gladeline.session import cut_lineage
 from gladeline.sources.files import read_boundary
 from gladeline.sources.store import apply_scores, check_keys, latest_assessments, register_views, with_defaults
 
@@ -58,17 +59,18 @@ def _distance(spark, d) -> DataFrame:
     return px.distance_feature(s.points(spark, d), s.loss(spark, d), 10.0, s.CAP_M)
 
 
-def _masked(spark, d) -> DataFrame:
-    return px.distance_feature(
-        s.points(spark, d), s.loss(spark, d), 10.0, s.CAP_M, s.farm_runs(spark, d), "dist_to_defo_m_masked"
-    )
-
-
 def _frame(spark, d, masked: bool = False) -> DataFrame:
-    tables = [s.shares(spark, d).select("farm_id", *RINGS), _distance(spark, d)]
+    """The model frame. The raster is read several times, so the mosaic is written once."""
+    raster = cut_lineage(s.cells(spark, d))
+    shares = cut_lineage(s.shares(spark, d, raster))
+    points, loss = s.points(spark, d), s.loss(spark, d, raster)
     if masked:
-        tables.append(_masked(spark, d))
-    return sc.model_frame(s.farms(spark, d), s.assessments(spark, d), *tables)
+        distances = px.both_distances(points, loss, s.farm_runs(spark, d), 10.0, s.CAP_M)
+    else:
+        distances = px.distance_feature(points, loss, 10.0, s.CAP_M)
+    return sc.model_frame(
+        s.farms(spark, d), s.assessments(spark, d, shares), shares.select("farm_id", *RINGS), distances
+    )
 
 
 def _sizes(spark, d) -> DataFrame:
@@ -360,14 +362,29 @@ def sample_at(spark, d):
 
 @query
 def masked_distance(spark, d):
-    return px.masked_distance(
-        s.shares(spark, d), _distance(spark, d), s.points(spark, d), s.loss(spark, d), s.farm_runs(spark, d), 10.0, s.CAP_M
-    )
+    raster = cut_lineage(s.cells(spark, d))
+    points, loss = s.points(spark, d), s.loss(spark, d, raster)
+    original = px.distance_feature(points, loss, 10.0, s.CAP_M)
+    return px.masked_distance(s.shares(spark, d, raster), original, points, loss, s.farm_runs(spark, d), 10.0, s.CAP_M)
+
+
+@query
+def both_distances(spark, d):
+    return px.both_distances(s.points(spark, d), s.loss(spark, d), s.farm_runs(spark, d), 10.0, s.CAP_M)
+
+
+@query
+def context_features(spark, d):
+    return sc.context_features(s.farm_runs(spark, d), cut_lineage(s.cells(spark, d)), s.GRID, s.RADII_M, s.CAP_M)
 
 
 @query
 def masking_report(spark, d):
-    return rp.masking_report(s.shares(spark, d), _distance(spark, d), _masked(spark, d))
+    raster = cut_lineage(s.cells(spark, d))
+    pairs = cut_lineage(px.both_distances(s.points(spark, d), s.loss(spark, d, raster), s.farm_runs(spark, d), 10.0, s.CAP_M))
+    return rp.masking_report(
+        s.shares(spark, d, raster), pairs.drop("dist_to_defo_m_masked"), pairs.drop("dist_to_defo_m")
+    )
 
 
 # ---- relational and serving ----------------------------------------------------------------------------
@@ -458,7 +475,7 @@ def count_where(spark, d):
 
 @query
 def column_delta(spark, d):
-    pairs = _distance(spark, d).join(_masked(spark, d), "farm_id")
+    pairs = px.both_distances(s.points(spark, d), s.loss(spark, d), s.farm_runs(spark, d), 10.0, s.CAP_M)
     return rp.column_delta(pairs, "dist_to_defo_m", "dist_to_defo_m_masked").withColumn(
         "max_abs_delta", F.round("max_abs_delta", 1)
     )
@@ -677,8 +694,7 @@ def regression_scores(spark, d):
 
 @query
 def cross_val_predict(spark, d):
-    folded = mo.stratified_folds(_frame(spark, d), "risk_binary", CHECK_SETTINGS.folds)
-    folded = mo.cut_lineage(folded)
+    folded = cut_lineage(mo.stratified_folds(_frame(spark, d), "risk_binary", CHECK_SETTINGS.folds))
     return mo.cross_val_predict(folded, "RF", SETS["E: dist + nb multi"], mo.BINARY, CHECK_SETTINGS)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gladeline.operators.footprints import centroid
+from gladeline.operators.joins import join_to_unique
 from gladeline.operators.ordering import number_rows
 from gladeline.operators.words import cells_to_words, merge_pieces, words_to_pieces
 from gladeline.session import cut_lineage
@@ -25,10 +26,8 @@ def component_runs(mask: DataFrame) -> DataFrame:
     """
     pieces = cut_lineage(_numbered_pieces(mask))
     stars = _collapse(_touching(pieces))
-    return (
-        pieces.join(stars, F.col("id") == F.col("a"), "left")
-        .select(F.coalesce("b", "id").alias("comp_id"), "row", "col_lo", "col_hi")
-    )
+    home = stars.select(F.col("a").alias("id"), F.col("b").alias("home"))
+    return pieces.join(home, "id", "left").select(F.coalesce("home", "id").alias("comp_id"), "row", "col_lo", "col_hi")
 
 
 def connected_components(mask: DataFrame) -> DataFrame:
@@ -93,12 +92,14 @@ def _fingerprint(edges: DataFrame) -> tuple:
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     lowest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.filter(F.col("b") > F.col("a")).join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    higher = join_to_unique(both.filter(F.col("b") > F.col("a")), lowest, ["a"])
+    return higher.select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     lowest = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(lowest, "a").filter(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    others = join_to_unique(edges, lowest, ["a"]).filter(F.col("b") != F.col("m"))
+    moved = others.select(F.col("b").alias("a"), F.col("m").alias("b"))
     kept = lowest.select("a", F.col("m").alias("b"))
     return moved.unionByName(kept).distinct()
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gladeline.functions.geojson import RINGS_TYPE
 from gladeline.grid import without
 from gladeline.operators.words import merge_pieces, runs_to_words, words_to_pieces
 
@@ -46,21 +46,27 @@ def polygonize(runs: DataFrame, id_col: str = "farm_id") -> DataFrame:
     """``id, rings ARRAY<ARRAY<STRUCT<x, y>>>`` in cell corners.
 
     Outer rings run with the inside on the right, holes the other way; parts that touch only at a corner get
-    rings of their own. One call of the stitcher holds the outline of one parcel, which is also the value it
-    returns, and the size filter on parcels bounds it.
+    rings of their own. One array holds the outline of one parcel, which is also the value returned for it,
+    and the size filter on parcels bounds it. The stitcher takes Arrow batches of many parcels.
     """
-    edges = outline_edges(runs, id_col)
+    sides = outline_edges(runs, id_col).groupBy(id_col).agg(
+        F.flatten(F.collect_list(F.array("x1", "y1", "x2", "y2"))).alias("sides")
+    )
+    rings = F.transform(
+        stitch_rings("sides"),
+        lambda ring: F.transform(ring, lambda p: F.struct(F.get(p, 0).alias("x"), F.get(p, 1).alias("y"))),
+    )
+    return sides.select(id_col, rings.alias("rings"))
 
-    def stitch(pdf: pd.DataFrame) -> pd.DataFrame:
-        rings = _stitch(zip(pdf["x1"], pdf["y1"], pdf["x2"], pdf["y2"], strict=True))
-        value = [[{"x": float(x), "y": float(y)} for x, y in ring] for ring in rings]
-        return pd.DataFrame({id_col: [pdf[id_col].iloc[0]], "rings": [value]})
 
-    return edges.groupBy(id_col).applyInPandas(stitch, f"{id_col} bigint, rings {RINGS_TYPE}")
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.ArrayType(T.DoubleType()))))
+def stitch_rings(sides: pd.Series) -> pd.Series:
+    """Closed rings from outline sides given as flat ``x1, y1, x2, y2`` numbers."""
+    return sides.map(lambda flat: _stitch(flat.reshape(-1, 4).tolist()))
 
 
 def _stitch(edges) -> list[list[tuple[int, int]]]:
-    """Closed rings from unit-direction pieces; at a corner shared by two rings, turn right."""
+    """Closed rings from straight sides; at a corner shared by two rings, turn right."""
     ways: dict[tuple, list[tuple]] = {}
     for x1, y1, x2, y2 in edges:
         ways.setdefault((x1, y1), []).append((x2, y2))

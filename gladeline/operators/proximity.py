@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from gladeline.functions.numbers import cap_distance
 from gladeline.grid import BLOCK_SHIFT, bit_range, block_of, has_bit, low_bits, one_bit, without
+from gladeline.operators.joins import join_to_unique
 
 BLOCK = 1 << BLOCK_SHIFT  # cells along a block
 SHEET = BLOCK * BLOCK  # cells along a sheet
@@ -47,6 +48,15 @@ def own_blocks(farm_runs: DataFrame) -> DataFrame:
     return pieces.groupBy("farm_id", block_of(F.col("row")).alias("brow"), "bcol").agg(F.bit_or(bits).alias("own"))
 
 
+def own_loss_blocks(farm_runs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Blocks where a parcel has loss of its own, ``(farm_id, brow, bcol, left)``: the loss left without it."""
+    return (
+        join_to_unique(own_blocks(farm_runs), blocks, ["brow", "bcol"])
+        .filter(F.col("bits").bitwiseAND(F.col("own")) != 0)
+        .select("farm_id", "brow", "bcol", without(F.col("bits"), F.col("own")).alias("left"))
+    )
+
+
 def _place(row: Column, col: Column) -> Column:
     """Bit position of a cell in its block, or of a block in its sheet."""
     return low_bits(row, BLOCK_SHIFT) * BLOCK + low_bits(col, BLOCK_SHIFT)
@@ -102,14 +112,12 @@ def nearest_loss(
     probes = at.withColumn("srow", F.explode(span(F.col("prow")))).withColumn("scol", F.explode(span(F.col("pcol"))))
     sheet_row, sheet_col = F.shiftleft(F.col("srow"), 2 * BLOCK_SHIFT), F.shiftleft(F.col("scol"), 2 * BLOCK_SHIFT)
     probes = probes.filter(_nearest2(sheet_row, sheet_col, SHEET) <= cap2)
-    found = probes.join(_sheets(blocks), ["srow", "scol"])
+    found = join_to_unique(probes, _sheets(blocks), ["srow", "scol"])
 
     touched = None
     if exclude is not None:
         # own blocks with loss in them, and what is left of that loss without the parcel's own cells
-        touched = own_blocks(exclude).join(blocks, ["brow", "bcol"]).select(
-            "farm_id", "brow", "bcol", without(F.col("bits"), F.col("own")).alias("left")
-        )
+        touched = own_loss_blocks(exclude, blocks)
         emptied = (
             touched.filter(F.col("left") == 0)
             .groupBy("farm_id", block_of(F.col("brow")).alias("srow"), block_of(F.col("bcol")).alias("scol"))
@@ -135,7 +143,7 @@ def nearest_loss(
         )
     )
     block_row, block_col = F.shiftleft(F.col("brow"), BLOCK_SHIFT), F.shiftleft(F.col("bcol"), BLOCK_SHIFT)
-    open_blocks = _prune(in_sheet, block_row, block_col, BLOCK, cap2).join(blocks, ["brow", "bcol"])
+    open_blocks = join_to_unique(_prune(in_sheet, block_row, block_col, BLOCK, cap2), blocks, ["brow", "bcol"])
     if touched is not None:
         open_blocks = (
             open_blocks.join(touched, ["farm_id", "brow", "bcol"], "left")
@@ -165,10 +173,29 @@ def distance_feature(
     return found.select("farm_id", cap_distance(F.col("dist_px"), cell_m, cap_m).alias(name))
 
 
+def both_distances(
+    points: DataFrame, loss: DataFrame, farm_runs: DataFrame, cell_m: float = 10.0, cap_m: float = 2560.0
+) -> DataFrame:
+    """``farm_id, dist_to_defo_m, dist_to_defo_m_masked``.
+
+    Only parcels with loss of their own are measured a second time; for the others both distances agree.
+    """
+    plain = distance_feature(points, loss, cell_m, cap_m)
+    affected = own_loss_blocks(farm_runs, loss_blocks(loss)).select("farm_id").distinct()
+    redone = distance_feature(
+        points.join(affected, "farm_id", "left_semi"), loss, cell_m, cap_m,
+        farm_runs.join(affected, "farm_id", "left_semi"), "masked",
+    )
+    return plain.join(redone, "farm_id", "left").select(
+        "farm_id", "dist_to_defo_m", F.coalesce("masked", "dist_to_defo_m").alias("dist_to_defo_m_masked")
+    )
+
+
 def sample_at(points: DataFrame, cells: DataFrame, name: str) -> DataFrame:
     """``farm_id, <band>``: the band at the centroid cell, NULL where it is masked."""
     values = cells.select(F.col("row").cast("long").alias("crow"), F.col("col").cast("long").alias("ccol"), name)
-    return points.select("farm_id", "crow", "ccol").join(values, ["crow", "ccol"], "left").select("farm_id", name)
+    at = points.select("farm_id", "crow", "ccol")
+    return join_to_unique(at, values, ["crow", "ccol"], "left").select("farm_id", name)
 
 
 def erase_own(loss: DataFrame, farm_runs: DataFrame, farm_id: int) -> DataFrame:

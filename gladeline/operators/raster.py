@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gladeline.grid import WORD_SHIFT, has_bit, low_bits, word_of
+from gladeline.operators.joins import join_to_unique
 from gladeline.operators.words import runs_to_words
 
 LOSS_SINCE = 21  # loss year 21 = 2021, the first year after the forest map
@@ -45,12 +46,8 @@ def clip(cells: DataFrame, region_runs: DataFrame) -> DataFrame:
     """
     region = runs_to_words(region_runs, []).select("row", "word", F.col("bits").alias("region_bits"))
     inside = has_bit(F.col("region_bits"), low_bits(F.col("col"), WORD_SHIFT))
-    return (
-        cells.withColumn("word", word_of(F.col("col")))
-        .join(region, ["row", "word"])
-        .filter(inside)
-        .select(*cells.columns)
-    )
+    marked = cells.withColumn("word", word_of(F.col("col")))
+    return join_to_unique(marked, region, ["row", "word"]).filter(inside).select(*cells.columns)
 
 
 def clip_box(cells: DataFrame, row_lo: int, row_hi: int, col_lo: int, col_hi: int) -> DataFrame:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gladeline.functions.numbers import share_pct
-from gladeline.grid import WORD_SHIFT, GridSpec, has_bit, low_bits, without, word_of
+from gladeline.grid import GridSpec, without
 from gladeline.operators.footprints import dilate
+from gladeline.operators.joins import join_to_unique
 from gladeline.operators.raster import LOSS_SINCE, is_loss
 from gladeline.operators.words import cells_to_words, runs_to_words
 
@@ -17,31 +18,19 @@ from gladeline.operators.words import cells_to_words, runs_to_words
 def zonal_sum(farm_runs: DataFrame, cells: DataFrame, bands: Sequence[str], id_col: str = "farm_id") -> DataFrame:
     """Sum of any numeric bands per parcel; parcels without valid cells keep a row with NULL sums.
 
-    Each raster word carries its (at most 64) valid cells in an array, so a footprint piece meets exactly one
-    raster row and no cell x parcel pairs are shuffled. A NULL band value counts for no sum but its own.
+    Every footprint cell meets at most one raster cell, so the join has as many rows as the parcels have
+    cells. A NULL band value counts for no sum but its own. For areas of masks, ``loss_shares`` does the same
+    on packed words.
     """
-    packed = (
-        cells.select(
-            F.col("row").cast("long").alias("row"), word_of(F.col("col")).alias("word"),
-            F.struct(low_bits(F.col("col"), WORD_SHIFT).alias("place"), *[F.col(b).cast("double").alias(b) for b in bands])
-            .alias("cell"),
-        )
-        .groupBy("row", "word")
-        .agg(F.collect_list("cell").alias("cells"))
+    own = farm_runs.select(
+        id_col, F.col("row").cast("long").alias("row"),
+        F.explode(F.sequence(F.col("col_lo").cast("long"), F.col("col_hi").cast("long"))).alias("col"),
     )
-    pieces = runs_to_words(farm_runs, [id_col])
-
-    def piece_sum(name: str) -> Column:
-        inside = F.filter("cells", lambda c: has_bit(F.col("bits"), c["place"]) & c[name].isNotNull())
-        total = F.aggregate(inside, F.lit(0.0), lambda acc, c: acc + c[name])
-        return F.when(F.size(inside) > 0, total).alias(name)
-
-    sums = (
-        pieces.join(packed, ["row", "word"])
-        .select(id_col, *[piece_sum(b) for b in bands])
-        .groupBy(id_col)
-        .agg(*[F.sum(b).alias(b) for b in bands])
+    values = cells.select(
+        F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"),
+        *[F.col(b).cast("double").alias(b) for b in bands],
     )
+    sums = join_to_unique(own, values, ["row", "col"]).groupBy(id_col).agg(*[F.sum(b).alias(b) for b in bands])
     return farm_runs.select(id_col).distinct().join(sums, id_col, "left")
 
 
@@ -60,8 +49,7 @@ def loss_shares(
     """Lost and total area of every parcel, and of the ring of each radius, in one pass.
 
     Columns: ``defo_m2, total_m2`` and, per radius in cells, ``defo_m2_<R>, total_m2_<R>``. The raster side of
-    the join has one row per key, so the join never multiplies rows; a word that very many parcels touch is a
-    skewed partition on the parcel side only, which adaptive skew handling splits. Sums combine on the map side.
+    the join has one row per key, so the join never multiplies rows. Sums combine on the map side.
     """
     if radii:
         marks = dilate(farm_runs, radii, id_col)
@@ -75,7 +63,7 @@ def loss_shares(
         lost = F.bit_count(bits.bitwiseAND(F.col("loss")))
         sums.append(F.sum(F.when(valid > 0, lost * area)).alias(f"defo_m2{suffix}"))
         sums.append(F.sum(F.when(valid > 0, valid * area)).alias(f"total_m2{suffix}"))
-    totals = marks.join(raster_words, ["row", "word"]).groupBy(id_col).agg(*sums)
+    totals = join_to_unique(marks, raster_words, ["row", "word"]).groupBy(id_col).agg(*sums)
     return farm_runs.select(id_col).distinct().join(totals, id_col, "left")
 
 

@@ -7,13 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gladeline.functions.geojson import geometry_text
 from gladeline.functions.labels import MEDIAN_AFFECTED_PCT, risk_binary, risk_class
 from gladeline.grid import GridSpec
 from gladeline.operators.components import MAX_PIXELS, MIN_PIXELS, parcels, study_area
 from gladeline.operators.footprints import centroid
 from gladeline.operators.outlines import polygonize
-from gladeline.functions.geojson import geometry_text
-from gladeline.operators.proximity import distance_feature
+from gladeline.operators.proximity import both_distances
 from gladeline.operators.raster import clip_box, is_loss, resample, threshold
 from gladeline.operators.zonal import loss_words, parcel_context, parcel_loss
 from gladeline.sources.store import with_defaults
@@ -62,11 +62,8 @@ def context_features(
     """Own loss, ring shares and both distances per parcel."""
     points = centroid(farm_runs)
     loss = cells.filter(is_loss()).select("row", "col")
-    plain = distance_feature(points, loss, grid.cell_m, cap_m)
-    masked = distance_feature(points, loss, grid.cell_m, cap_m, farm_runs, "dist_to_defo_m_masked")
-    return (
-        parcel_context(farm_runs, loss_words(cells), grid, radii_m).join(plain, "farm_id").join(masked, "farm_id")
-    )
+    distances = both_distances(points, loss, farm_runs, grid.cell_m, cap_m)
+    return parcel_context(farm_runs, loss_words(cells), grid, radii_m).join(distances, "farm_id")
 
 
 def model_frame(

@@ -102,21 +102,24 @@ def farms(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+def shares(spark: SparkSession, sf_dir: str, raster: DataFrame | None = None) -> DataFrame:
     """Own loss and ring shares per parcel."""
-    return parcel_context(farm_runs(spark, sf_dir), loss_words(cells(spark, sf_dir)), GRID, RADII_M)
+    raster = cells(spark, sf_dir) if raster is None else raster
+    return parcel_context(farm_runs(spark, sf_dir), loss_words(raster), GRID, RADII_M)
 
 
-def assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def assessments(spark: SparkSession, sf_dir: str, context: DataFrame | None = None) -> DataFrame:
     """Assessments whose score stands in for a model: the loss share of the widest ring."""
-    return shares(spark, sf_dir).select(
+    context = shares(spark, sf_dir) if context is None else context
+    return context.select(
         "farm_id", "defo_m2", "total_m2", "defo_pct", (F.col("nb_defo_pct_100") / 100.0).alias("risk_score"),
         risk_class(F.col("defo_pct")).alias("risk_class"), F.lit(AS_OF).cast("timestamp").alias("assessed_at"),
     )
 
 
-def loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cells(spark, sf_dir).filter(is_loss()).select("row", "col")
+def loss(spark: SparkSession, sf_dir: str, raster: DataFrame | None = None) -> DataFrame:
+    raster = cells(spark, sf_dir) if raster is None else raster
+    return raster.filter(is_loss()).select("row", "col")
 
 
 def crop_mask(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,9 @@ TABLES = (
 ).split()
 
 
+KINDS = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
 def _plain(v):
     if isinstance(v, float):
         return "nan" if math.isnan(v) else round(v, 9) + 0.0
@@ -48,6 +51,10 @@ def compare(spark, con, name: str, sf_dir: str) -> str:
     columns = [c[0] for c in cur.description]
     if sorted(columns) != sorted(df.columns):
         return f"columns {sorted(df.columns)} vs {sorted(columns)}"
+    kinds = {c[0]: str(c[1]) for c in cur.description}
+    wrong = {c: (t, kinds[c]) for c, t in df.dtypes if KINDS.get(t) != kinds[c]}
+    if wrong:
+        return f"types {wrong}"
     a, b = _bag(df.columns, got), _bag(columns, cur.fetchall())
     if a != b:
         return f"{sum(a.values())} vs {sum(b.values())} rows; {list((a - b).items())[:3]} vs {list((b - a).items())[:3]}"
