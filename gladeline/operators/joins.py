@@ -16,4 +16,4 @@ def join_to_unique(many: DataFrame, unique: DataFrame, keys: Sequence[str], how:
     along with them: both sides are then shuffled for this join, and a hot key is spread over many tasks.
     """
     mix = F.xxhash64(*keys)
-    return many.withColumn("mix", mix).join(unique.withColumn("mix", mix), ["mix", *keys], how).drop("mix")
+    return many.withColumn("__mix", mix).join(unique.withColumn("__mix", mix), ["__mix", *keys], how).drop("__mix")

@@ -17,24 +17,24 @@ def running_sums(df: DataFrame, order: Sequence[Column], sums: dict[str, str]) -
     sample, so both uses below must see the same split); then each partition is summed on its own and
     shifted by the totals of the partitions before it. Only one row per partition is gathered.
     """
-    split = cut_lineage(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
-    totals = split.groupBy("part").agg(*[F.sum(c).alias(f"t_{new}") for new, c in sums.items()])
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    split = cut_lineage(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    totals = split.groupBy("__part").agg(*[F.sum(c).alias(f"__{new}") for new, c in sums.items()])
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        "part", *[F.coalesce(F.sum(f"t_{new}").over(before), F.lit(0)).alias(f"o_{new}") for new in sums]
+        "__part", *[F.coalesce(F.sum(f"__{new}").over(before), F.lit(0)).alias(f"__{new}") for new in sums]
     )
-    in_part = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    in_part = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # one offset row per partition of the shuffle: a few thousand at most
-    joined = split.join(F.broadcast(offsets), "part")
+    joined = split.join(F.broadcast(offsets), "__part")
     return joined.select(
-        *df.columns, *[(F.sum(c).over(in_part) + F.col(f"o_{new}")).alias(new) for new, c in sums.items()]
+        *df.columns, *[(F.sum(c).over(in_part) + F.col(f"__{new}")).alias(new) for new, c in sums.items()]
     )
 
 
 def number_rows(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     """Sequential numbers from 0 in the given total order."""
-    numbered = running_sums(df.withColumn("one", F.lit(1).cast("long")), order, {name: "one"})
-    return numbered.withColumn(name, F.col(name) - F.lit(1)).drop("one")
+    numbered = running_sums(df.withColumn("__one", F.lit(1).cast("long")), order, {name: "__one"})
+    return numbered.withColumn(name, F.col(name) - F.lit(1)).drop("__one")
 
 
 def shuffled_rank(df: DataFrame, group: str, key: str, seed: int, buckets: int = 1 << 14) -> DataFrame:
@@ -44,21 +44,15 @@ def shuffled_rank(df: DataFrame, group: str, key: str, seed: int, buckets: int =
     group that holds nearly all rows is still ranked by many tasks; a small count table per group and bucket
     gives each piece its offset. Depends on keys alone, not on row order or partition count.
     """
-    mixed = shuffle_key(F.col(key), seed)
-    keyed = df.withColumn("mix", mixed).withColumn("bucket", F.floor(F.col("mix") / F.lit((1 << 32) // buckets)))
-    counts = keyed.groupBy(group, "bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy(group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        F.col(group).alias("g"), F.col("bucket").alias("b"),
-        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"),
-    )
-    in_bucket = Window.partitionBy(group, "bucket").orderBy("mix", key)
-    ranked = keyed.withColumn("place", F.row_number().over(in_bucket))
-    return (
-        ranked.join(offsets, F.col(group).eqNullSafe(F.col("g")) & (F.col("bucket") == F.col("b")))
-        .withColumn("rank", (F.col("place") + F.col("offset")).cast("long"))
-        .drop("mix", "bucket", "place", "offset", "g", "b")
-    )
+    mix = shuffle_key(F.col(key), seed)
+    keyed = df.withColumn("__mix", mix).withColumn("__bucket", F.floor(F.col("__mix") / F.lit((1 << 32) // buckets)))
+    counts = keyed.groupBy(F.col(group).alias("__group"), F.col("__bucket").alias("__at")).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy("__group").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__group", "__at", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    in_bucket = Window.partitionBy(group, "__bucket").orderBy("__mix", key)
+    ranked = keyed.withColumn("__place", F.row_number().over(in_bucket))
+    same = F.col(group).eqNullSafe(F.col("__group")) & (F.col("__bucket") == F.col("__at"))
+    return ranked.join(offsets, same).select(*df.columns, (F.col("__place") + F.col("__offset")).cast("long").alias("rank"))
 
 
 def shuffle_key(key: Column, seed: int) -> Column:

@@ -13,7 +13,7 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import ElementwiseProduct, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gladeline.operators.ordering import shuffled_rank
@@ -110,11 +110,13 @@ def lr(settings: Settings, n_feats: int, n_rows: int) -> list:
 
 def balanced_weight(df: DataFrame, label: str) -> DataFrame:
     """Add ``weight = n / (k * n_class)``; unlabelled rows get NULL."""
-    # one row per class
     counts = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n_class"))
-    whole = counts.agg(F.sum("n_class").alias("n"), F.count(F.lit(1)).alias("k"))
-    weights = counts.join(F.broadcast(whole)).select(
-        label, (F.col("n").cast("double") / (F.col("k") * F.col("n_class"))).alias("weight")
+    # one entry per class
+    classes = counts.agg(
+        F.sum("n_class").alias("n"), F.count(F.lit(1)).alias("k"), F.collect_list(F.struct(label, "n_class")).alias("c")
+    )
+    weights = classes.select("n", "k", F.explode("c").alias("c")).select(
+        F.col(f"c.{label}").alias(label), (F.col("n").cast("double") / (F.col("k") * F.col("c.n_class"))).alias("weight")
     )
     return df.join(F.broadcast(weights), label, "left")
 
@@ -176,10 +178,11 @@ def _class_counts(rows: DataFrame, feats: Sequence[str]) -> dict[int, dict[float
     return counts
 
 
-def _together(jobs: Sequence, parallel: int) -> list:
+def _together(spark: SparkSession, jobs: Sequence, parallel: int) -> list:
     """Run independent fits side by side; each is a distributed job of its own."""
+    inherit = inheritable_thread_target(spark)
     with ThreadPool(max(1, min(parallel, len(jobs)))) as pool:
-        return pool.map(lambda job: job(), [inheritable_thread_target(j) for j in jobs])
+        return pool.map(lambda job: job(), [inherit(j) for j in jobs])
 
 
 def cross_val_predict(
@@ -204,7 +207,7 @@ def cross_val_predict(
             return _scored(model, held_out, framing, ["farm_id", F.col(framing.label).alias("label")])
         return job
 
-    parts = _together([one(f) for f in sorted(counts)], settings.parallel)
+    parts = _together(folded.sparkSession, [one(f) for f in sorted(counts)], settings.parallel)
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -238,6 +241,7 @@ def importance_table(
     frame = cut_lineage(frame)
     variants = [(k, name) for k in kinds for name in sets]
     logs = _together(
+        frame.sparkSession,
         [lambda k=k, n=n: importances(fit_all(frame, k, sets[n], BINARY, settings), sets[n]) for k, n in variants],
         settings.parallel,
     )

@@ -38,39 +38,55 @@ def _long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return rows.filter(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
-def quantiles(df: DataFrame, columns: Sequence[str], probs: Mapping[str, float]) -> DataFrame:
-    """Exact quantiles with linear interpolation: one row per column, one column per name in ``probs``.
+def _placed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Distinct values per column with their count ``n`` and running count ``upto``, and the column's totals.
 
-    Values are counted, sorted across tasks with running counts, and the two neighbours of each quantile are
-    picked by a plain aggregate, so no task ever holds all values of a column.
+    The table is read once, counted by value and sorted across tasks with running counts, so no task ever
+    holds all values of a column.
     """
     counts = _long(df, columns).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
     ranked = running_sums(counts, [F.col("column"), F.col("value")], {"seen": "n"})
+    value, n = F.col("value"), F.col("n")
     # one row per summarised column
-    groups = ranked.groupBy("column").agg(F.min(F.col("seen") - F.col("n")).alias("start"), F.sum("n").alias("total"))
-    placed = ranked.join(F.broadcast(groups), "column").withColumn("upto", F.col("seen") - F.col("start"))
-    ends = []
+    groups = ranked.groupBy("column").agg(
+        F.min(F.col("seen") - n).alias("start"), F.sum(n).alias("total"),
+        (F.sum(value * n) / F.sum(n)).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"),
+    )
+    return ranked.join(F.broadcast(groups), "column").withColumn("upto", F.col("seen") - F.col("start"))
+
+
+def _picks(probs: Mapping[str, float]) -> list[Column]:
+    """Aggregates for the two neighbours of each quantile and the weight between them."""
+    picks = []
     for name, p in probs.items():
         at = (F.col("total") - 1) * F.lit(float(p))
-        ends.append(F.min(F.when(F.col("upto") > F.floor(at), F.col("value"))).alias(f"lo_{name}"))
-        ends.append(F.min(F.when(F.col("upto") > F.ceil(at), F.col("value"))).alias(f"hi_{name}"))
-        ends.append(F.max(at - F.floor(at)).alias(f"w_{name}"))
-    picked = placed.groupBy("column").agg(*ends)
-    return picked.select(
-        "column",
-        *[(F.col(f"lo_{n}") + (F.col(f"hi_{n}") - F.col(f"lo_{n}")) * F.col(f"w_{n}")).alias(n) for n in probs],
-    )
+        picks.append(F.min(F.when(F.col("upto") > F.floor(at), F.col("value"))).alias(f"lo_{name}"))
+        picks.append(F.min(F.when(F.col("upto") > F.ceil(at), F.col("value"))).alias(f"hi_{name}"))
+        picks.append(F.max(at - F.floor(at)).alias(f"w_{name}"))
+    return picks
+
+
+def _between(name: str) -> Column:
+    lo, hi, weight = F.col(f"lo_{name}"), F.col(f"hi_{name}"), F.col(f"w_{name}")
+    return (lo + (hi - lo) * weight).alias(name)
+
+
+def quantiles(df: DataFrame, columns: Sequence[str], probs: Mapping[str, float]) -> DataFrame:
+    """Exact quantiles with linear interpolation: one row per column, one column per name in ``probs``."""
+    picked = _placed(df, columns).groupBy("column").agg(*_picks(probs))
+    return picked.select("column", *[_between(name) for name in probs])
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``column, count, mean, std, min, q25, q50, q75, max`` per column; sample deviation, exact quartiles."""
-    value = F.col("value")
-    moments = _long(df, columns).groupBy("column").agg(
-        F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"),
-        F.min(value).alias("min"), F.max(value).alias("max"),
+    probs = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+    gap = F.col("value") - F.col("mean")
+    picked = _placed(df, columns).groupBy("column", "total", "mean", "min", "max").agg(
+        F.sqrt(F.try_divide(F.sum(F.col("n") * gap * gap), F.col("total") - 1)).alias("std"), *_picks(probs)
+    )
+    return picked.select(
+        "column", F.col("total").alias("count"), "mean", "std", "min", *[_between(name) for name in probs], "max"
     )
-    quartiles = quantiles(df, columns, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
-    return moments.join(quartiles, "column").select("column", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def affected_quantiles(assessments: DataFrame) -> DataFrame:
@@ -117,8 +133,6 @@ def masking_report(shares: DataFrame, original: DataFrame, masked: DataFrame) ->
         F.count(F.lit(1)).alias("n_affected"), F.count_if(before == 0).alias("n_was_zero"),
         F.count_if((before == 0) & (after > 0)).alias("n_now_positive"),
     )
-    # the median is one row of a global aggregate
-    median = quantiles(pairs, ["delta"], {"median_delta": 0.5}).agg(
-        F.bround(F.max("median_delta"), 1).alias("median_delta")
-    )
-    return counts.join(F.broadcast(median))
+    median = quantiles(pairs, ["delta"], {"median_delta": 0.5}).select(F.bround("median_delta", 1).alias("median_delta"))
+    both = counts.unionByName(median, allowMissingColumns=True)
+    return both.agg(*[F.first(c, ignorenulls=True).alias(c) for c in both.columns])

@@ -142,8 +142,10 @@ def stats_document(farms: DataFrame, assessments: DataFrame) -> DataFrame:
         lambda e: F.struct(*[e[c].alias(c) for c in
                              ("risk_class", "count", "avg_risk_score", "min_risk_score", "max_risk_score")]),
     )
-    # both sides are single rows of global aggregates
-    return totals(farms).join(F.broadcast(by_class.select(listed.alias("by_risk_class"), "unclassified")))
+    both = totals(farms).unionByName(
+        by_class.select(listed.alias("by_risk_class"), "unclassified"), allowMissingColumns=True
+    )
+    return both.agg(*[F.first(c, ignorenulls=True).alias(c) for c in both.columns])
 
 
 def class_tiles(assessments: DataFrame) -> DataFrame:
