@@ -196,6 +196,9 @@ _QUERIES = {
         SELECT farm_id, CASE WHEN defo_pct > 0 THEN 0.9 ELSE risk_score END::DOUBLE AS risk_score,
                CASE WHEN defo_pct > 0 THEN 'HIGH' ELSE risk_class END AS risk_class FROM assessments""",
     "union_parts": "SELECT farm_id, defo_pct FROM assessments WHERE defo_pct IS NOT NULL",
+    "geojson_files": "SELECT farm_id, area_ha, n_cells, 'cocoa' AS commodity, geometry FROM farms",
+    "feature_files": "SELECT farm_id, defo_m2, total_m2, defo_pct FROM assessments",
+    "stored_tables": "SELECT farm_id, defo_pct, risk_score, risk_class FROM assessments",
     # ---- raster
     "threshold": 'SELECT "row", col, crop_prob FROM cells WHERE crop_prob > 0.3',
     "mosaic": 'SELECT "row", col, crop_prob, forest2020, lossyear FROM cells',

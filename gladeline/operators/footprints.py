@@ -8,39 +8,73 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gladeline.grid import GridSpec, run_bits_in_word, without
-from gladeline.operators.words import explode_words, words_to_runs
+from gladeline.operators.words import explode_words, runs_to_words, words_to_pieces, words_to_runs
+
+
+BAND_SHIFT = 10  # 1024 raster rows per band
+
+
+def _sources(farm_runs: DataFrame, id_col: str) -> DataFrame:
+    """Run pieces that can shape a buffer: ``(id, side, src_row, col_lo, col_hi)``.
+
+    Seen from a row above, a cell counts only if the cell over it is not in the footprint, since that one would
+    be closer; the same holds below. So the upper outline (``side`` -1) reaches up, the lower outline (1)
+    reaches down, and whole rows (0) only widen in place.
+    """
+    words = runs_to_words(farm_runs, [id_col])
+    down = Window.partitionBy(id_col, "word").orderBy("row")
+    zero = F.lit(0).cast("long")
+    bits, row = F.col("bits"), F.col("row")
+    over = F.when(F.lag("row").over(down) == row - 1, F.lag("bits").over(down)).otherwise(zero)
+    under = F.when(F.lead("row").over(down) == row + 1, F.lead("bits").over(down)).otherwise(zero)
+
+    def part(side: int, mask):
+        return F.struct(F.lit(side).alias("side"), mask.alias("bits"))
+
+    parts = F.array(part(-1, without(bits, F.col("over"))), part(0, bits), part(1, without(bits, F.col("under"))))
+    sided = (
+        words.withColumns({"over": over, "under": under})
+        .select(id_col, "row", "word", F.explode(parts).alias("part"))
+        .select(id_col, "row", "word", "part.side", "part.bits")
+    )
+    return words_to_pieces(sided, [id_col, "side"]).withColumnRenamed("row", "src_row")
 
 
 def dilate(farm_runs: DataFrame, radii: Sequence[int], id_col: str = "farm_id") -> DataFrame:
     """Footprint and its buffers as words: ``(id, row, word, own, b_<R>...)``, radii in cells.
 
-    A cell belongs to ``b_R`` when some own cell is within ``R`` cells of it, centre to centre. Every run is
-    widened row by row up to the largest radius; all radii share that one pass, and ``bit_or`` merges the
-    overlaps before the shuffle, since the runs of a parcel lie together.
+    A cell belongs to ``b_R`` when some own cell is within ``R`` cells of it, centre to centre. Outline pieces
+    are widened row by row up to the largest radius, all radii in one pass, and ``bit_or`` merges the overlaps.
+
+    Pieces are shuffled before they are widened, not after: one piece becomes hundreds of words. They are
+    placed by parcel and band of target rows (a piece near a border goes to both bands), so the merge needs no
+    second shuffle and even a parcel with a large part of all runs is spread over its bands.
     """
+    if min(radii) < 1:
+        raise ValueError("a buffer radius must be at least one cell")
     widest = max(radii)
-    dr = F.col("dr")
+    dr, word, band, src, side = F.col("dr"), F.col("word"), F.col("band"), F.col("src_row"), F.col("side")
     square = {r: F.lit(r * r) - dr * dr for r in radii}
     half = {r: F.floor(F.sqrt(square[r].cast("double"))).cast("long") for r in radii}
-    lo, hi = F.col("col_lo").cast("long"), F.col("col_hi").cast("long")
-    word = F.col("word")
     zero = F.lit(0).cast("long")
-    spread = farm_runs.select(
-        id_col, F.col("row").cast("long").alias("src_row"), lo.alias("col_lo"), hi.alias("col_hi"),
-        F.explode(F.sequence(F.lit(-widest), F.lit(widest))).alias("dr"),
-    ).withColumn("reach", half[widest])
+    # a fixed number of partitions: the work after this shuffle is far larger than its bytes suggest
+    parts = int(farm_runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    reach_up = F.when(side < 0, F.lit(-widest)).otherwise(side)
+    reach_down = F.when(side > 0, F.lit(widest)).otherwise(side)
+    bands = F.sequence(F.shiftright(src + reach_up, BAND_SHIFT), F.shiftright(src + reach_down, BAND_SHIFT))
+    placed = _sources(farm_runs, id_col).withColumn("band", F.explode(bands)).repartition(parts, id_col, "band")
+    first = F.greatest(reach_up, F.shiftleft(band, BAND_SHIFT) - src)
+    last = F.least(reach_down, F.shiftleft(band, BAND_SHIFT) + F.lit((1 << BAND_SHIFT) - 1) - src)
+    spread = placed.withColumn("dr", F.explode(F.sequence(first, last))).withColumn("reach", half[widest])
     pieces = explode_words(spread, F.col("col_lo") - F.col("reach"), F.col("col_hi") + F.col("reach"))
-    buffers = [
-        F.bit_or(
-            F.when(square[r] >= F.lit(0), run_bits_in_word(F.col("col_lo") - half[r], F.col("col_hi") + half[r], word))
-            .otherwise(zero)
-        ).alias(f"b_{r}")
-        for r in radii
-    ]
-    own = F.bit_or(
-        F.when(dr == F.lit(0), run_bits_in_word(F.col("col_lo"), F.col("col_hi"), word)).otherwise(zero)
-    ).alias("own")
-    return pieces.groupBy(id_col, (F.col("src_row") + dr).alias("row"), "word").agg(own, *buffers)
+
+    def marks(condition, widen):
+        bits = run_bits_in_word(F.col("col_lo") - widen, F.col("col_hi") + widen, word)
+        return F.bit_or(F.when(condition, bits).otherwise(zero))
+
+    own = marks(dr == F.lit(0), F.lit(0)).alias("own")
+    buffers = [marks(square[r] >= F.lit(0), half[r]).alias(f"b_{r}") for r in radii]
+    return pieces.groupBy(id_col, "band", (src + dr).alias("row"), "word").agg(own, *buffers).drop("band")
 
 
 def buffer_runs(farm_runs: DataFrame, r_cells: int, id_col: str = "farm_id") -> DataFrame:

@@ -14,6 +14,10 @@ def join_to_unique(many: DataFrame, unique: DataFrame, keys: Sequence[str], how:
     Adaptive execution can split a skewed partition only when a plain shuffle feeds the join. A side that was
     just aggregated by the same keys brings its own partitioning and has none, so a hash of the keys joins
     along with them: both sides are then shuffled for this join, and a hot key is spread over many tasks.
+
+    The sides often come out of an ``explode``, whose size Spark takes to be that of its input. The hint keeps
+    it from broadcasting a side that only looks small.
     """
     mix = F.xxhash64(*keys)
-    return many.withColumn("__mix", mix).join(unique.withColumn("__mix", mix), ["__mix", *keys], how).drop("__mix")
+    left, right = many.withColumn("__mix", mix), unique.withColumn("__mix", mix)
+    return left.hint("merge").join(right, ["__mix", *keys], how).drop("__mix")
