@@ -47,9 +47,12 @@ def scratch_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder once and go on from the files.
+    """Write ``df`` as Parquet beside the checkpoints once and go on from the files.
 
-    The files survive the loss of an executor, so what follows never reruns the plan before it.
+    The files survive the loss of an executor, so what follows never reruns the plan before it. Unlike a
+    checkpoint, a file scan brings no constraints of the old plan along; in a loop those would pile up and slow
+    the planner more with every round.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = scratch_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
