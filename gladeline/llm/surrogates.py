@@ -136,12 +136,16 @@ def _extra(digest: Column, n: Column, like: Column) -> Column:
     return F.array_join(F.transform(places, lambda i: _letter(digest, i + 100, F.lower(like))), "")
 
 
+def _luhn(number: Column) -> Column:
+    return F.call_function("luhn_check", number)
+
+
 def _number(value: Column, digest: Column) -> Column:
     """Other digits after the first; Luhn-valid if the value is."""
     drawn = F.concat(F.substr(value, F.lit(1), F.lit(1)), F.substr(_alike(value, digest), F.lit(2)))
     head = F.substr(drawn, F.lit(1), F.length(drawn) - 1)
     checked = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(head, d.cast("string")))
-    return F.when(F.luhn_check(value), F.element_at(F.filter(checked, F.luhn_check), 1)).otherwise(drawn)
+    return F.when(_luhn(value), F.element_at(F.filter(checked, _luhn), 1)).otherwise(drawn)
 
 
 def _name(value: Column, gender: str | None, digest: Column, longer: Column) -> Column:
