@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gladeline.llm.tables import arrow_texts, byte_table, mapped, pieces, split_words, spread
+from gladeline.llm.tables import arrow_texts, byte_table, filtered, mapped, pieces, split_words, spread
 
 WINDOW = 13
 #: Text and number of texts after which a shard is closed.
@@ -363,4 +363,4 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> D
                 yield row.filter(pa.array(good[at : at + row.num_rows]))
                 at += row.num_rows
 
-    return docs.mapInArrow(keep, docs.schema)
+    return filtered(docs, keep)

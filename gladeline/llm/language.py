@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gladeline.llm.tables import arrow_texts, byte_table, mapped, pieces, raw_bytes
+from gladeline.llm.tables import arrow_texts, byte_table, filtered, mapped, pieces, raw_bytes
 
 UNKNOWN = "und"
 #: Trigrams fall into so many buckets; the last one takes what is no trigram of one text.
@@ -177,4 +177,4 @@ def keep_known(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 langs, _, _ = sent.value.predict(arrow_texts(piece.column("text")))
                 yield piece.filter(pa.array([x != UNKNOWN for x in langs], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return filtered(docs, keep)

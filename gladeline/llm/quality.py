@@ -81,6 +81,7 @@ def statistics(texts: pa.Array) -> np.ndarray:
     first = np.flatnonzero(np.concatenate([[True], line_of[1:] != line_of[:-1]])) if len(raw) else np.zeros(0, np.int64)
     place = np.arange(len(raw)) - np.repeat(first, np.diff(np.append(first, len(raw))))
     mixed = (raw.astype(np.uint64) + np.uint64(1)) * (place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1))
+    mixed[raw == 10] = 0  # the last line of a text has no line feed
     sums = np.add.reduceat(mixed, first) if len(first) else np.zeros(0, np.uint64)
     line_text = text[first] if len(first) else np.zeros(0, np.int64)
     different = _different(line_text, np.unique(sums, return_inverse=True)[1].astype(np.int64), n)

@@ -35,6 +35,15 @@ def held_out(key: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
+def filtered(docs: DataFrame, keep) -> DataFrame:
+    """The rows that ``keep``, a generator over Arrow batches, lets through; it may use the column ``text``.
+
+    All other columns get plain names on the way, as names with dots do not pass.
+    """
+    plain = docs.toDF(*[c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)])
+    return plain.mapInArrow(keep, plain.schema).toDF(*docs.columns)
+
+
 def arrow_texts(column: pa.Array) -> pa.Array:
     """Texts as one string array without nulls; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -28,6 +28,7 @@ from gladeline.operators.ordering import number_rows
 
 KINDS = ("string", "integer", "number", "boolean", "object", "array")
 _KEY = ["conv_id", "call_id"]
+_MEMBERS = "try_cast(try_parse_json(arguments) AS map<string, variant>)"  # null unless the text is a JSON object
 _REFERENCE = r"^\$ref:(.+)$"
 
 
@@ -57,7 +58,7 @@ def first_calls(calls: DataFrame) -> DataFrame:
 
 def argument_rows(calls: DataFrame) -> DataFrame:
     """``conv_id, call_id, tool, parameter, kind, reference``: a row per argument of well-formed calls."""
-    members = F.expr("try_cast(try_parse_json(arguments) AS map<string, variant>)")
+    members = F.expr(_MEMBERS)
     rows = calls.select(*_KEY, "tool", F.explode(members).alias("parameter", "value"))
     text = F.expr("try_variant_get(value, '$', 'string')")
     found = F.when(json_kind(F.col("value")) == "string", F.regexp_extract(text, _REFERENCE, 1))
@@ -70,7 +71,7 @@ def validate(calls: DataFrame, arguments: DataFrame, schemas: DataFrame) -> Data
     schema = schemas.filter(F.col("tool").isNotNull() & F.col("parameter").isNotNull()).groupBy("tool", "parameter").agg(
         F.min("kind").alias("wanted"), F.max("required").alias("required")
     )
-    broken = F.expr("try_cast(try_parse_json(arguments) AS map<string, variant>)").isNull()
+    broken = F.expr(_MEMBERS).isNull()
     malformed = calls.filter(broken).select(*_KEY, F.lit("malformed").alias("error"))
     repeated = calls.filter("repeated").select(*_KEY, F.lit("repeated_id").alias("error"))
     tools = schema.select("tool").distinct().withColumn("known", F.lit(True))
@@ -133,7 +134,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     circular = F.when(F.col("level").isNull(), F.array(F.lit("circular"))).otherwise(F.array().cast("array<string>"))
     record = F.to_json(
         F.struct(
-            F.expr("try_parse_json(arguments)").alias("arguments"), F.col("call_id"), F.col("answer.content").alias("result"), F.col("tool")
+            F.expr(f"CASE WHEN {_MEMBERS} IS NOT NULL THEN try_parse_json(arguments) END").alias("arguments"), F.col("call_id"), F.col("answer.content").alias("result"), F.col("tool")
         ), {"ignoreNullFields": "false"}
     )
     rows = whole.select(
