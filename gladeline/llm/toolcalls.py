@@ -124,7 +124,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     dangling = references.join(there, ["conv_id", "needed"], "left_anti").select(*_KEY, F.concat(F.lit("unknown_reference:"), "needed").alias("error"))
     level = levels(known, needs)
     errors = validate(known, arguments, schemas).unionByName(dangling)
-    errors = errors.groupBy(*_KEY).agg(F.sort_array(F.collect_set("error")).alias("errors"))
+    errors = stored(errors.groupBy(*_KEY).agg(F.sort_array(F.collect_set("error")).alias("errors")))
     answer = F.min(F.struct(F.col("turn").cast("long").alias("turn"), F.col("content").cast("string").alias("content")))
     first = results.filter(F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()).groupBy(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("call_id").cast("string").alias("call_id")
@@ -142,7 +142,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
         F.col("answer.turn").alias("result_turn"), record.alias("json"),
     )
     order = [F.col("conv_id"), F.col("level").isNull(), F.col("level"), F.col("turn"), F.col("call_id")]
-    placed = stored(number_rows(rows, order, "__at"))
+    placed = stored(number_rows(stored(rows), order, "__at"))
     begins = placed.groupBy("conv_id").agg(F.min("__at").alias("__begin"))
     return join_to_unique(placed, begins, ["conv_id"]).select(
         *_KEY, (F.col("__at") - F.col("__begin")).alias("position"), "level", "tool", (F.size("errors") == 0).alias("valid"),
