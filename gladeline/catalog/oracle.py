@@ -178,7 +178,9 @@ _QUERIES = {
         SELECT "row", count(*)::BIGINT AS n_scenes, max(col) AS max_col FROM scenes
         WHERE acquired_at >= TIMESTAMP '1997-01-01' AND acquired_at < TIMESTAMP '1998-01-01' GROUP BY "row" """,
     "band": 'SELECT "row", col, lossyear FROM cells WHERE lossyear IS NOT NULL',
-    "table_query": "SELECT farm_id, area_ha, defo_pct FROM parcel_view",
+    "table_query": """
+        SELECT 'cocoa' AS commodity, count(*) AS n_farms, sum(area_ha) AS area_ha,
+               count(*) FILTER (WHERE defo_pct > 0) AS n_affected FROM parcel_view""",
     "column_defaults": "SELECT farm_id, 'cocoa' AS commodity, '2026-01-01' AS assessed_on FROM farms",
     "key_violations": """
         SELECT problem, farm_id, n_rows FROM (
@@ -201,6 +203,12 @@ _QUERIES = {
     "stored_tables": "SELECT farm_id, defo_pct, risk_score, risk_class FROM assessments",
     # ---- raster
     "threshold": 'SELECT "row", col, crop_prob FROM cells WHERE crop_prob > 0.3',
+    "mosaic_masked": """
+        SELECT "row", col, (list(crop_prob ORDER BY l_shipdate DESC, l_orderkey DESC, l_partkey DESC, l_suppkey DESC,
+                 l_linenumber DESC, l_extendedprice DESC) FILTER (WHERE l_linenumber % 3 <> 0))[1] AS crop_prob,
+               (list(lossyear ORDER BY l_shipdate DESC, l_orderkey DESC, l_partkey DESC, l_suppkey DESC,
+                 l_linenumber DESC, l_extendedprice DESC))[1] AS lossyear
+        FROM scenes GROUP BY "row", col""",
     "mosaic": 'SELECT "row", col, crop_prob, forest2020, lossyear FROM cells',
     "clip": """
         SELECT "row", col, crop_prob FROM cells c WHERE EXISTS (
@@ -284,7 +292,7 @@ _QUERIES = {
     "list_farms": """
         SELECT farm_id, area_ha, defo_pct, risk_score, risk_class FROM parcel_view
         WHERE risk_class = 'LOW' AND risk_score >= 0.001 ORDER BY farm_id LIMIT 100 OFFSET 50""",
-    "list_farms_all": """
+    "list_farms_first_page": """
         SELECT farm_id, area_ha, defo_pct, risk_score, risk_class FROM parcel_view ORDER BY farm_id LIMIT 100""",
     "get_farm": "SELECT * FROM parcel_view WHERE farm_id = 42",
     "projection": "SELECT farm_id AS parcel, geometry AS geom FROM farms",

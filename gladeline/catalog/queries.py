@@ -46,8 +46,10 @@ MASKING_SETS = {
     name: [f.replace("_200", "_20").replace("_500", "_50").replace("_1000", "_100") for f in feats]
     for name, feats in mo.MASKING_SETS.items()
 }
-# smaller forests than the library's defaults, so the whole catalogue runs in minutes on one machine
-CHECK_SETTINGS = mo.Settings(trees=20, depth=8, max_iter=100, folds=3)
+# the library's own settings: 300 trees, depth 30, 1000 iterations, five folds
+SETTINGS = mo.Settings()
+# the grids fit up to 120 models; with the library's settings that is over half an hour on one machine, see README
+GRID_SETTINGS = mo.Settings(trees=20, depth=8, max_iter=100, folds=3)
 
 
 def query(fn: Query) -> Query:
@@ -111,9 +113,9 @@ def band(spark, d):
 @query
 def table_query(spark, d):
     register_views(s.farms(spark, d), s.assessments(spark, d))
-    return spark.sql(
-        "SELECT f.farm_id, f.area_ha, a.defo_pct FROM farms f JOIN assessments a ON f.farm_id = a.farm_id"
-    )
+    return spark.sql("""
+        SELECT commodity, count(*) AS n_farms, sum(area_ha) AS area_ha, count_if(defo_pct > 0) AS n_affected
+        FROM farms INNER JOIN assessments USING (farm_id) GROUP BY commodity""")
 
 
 @query
@@ -191,6 +193,14 @@ def threshold(spark, d):
     return ra.threshold(s.cells(spark, d), "crop_prob", s.CROP_T).select("row", "col", "crop_prob")
 
 
+@query
+def mosaic_masked(spark, d):
+    """Scenes that are masked in one band: the last valid value counts, per band."""
+    seen = F.when(F.col("l_linenumber") % 3 != 0, F.col("crop_prob"))
+    masked = s.scenes(spark, d).withColumn("crop_prob", seen)
+    return ra.mosaic(masked, s.ORDER, ["crop_prob", "lossyear"]).select("row", "col", "crop_prob", F.col("lossyear").cast("long").alias("lossyear"))
+
+
 @query
 def mosaic(spark, d):
     return s.cells(spark, d).select(
@@ -446,13 +456,14 @@ def list_farms(spark, d):
 
 
 @query
-def list_farms_all(spark, d):
+def list_farms_first_page(spark, d):
     return sv.list_farms(_view(spark, d)).select("farm_id", "area_ha", "defo_pct", "risk_score", "risk_class")
 
 
 @query
 def get_farm(spark, d):
-    return sv.get_farm(_view(spark, d), 42)
+    dated = sv.parcels_view(s.farms(spark, d), s.assessments(spark, d), dated=True)
+    return sv.get_farm(dated, 42).drop("assessed_at")
 
 
 @query
@@ -717,47 +728,47 @@ def leakage_audit(spark, d):
 @query
 def forest_scores(spark, d):
     """A forest on every feature, scoring every parcel."""
-    return mo.score_all(_frame(spark, d), "RF", SETS["F: E + area"], mo.BINARY, CHECK_SETTINGS).select("farm_id", "risk_score")
+    return mo.score_all(_frame(spark, d), "RF", SETS["F: E + area"], mo.BINARY, SETTINGS).select("farm_id", "risk_score")
 
 
 @query
 def regression_scores(spark, d):
-    return mo.score_all(_frame(spark, d), "LR", SETS["F: E + area"], mo.BINARY, CHECK_SETTINGS).select("farm_id", "risk_score")
+    return mo.score_all(_frame(spark, d), "LR", SETS["F: E + area"], mo.BINARY, SETTINGS).select("farm_id", "risk_score")
 
 
 @query
 def cross_val_predict(spark, d):
-    folded = cut_lineage(mo.stratified_folds(_frame(spark, d), "risk_binary", CHECK_SETTINGS.folds))
-    return mo.cross_val_predict(folded, "RF", SETS["E: dist + nb multi"], mo.BINARY, CHECK_SETTINGS)
+    folded = cut_lineage(mo.stratified_folds(_frame(spark, d), "risk_binary", SETTINGS.folds))
+    return mo.cross_val_predict(folded, "RF", SETS["E: dist + nb multi"], mo.BINARY, SETTINGS)
 
 
 @query
 def out_of_fold_scores(spark, d):
-    return mo.out_of_fold_scores(_frame(spark, d), "LR", SETS["F: E + area"], CHECK_SETTINGS)
+    return mo.out_of_fold_scores(_frame(spark, d), "LR", SETS["F: E + area"], SETTINGS)
 
 
 @query
 def importance_table(spark, d):
-    return mo.importance_table(_frame(spark, d), SETS, CHECK_SETTINGS)
+    return mo.importance_table(_frame(spark, d), SETS, GRID_SETTINGS)
 
 
 @query
 def compare_models(spark, d):
-    return mo.compare_models(_frame(spark, d), CHECK_SETTINGS, SETS)
+    return mo.compare_models(_frame(spark, d), GRID_SETTINGS, SETS)
 
 
 @query
 def sensitivity(spark, d):
-    return mo.sensitivity(_frame(spark, d, masked=True), CHECK_SETTINGS, MASKING_SETS)
+    return mo.sensitivity(_frame(spark, d, masked=True), GRID_SETTINGS, MASKING_SETS)
 
 
 @query
 def score_v2(spark, d):
-    _, scores = mo.score_v2(_frame(spark, d), ["area_ha", "nb_defo_pct_20"], CHECK_SETTINGS)
+    _, scores = mo.score_v2(_frame(spark, d), ["area_ha", "nb_defo_pct_20"], SETTINGS)
     return scores
 
 
 @query
 def score_v2_report(spark, d):
-    report, _ = mo.score_v2(_frame(spark, d), ["area_ha", "nb_defo_pct_20"], CHECK_SETTINGS)
+    report, _ = mo.score_v2(_frame(spark, d), ["area_ha", "nb_defo_pct_20"], SETTINGS)
     return report

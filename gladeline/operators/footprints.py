@@ -12,6 +12,7 @@ from gladeline.operators.words import explode_words, runs_to_words, words_to_pie
 
 
 BAND_SHIFT = 10  # 1024 raster rows per band
+TILE_SHIFT = 10  # columns of a tile: whole words, wider than most parcels
 
 
 def _sources(farm_runs: DataFrame, id_col: str) -> DataFrame:
@@ -47,8 +48,8 @@ def dilate(farm_runs: DataFrame, radii: Sequence[int], id_col: str = "farm_id")
     are widened row by row up to the largest radius, all radii in one pass, and ``bit_or`` merges the overlaps.
 
     Pieces are shuffled before they are widened, not after: one piece becomes hundreds of words. They are
-    placed by parcel and band of target rows (a piece near a border goes to both bands), so the merge needs no
-    second shuffle and even a parcel with a large part of all runs is spread over its bands.
+    placed by parcel, band of target rows and tile of target columns (a piece near a border goes to both sides),
+    so the merge needs no second shuffle and a parcel of any height or width is spread over its tiles.
     """
     if min(radii) < 1:
         raise ValueError("a buffer radius must be at least one cell")
@@ -62,11 +63,18 @@ def dilate(farm_runs: DataFrame, radii: Sequence[int], id_col: str = "farm_id")
     reach_up = F.when(side < 0, F.lit(-widest)).otherwise(side)
     reach_down = F.when(side > 0, F.lit(widest)).otherwise(side)
     bands = F.sequence(F.shiftright(src + reach_up, BAND_SHIFT), F.shiftright(src + reach_down, BAND_SHIFT))
-    placed = _sources(farm_runs, id_col).withColumn("band", F.explode(bands)).repartition(parts, id_col, "band")
+    tiles = F.sequence(F.shiftright(F.col("col_lo") - widest, TILE_SHIFT), F.shiftright(F.col("col_hi") + widest, TILE_SHIFT))
+    placed = _sources(farm_runs, id_col).withColumn("band", F.explode(bands)).withColumn("tile", F.explode(tiles))
+    placed = placed.repartition(parts, id_col, "band", "tile")
     first = F.greatest(reach_up, F.shiftleft(band, BAND_SHIFT) - src)
     last = F.least(reach_down, F.shiftleft(band, BAND_SHIFT) + F.lit((1 << BAND_SHIFT) - 1) - src)
     spread = placed.withColumn("dr", F.explode(F.sequence(first, last))).withColumn("reach", half[widest])
-    pieces = explode_words(spread, F.col("col_lo") - F.col("reach"), F.col("col_hi") + F.col("reach"))
+    tile_start = F.shiftleft(F.col("tile"), TILE_SHIFT)
+    spread = spread.withColumns({
+        "first_col": F.greatest(F.col("col_lo") - F.col("reach"), tile_start),
+        "last_col": F.least(F.col("col_hi") + F.col("reach"), tile_start + F.lit((1 << TILE_SHIFT) - 1)),
+    })
+    pieces = explode_words(spread.filter("first_col <= last_col"), F.col("first_col"), F.col("last_col"))
 
     def marks(condition, widen):
         bits = run_bits_in_word(F.col("col_lo") - widen, F.col("col_hi") + widen, word)
@@ -74,7 +82,7 @@ def dilate(farm_runs: DataFrame, radii: Sequence[int], id_col: str = "farm_id")
 
     own = marks(dr == F.lit(0), F.lit(0)).alias("own")
     buffers = [marks(square[r] >= F.lit(0), half[r]).alias(f"b_{r}") for r in radii]
-    return pieces.groupBy(id_col, "band", (src + dr).alias("row"), "word").agg(own, *buffers).drop("band")
+    return pieces.groupBy(id_col, "band", "tile", (src + dr).alias("row"), "word").agg(own, *buffers).drop("band", "tile")
 
 
 def buffer_runs(farm_runs: DataFrame, r_cells: int, id_col: str = "farm_id") -> DataFrame:

@@ -31,12 +31,13 @@ def threshold(cells: DataFrame, name: str, t: float) -> DataFrame:
 
 
 def mosaic(scenes: DataFrame, order_cols: Sequence[str], bands: Sequence[str]) -> DataFrame:
-    """One value per cell: the scene that is last by ``order_cols`` wins.
+    """One value per cell and band: the last valid value by ``order_cols`` wins; a masked one hides nothing.
 
     An aggregate rather than a ranked window, so a cell that many scenes cover shrinks before the shuffle.
     """
-    last = F.max_by(F.struct(*bands), F.struct(*order_cols)).alias("last")
-    return scenes.groupBy("row", "col").agg(last).select("row", "col", *[F.col(f"last.{b}").alias(b) for b in bands])
+    order = F.struct(*order_cols)
+    last = [F.max_by(b, F.when(F.col(b).isNotNull(), order)).alias(b) for b in bands]
+    return scenes.groupBy("row", "col").agg(*last)
 
 
 def clip(cells: DataFrame, region_runs: DataFrame) -> DataFrame:

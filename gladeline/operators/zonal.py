@@ -15,9 +15,18 @@ from gladeline.operators.raster import LOSS_SINCE, is_loss
 from gladeline.operators.words import cells_to_words, runs_to_words
 
 
-def zonal_sum(farm_runs: DataFrame, cells: DataFrame, bands: Sequence[str], id_col: str = "farm_id") -> DataFrame:
+def _all_ids(farm_runs: DataFrame, parcels: DataFrame | None, id_col: str) -> DataFrame:
+    """The ids that get a row: those of the parcel table, which may hold parcels too small to own a cell."""
+    return (farm_runs if parcels is None else parcels).select(id_col).distinct()
+
+
+def zonal_sum(
+    farm_runs: DataFrame, cells: DataFrame, bands: Sequence[str], id_col: str = "farm_id", parcels: DataFrame | None = None
+) -> DataFrame:
     """Sum of any numeric bands per parcel; parcels without valid cells keep a row with NULL sums.
 
+    ``parcels`` names the parcels; without it only those that own a cell are known.
+
     Every footprint cell meets at most one raster cell, so the join has as many rows as the parcels have
     cells. A NULL band value counts for no sum but its own. For areas of masks, ``loss_shares`` does the same
     on packed words.
@@ -31,7 +40,7 @@ def zonal_sum(farm_runs: DataFrame, cells: DataFrame, bands: Sequence[str], id_c
         *[F.col(b).cast("double").alias(b) for b in bands],
     )
     sums = join_to_unique(own, values, ["row", "col"]).groupBy(id_col).agg(*[F.sum(b).alias(b) for b in bands])
-    return farm_runs.select(id_col).distinct().join(sums, id_col, "left")
+    return _all_ids(farm_runs, parcels, id_col).join(sums, id_col, "left")
 
 
 def loss_words(cells: DataFrame, since: int = LOSS_SINCE) -> DataFrame:
@@ -45,6 +54,7 @@ def loss_shares(
     grid: GridSpec,
     radii: Sequence[int] = (),
     id_col: str = "farm_id",
+    parcels: DataFrame | None = None,
 ) -> DataFrame:
     """Lost and total area of every parcel, and of the ring of each radius, in one pass.
 
@@ -64,12 +74,12 @@ def loss_shares(
         sums.append(F.sum(F.when(valid > 0, lost * area)).alias(f"defo_m2{suffix}"))
         sums.append(F.sum(F.when(valid > 0, valid * area)).alias(f"total_m2{suffix}"))
     totals = join_to_unique(marks, raster_words, ["row", "word"]).groupBy(id_col).agg(*sums)
-    return farm_runs.select(id_col).distinct().join(totals, id_col, "left")
+    return _all_ids(farm_runs, parcels, id_col).join(totals, id_col, "left")
 
 
-def parcel_loss(farm_runs: DataFrame, raster_words: DataFrame, grid: GridSpec) -> DataFrame:
-    """``farm_id, defo_m2, total_m2, defo_pct``."""
-    sums = loss_shares(farm_runs, raster_words, grid)
+def parcel_loss(farm_runs: DataFrame, raster_words: DataFrame, grid: GridSpec, parcels: DataFrame | None = None) -> DataFrame:
+    """``farm_id, defo_m2, total_m2, defo_pct``; a row per row id of ``parcels``, if given."""
+    sums = loss_shares(farm_runs, raster_words, grid, parcels=parcels)
     return sums.withColumn("defo_pct", share_pct(F.col("defo_m2"), F.col("total_m2")))
 
 

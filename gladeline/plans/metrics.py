@@ -33,7 +33,7 @@ def ranking_metrics(df: DataFrame, score: str, label: str, by: Sequence[str] = (
         F.min(F.col("all_pos") - F.col("pos")).alias("pos0"), F.min(F.col("all_neg") - F.col("neg")).alias("neg0"),
         F.sum("pos").alias("p"), F.sum("neg").alias("n"),
     )
-    placed = curve.join(F.broadcast(starts), names).select(
+    placed = curve.join(starts, names).select(
         *names, "pos", "neg", "p", "n",
         (F.col("all_pos") - F.col("pos0")).alias("tp"), (F.col("all_neg") - F.col("neg0")).alias("fp"),
     )

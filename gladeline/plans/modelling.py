@@ -9,7 +9,7 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import ElementwiseProduct, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -223,14 +223,13 @@ def fit_all(frame: DataFrame, kind: str, feats: Sequence[str], framing: Framing,
     return _fit(rows, kind, feats, counts, settings)
 
 
-def importances(model: PipelineModel, feats: Sequence[str]) -> dict[str, float]:
-    """Impurity importance of a forest, or the mean absolute scaled coefficient of a regression."""
-    last = model.stages[-1]
-    if hasattr(last, "featureImportances"):
-        values = last.featureImportances.toArray()
-    else:
-        values = abs(last.coefficientMatrix.toArray()).mean(axis=0)
-    return {f: round(float(v), 3) for f, v in zip(feats, values, strict=True)}
+def importances(model: PipelineModel, feats: Sequence[str]) -> list[tuple[str, float]]:
+    """Long rows ``feature, importance``: a forest's impurity decrease, or how far a scaled feature moves the classes."""
+    fitted = model.stages[-1]
+    if isinstance(fitted, RandomForestClassificationModel):
+        return [(f, float(fitted.featureImportances[i])) for i, f in enumerate(feats)]
+    moves = fitted.coefficientMatrix
+    return [(f, float(sum(abs(moves[c, i]) for c in range(moves.numRows)) / moves.numRows)) for i, f in enumerate(feats)]
 
 
 def importance_table(
@@ -245,8 +244,9 @@ def importance_table(
         [lambda k=k, n=n: importances(fit_all(frame, k, sets[n], BINARY, settings), sets[n]) for k, n in variants],
         settings.parallel,
     )
-    rows = [(k, n, f, v) for (k, n), log in zip(variants, logs, strict=True) for f, v in log.items()]
-    return frame.sparkSession.createDataFrame(rows, "model string, features string, feature string, importance double")
+    rows = [(*variant, *row) for variant, log in zip(variants, logs, strict=True) for row in log]
+    table = frame.sparkSession.createDataFrame(rows, "model string, features string, feature string, importance double")
+    return table.withColumn("importance", F.round("importance", 3))
 
 
 def _variant_predictions(

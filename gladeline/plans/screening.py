@@ -46,9 +46,9 @@ def build_parcels(
     return farms.drop("comp_id").join(shapes, "farm_id"), runs
 
 
-def assess(farm_runs: DataFrame, cells: DataFrame, grid: GridSpec, as_of: str) -> DataFrame:
-    """Unscored assessments: own loss of every parcel."""
-    loss = with_defaults(parcel_loss(farm_runs, loss_words(cells), grid), as_of)
+def assess(farm_runs: DataFrame, cells: DataFrame, grid: GridSpec, as_of: str, parcels: DataFrame | None = None) -> DataFrame:
+    """Unscored assessments: own loss of every parcel, of all in ``parcels`` if given."""
+    loss = with_defaults(parcel_loss(farm_runs, loss_words(cells), grid, parcels), as_of)
     return loss.select(
         "farm_id", "defo_m2", "total_m2", "defo_pct", F.lit(None).cast("double").alias("risk_score"),
         F.lit(None).cast("string").alias("risk_class"), "assessed_at",

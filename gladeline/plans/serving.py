@@ -13,7 +13,6 @@ from gladeline.operators.ordering import number_rows
 MAX_LIMIT = 10_000
 MAX_WARNINGS = 4_100
 PAGE_SIZE = 50
-DEEP_OFFSET = 100_000
 
 
 def check_parameters(
@@ -31,10 +30,10 @@ def check_parameters(
         raise ValueError("offset must not be negative")
 
 
-def parcels_view(farms: DataFrame, assessments: DataFrame) -> DataFrame:
-    """The columns every parcel query serves."""
+def parcels_view(farms: DataFrame, assessments: DataFrame, dated: bool = False) -> DataFrame:
+    """The columns every parcel query serves; ``dated`` adds when each assessment was made."""
     return farms.join(assessments.drop("area_ha", "geometry"), "farm_id").select(
-        "farm_id", "area_ha", "defo_pct", "risk_score", "risk_class", "geometry"
+        "farm_id", "area_ha", "defo_pct", "risk_score", "risk_class", "geometry", *(["assessed_at"] if dated else [])
     )
 
 
@@ -44,19 +43,14 @@ def semi_filter(df: DataFrame, ids: DataFrame, keep: bool = True) -> DataFrame:
 
 
 def page(df: DataFrame, limit: int, offset: int = 0) -> DataFrame:
-    """Rows ``offset .. offset + limit - 1`` in order of ``farm_id``.
+    """Rows ``offset .. offset + limit - 1`` in order of ``farm_id``, then of a hash of the row.
 
-    A shallow page is a top-k. A top-k would hold ``offset + limit`` rows in one task, so a deep page numbers
-    the ids instead, in parallel, and joins the few it needs.
+    Rows are numbered in parallel and filtered, at any offset alike; a top-k would hold ``offset + limit`` rows in
+    one task. Several rows of one parcel are rows like any other.
     """
-    if offset <= DEEP_OFFSET:
-        return df.orderBy("farm_id").offset(offset).limit(limit)
-    counts = df.groupBy("farm_id").agg(F.count(F.lit(1)).alias("n"))
-    if counts.filter(F.col("n") > 1).limit(1).count():
-        raise ValueError("deep pages need one row per farm_id")
-    numbered = number_rows(df.select("farm_id"), [F.col("farm_id")], "place")
-    wanted = numbered.filter(F.col("place").between(offset, offset + limit - 1)).select("farm_id")
-    return df.join(wanted, "farm_id", "left_semi").orderBy("farm_id")
+    order = [F.col("farm_id"), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])]
+    numbered = number_rows(df, order, "__place")
+    return numbered.filter(F.col("__place").between(offset, offset + limit - 1)).orderBy("__place").drop("__place")
 
 
 def page_after(df: DataFrame, limit: int, last_id: int) -> DataFrame:
@@ -66,10 +60,13 @@ def page_after(df: DataFrame, limit: int, last_id: int) -> DataFrame:
 
 def list_farms(
     view: DataFrame, risk_class: str | None = None, min_risk_score: float | None = None,
-    limit: int = 100, offset: int = 0,
+    limit: int = 100, offset: int = 0, max_limit: int = MAX_LIMIT,
 ) -> DataFrame:
-    """Parcels of a class and with at least a score, paged by id; unscored parcels fail a score filter."""
-    check_parameters(risk_class, min_risk_score, limit, offset)
+    """Parcels of a class and with at least a score, paged by id; unscored parcels fail a score filter.
+
+    A request for more than ``max_limit`` rows is refused.
+    """
+    check_parameters(risk_class, min_risk_score, limit, offset, max_limit)
     if risk_class is not None:
         view = view.filter(F.col("risk_class") == risk_class)
     if min_risk_score is not None:
@@ -78,13 +75,15 @@ def list_farms(
 
 
 def get_farm(view: DataFrame, farm_id: int) -> DataFrame:
-    """One parcel; empty when the id is unknown."""
-    return view.filter(F.col("farm_id") == F.lit(farm_id)).limit(1)
+    """One parcel, by its newest assessment where the view has ``assessed_at``; empty when the id is unknown."""
+    newest = [F.desc_nulls_last("assessed_at")] if "assessed_at" in view.columns else []
+    ties = [F.col(c) for c in view.columns if c not in ("farm_id", "assessed_at")]
+    return view.filter(F.col("farm_id") == F.lit(farm_id)).orderBy(*newest, *ties).limit(1)
 
 
-def early_warning(view: DataFrame, limit: int = 10) -> DataFrame:
-    """Clean parcels by falling score; unscored ones last, ties by id."""
-    check_parameters(limit=limit, max_limit=MAX_WARNINGS)
+def early_warning(view: DataFrame, limit: int = 10, max_limit: int = MAX_WARNINGS) -> DataFrame:
+    """Clean parcels by falling score; unscored ones last, ties by id. More than ``max_limit`` are refused."""
+    check_parameters(limit=limit, max_limit=max_limit)
     return view.filter(F.col("risk_class") == "LOW").orderBy(F.desc_nulls_last("risk_score"), "farm_id").limit(limit)
 
 

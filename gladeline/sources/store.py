@@ -71,9 +71,15 @@ def latest_assessments(assessments: DataFrame) -> DataFrame:
 
 
 def apply_scores(assessments: DataFrame, scores: DataFrame) -> DataFrame:
-    """A new snapshot: every row of a scored farm takes the new score and class, other rows stay."""
-    new = scores.select("farm_id", F.col("risk_score").alias("new_score"), F.col("risk_class").alias("new_class"),
-                        F.lit(True).alias("scored"))
+    """A new snapshot: every row of a scored farm takes the new score and class, other rows stay.
+
+    A farm that ``scores`` holds several times takes the row with the highest score.
+    """
+    best = F.max(F.struct("risk_score", "risk_class")).alias("best")
+    new = scores.groupBy("farm_id").agg(best).select(
+        "farm_id", F.col("best.risk_score").alias("new_score"), F.col("best.risk_class").alias("new_class"),
+        F.lit(True).alias("scored"),
+    )
     joined = assessments.join(new, "farm_id", "left")
     pick = {"risk_score": "new_score", "risk_class": "new_class"}
     return joined.select(

@@ -8,7 +8,7 @@ from tests.compare import compare, duck
 SF = "/root/testdata/sf0.001"
 
 CHECKED = (
-    "mosaic", "clip", "resample", "loss_mask", "zonal_sum", "parcel_context", "buffer_runs", "both_distances",
+    "mosaic", "mosaic_masked", "table_query", "list_farms_first_page", "get_farm", "page", "clip", "resample", "loss_mask", "zonal_sum", "parcel_context", "buffer_runs", "both_distances",
     "connected_components", "assign_farm_id", "build_parcels", "list_farms", "early_warning", "class_stats",
     "stats_document", "describe", "masking_report", "roc_auc", "classification_report", "stratified_folds",
     "key_violations", "polygonize_parcels",

@@ -9,10 +9,15 @@ from pyspark.sql import functions as F
 
 from gladeline.functions.geojson import to_feature, to_feature_collection
 from gladeline.functions.labels import compliance_label, risk_binary, risk_class
+from gladeline.grid import GridSpec
+from gladeline.operators.footprints import dilate
 from gladeline.operators.ordering import number_rows, running_sums, shuffled_rank
+from gladeline.operators.raster import mosaic
+from gladeline.operators.zonal import loss_words, parcel_loss, zonal_sum
 from gladeline.plans import reports as rp
 from gladeline.plans import serving as sv
 from gladeline.sources import files, schemas, store
+from gladeline.sources.store import apply_scores
 
 FARM = "farm_id long, area_ha double, n_cells long, commodity string, geometry string"
 ASSESSMENT = "farm_id long, defo_m2 double, total_m2 double, defo_pct double, risk_score double, risk_class string"
@@ -126,11 +131,47 @@ def test_listing(tables):
     assert ids(sv.browse(view, ["HIGH", "MEDIUM"], 1, 2)) == [8]
 
 
-def test_deep_pages_equal_shallow_ones(spark, monkeypatch):
-    df = spark.range(500).withColumnRenamed("id", "farm_id")
-    want = ids(sv.page(df, 20, 333))
-    monkeypatch.setattr(sv, "DEEP_OFFSET", 10)
-    assert ids(sv.page(df, 20, 333)) == want == list(range(333, 353))
+@pytest.mark.parametrize("offset", [0, 7, 333, 995, 2000])
+def test_pages_at_any_offset_with_several_rows_a_parcel(spark, offset):
+    df = spark.range(1000).select((F.col("id") % 500).alias("farm_id"), F.col("id").alias("assessment"))
+    got = sv.page(df, 20, offset).collect()
+    assert [r["farm_id"] for r in got] == sorted(2 * list(range(500)))[offset : offset + 20]
+    assert len({r["assessment"] for r in got}) == len(got)
+
+
+def test_lookup_takes_the_newest_assessment(spark):
+    df = spark.createDataFrame([(1, 0.1, "2020"), (1, 0.9, "2022"), (1, 0.5, "2021")], "farm_id long, risk_score double, assessed_at string")
+    assert sv.get_farm(df, 1).first()["risk_score"] == 0.9
+
+
+def test_scores_that_repeat_a_farm_do_not_multiply_rows(spark):
+    old = spark.createDataFrame([(1, 0.0, "LOW"), (2, 0.0, "LOW")], "farm_id long, risk_score double, risk_class string")
+    new = spark.createDataFrame([(1, 0.4, "MEDIUM"), (1, 0.8, "HIGH")], "farm_id long, risk_score double, risk_class string")
+    assert sorted(tuple(r) for r in apply_scores(old, new).collect()) == [(1, 0.8, "HIGH"), (2, 0.0, "LOW")]
+
+
+def test_masked_values_hide_no_older_ones(spark):
+    scenes = spark.createDataFrame([(0, 0, 1, 0.9, 5.0), (0, 0, 2, None, 6.0), (1, 0, 1, None, None)], "row long, col long, at int, a double, b double")
+    assert sorted(tuple(r) for r in mosaic(scenes, ["at"], ["a", "b"]).collect()) == [(0, 0, 0.9, 6.0), (1, 0, None, None)]
+
+
+def test_parcel_without_a_cell_centre_keeps_its_row(spark):
+    runs = spark.createDataFrame([(1, 0, 0, 1)], "farm_id long, row long, col_lo long, col_hi long")
+    cells = spark.createDataFrame([(0, 0, 1, 22, 100.0)], "row long, col long, forest2020 int, lossyear int, area_m2 double")
+    all_parcels = spark.createDataFrame([(1,), (2,)], "farm_id long")
+    got = {r["farm_id"]: r["total_m2"] for r in parcel_loss(runs, loss_words(cells), GridSpec(10.0), all_parcels).collect()}
+    assert got == {1: 100.0, 2: None}
+    assert {r["farm_id"] for r in zonal_sum(runs, cells, ["area_m2"], parcels=all_parcels).collect()} == {1, 2}
+
+
+def test_a_wide_parcel_is_spread_over_tasks(spark):
+    wide = spark.createDataFrame([(1, r, 0, 200_000) for r in range(8)], "farm_id long, row long, col_lo long, col_hi long")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = dilate(wide, [2]).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(rows) > 4 and max(r["count"] for r in rows) < 0.5 * sum(r["count"] for r in rows)
 
 
 def test_warnings_rank_unscored_last_and_break_ties_by_id(tables):
