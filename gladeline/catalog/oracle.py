@@ -119,11 +119,11 @@ rough_closure AS (
 rough_comps AS (
   SELECT m.row, m.col, min(c.root) AS comp_id FROM rough_closure c JOIN rough m ON c.id = m.id GROUP BY m.row, m.col),
 centre AS (
-  SELECT floor(avg("row") + 0.5)::BIGINT AS crow, floor(avg(col) + 0.5)::BIGINT AS ccol FROM rough_comps
+  SELECT sum("row")::DOUBLE / count(*) * 4 + 1.5 AS y, sum(col)::DOUBLE / count(*) * 4 + 1.5 AS x FROM rough_comps
   WHERE comp_id = (SELECT comp_id FROM rough_comps GROUP BY comp_id ORDER BY count(*) DESC, comp_id LIMIT 1)),
 area_cells AS (
   SELECT c.* FROM cells c, centre
-  WHERE c.row BETWEEN (crow - 10) * 4 AND (crow + 10) * 4 + 3 AND c.col BETWEEN (ccol - 10) * 4 AND (ccol + 10) * 4 + 3),
+  WHERE c.row >= y - 40 AND c.row < y + 40 AND c.col >= x - 40 AND c.col < x + 40),
 fine AS (SELECT "row", col, "row" * 2147483648 + col AS id FROM area_cells WHERE crop_prob > 0.15),
 fine_links AS (
   SELECT a.id AS a, b.id AS b
@@ -155,6 +155,44 @@ rank_metrics AS (
 """
 
 
+# the same features with rings of 200, 500 and 1000 m and a cap of 2560 m
+_REAL = """,
+wide AS (
+  SELECT b.farm_id, c.area_m2, c.loss,
+         greatest(b.r0 - c.row, c.row - b.r1, 0) ** 2 + greatest(b.c0 - c.col, c.col - b.c1, 0) ** 2 AS d2
+  FROM boxes b JOIN cells c ON c.row BETWEEN b.r0 - 100 AND b.r1 + 100 AND c.col BETWEEN b.c0 - 100 AND b.c1 + 100),
+wide_sums AS (
+  SELECT farm_id, sum(CASE WHEN loss THEN area_m2 ELSE 0 END) FILTER (WHERE d2 = 0) AS defo_m2,
+         sum(area_m2) FILTER (WHERE d2 = 0) AS total_m2,
+         sum(CASE WHEN loss THEN area_m2 ELSE 0 END) FILTER (WHERE d2 > 0 AND d2 <= 400) AS d200,
+         sum(area_m2) FILTER (WHERE d2 > 0 AND d2 <= 400) AS t200,
+         sum(CASE WHEN loss THEN area_m2 ELSE 0 END) FILTER (WHERE d2 > 0 AND d2 <= 2500) AS d500,
+         sum(area_m2) FILTER (WHERE d2 > 0 AND d2 <= 2500) AS t500,
+         sum(CASE WHEN loss THEN area_m2 ELSE 0 END) FILTER (WHERE d2 > 0 AND d2 <= 10000) AS d1000,
+         sum(area_m2) FILTER (WHERE d2 > 0 AND d2 <= 10000) AS t1000
+  FROM wide GROUP BY farm_id),
+wide_shares AS (
+  SELECT b.farm_id, defo_m2, total_m2, round_even(defo_m2 / total_m2 * 100, 3) AS defo_pct,
+         round_even(d200 / t200 * 100, 3) AS nb_defo_pct_200, round_even(d500 / t500 * 100, 3) AS nb_defo_pct_500,
+         round_even(d1000 / t1000 * 100, 3) AS nb_defo_pct_1000
+  FROM boxes b LEFT JOIN wide_sums USING (farm_id)),
+wide_near AS (
+  SELECT p.farm_id, (p.crow - l.row) ** 2 + (p.ccol - l.col) ** 2 AS d2,
+         l.row BETWEEN b.r0 AND b.r1 AND l.col BETWEEN b.c0 AND b.c1 AS own
+  FROM points p JOIN boxes b USING (farm_id)
+  JOIN losses l ON l.row BETWEEN p.crow - 256 AND p.crow + 256 AND l.col BETWEEN p.ccol - 256 AND p.ccol + 256),
+wide_distances AS (
+  SELECT p.farm_id,
+         coalesce(round_even(least(sqrt(min(d2) FILTER (WHERE d2 <= 65536)) * 10, 2560), 1), 2560)::DOUBLE AS dist_to_defo_m,
+         coalesce(round_even(least(sqrt(min(d2) FILTER (WHERE d2 <= 65536 AND NOT own)) * 10, 2560), 1), 2560)::DOUBLE
+           AS dist_to_defo_m_masked
+  FROM points p LEFT JOIN wide_near USING (farm_id) GROUP BY p.farm_id),
+wide_frame AS (
+  SELECT farm_id, risk_binary, nb_defo_pct_200 IS NOT NULL AS has_200,
+         nb_defo_pct_200 IS NOT NULL AND nb_defo_pct_500 IS NOT NULL AND nb_defo_pct_1000 IS NOT NULL AS has_rings
+  FROM wide_shares JOIN (SELECT farm_id, risk_binary FROM assessments) USING (farm_id))
+"""
+
 _SCORE_ROWS = "SELECT 'score' AS feature, risk_score AS value, hit FROM ranked"
 
 _MATRIX = """,
@@ -213,6 +251,11 @@ _QUERIES = {
     "clip": """
         SELECT "row", col, crop_prob FROM cells c WHERE EXISTS (
           SELECT 1 FROM boxes b WHERE c.row BETWEEN b.r0 AND b.r1 AND c.col BETWEEN b.c0 AND b.c1)""",
+    "clip_boundary": """
+        SELECT "row", col, crop_prob FROM (SELECT *, "row" + 0.5 AS y, col + 0.5 AS x, g // 10 AS a FROM cells, g)
+        WHERE (x > a AND x < a * 5 AND y > a AND y < a * 5
+               AND NOT (x > a * 2 AND x < a * 4 AND y > a * 2 AND y < a * 3 + 2))
+           OR (x > a * 6 AND y > a * 6 + 2 AND x - a * 6 + y - a * 6 - 2 < a * 3 + 0.25)""",
     "loss_mask": 'SELECT "row", col, loss FROM cells',
     "pixel_area": """
         SELECT DISTINCT "row", round(6371008.8 ** 2 * radians(0.0001)
@@ -235,8 +278,9 @@ _QUERIES = {
     "filter_size": "SELECT comp_id, n_cells FROM sizes WHERE n_cells BETWEEN 3 AND 8",
     "centroid": "SELECT * FROM points",
     "aoi_box": """
-        SELECT crow - 20 AS row_lo, crow + 20 AS row_hi, ccol - 20 AS col_lo, ccol + 20 AS col_hi,
-               41::BIGINT AS n_rows, count(*)::BIGINT AS n FROM points GROUP BY crow, ccol""",
+        SELECT ceil(row_mean - 20)::BIGINT AS row_lo, ceil(row_mean + 20)::BIGINT - 1 AS row_hi,
+               ceil(col_mean - 20)::BIGINT AS col_lo, ceil(col_mean + 20)::BIGINT - 1 AS col_hi,
+               40::BIGINT AS n_rows, count(*)::BIGINT AS n FROM points GROUP BY 1, 2, 3, 4""",
     "study_area_cells": 'SELECT "row", col, crop_prob FROM area_cells',
     "assign_farm_id": """
         SELECT comp_id, n_cells, row_number() OVER (ORDER BY comp_id) - 1 AS farm_id FROM sizes WHERE n_cells BETWEEN 3 AND 8""",
@@ -250,6 +294,7 @@ _QUERIES = {
         FROM comps c GROUP BY comp_id""",
     "polygonize_parcels": "SELECT farm_id, geometry FROM farms",
     "polygonize_area": "SELECT comp_id, n_cells FROM sizes",
+    "outline_parts": "SELECT comp_id, n_cells FROM sizes",
     # ---- zonal and proximity
     "polygon_runs": 'SELECT farm_id, unnest(range(r0, r1 + 1)) AS "row", c0 AS col_lo, c1 AS col_hi FROM boxes',
     "zonal_sum": "SELECT farm_id, defo_m2, total_m2, lossyear::DOUBLE AS lossyear FROM shares",
@@ -264,6 +309,9 @@ _QUERIES = {
             SELECT *, unnest(range(r0 - 5, r1 + 6)) AS "row" FROM boxes))
         UNION ALL
         SELECT farm_id, unnest(range(r0, r1 + 1)), c1 + 1, c1 + 5 FROM boxes""",
+    "assessed_parcels": """
+        SELECT farm_id, defo_pct, NULL::DOUBLE AS risk_score, NULL::VARCHAR AS risk_class, '2026-01-01' AS assessed_on
+        FROM shares""",
     "ring_features": "SELECT farm_id, nb_defo_pct_20, nb_defo_pct_50, nb_defo_pct_100 FROM shares",
     "parcel_context": """
         SELECT farm_id, defo_m2, total_m2, defo_pct, nb_defo_pct_20, nb_defo_pct_50, nb_defo_pct_100 FROM shares""",
@@ -280,6 +328,8 @@ _QUERIES = {
     "context_features": """
         SELECT farm_id, defo_m2, total_m2, defo_pct, nb_defo_pct_20, nb_defo_pct_50, nb_defo_pct_100, dist_to_defo_m,
                dist_to_defo_m_masked FROM shares JOIN distances USING (farm_id)""",
+    "parcel_context_real": _REAL + "SELECT * FROM wide_shares",
+    "both_distances_real": _REAL + "SELECT * FROM wide_distances",
     "masking_report": """
         SELECT count(*)::BIGINT AS n_affected, count(*) FILTER (WHERE dist_to_defo_m = 0)::BIGINT AS n_was_zero,
                count(*) FILTER (WHERE dist_to_defo_m = 0 AND dist_to_defo_m_masked > 0)::BIGINT AS n_now_positive,
@@ -412,6 +462,22 @@ _QUERIES = {
         SELECT feature AS features, roc_auc, pr_auc, n_feats FROM (
           SELECT *, CASE feature WHEN 'B: nb200 only' THEN 1 WHEN 'D: nb 200+500+1000' THEN 3 ELSE 2 END::BIGINT AS n_feats
           FROM rank_metrics) ORDER BY pr_auc DESC, roc_auc DESC, n_feats, feature LIMIT 1""",
+    "usable_rows": _REAL + """
+        SELECT features, n_feats, count(*)::BIGINT AS n_rows, (count(*) FILTER (WHERE usable))::BIGINT AS n_usable,
+               (count(*) FILTER (WHERE has_rings))::BIGINT AS n_common
+        FROM (
+          SELECT has_rings, unnest([
+            {'features': 'A: area+nb200 (baseline)', 'n_feats': 2::BIGINT, 'usable': has_200},
+            {'features': 'B: nb200 only', 'n_feats': 1::BIGINT, 'usable': has_200},
+            {'features': 'C: distance only', 'n_feats': 1::BIGINT, 'usable': true},
+            {'features': 'D: nb 200+500+1000', 'n_feats': 3::BIGINT, 'usable': has_rings},
+            {'features': 'E: dist + nb multi', 'n_feats': 4::BIGINT, 'usable': has_rings},
+            {'features': 'F: E + area', 'n_feats': 5::BIGINT, 'usable': has_rings}], recursive := true)
+          FROM wide_frame WHERE risk_binary IS NOT NULL) GROUP BY features, n_feats""",
+    "regression_score_ranges": _REAL + "SELECT farm_id, has_rings AS scored, true AS in_range FROM wide_frame",
+    "out_of_fold_ranges": _REAL + """
+        SELECT farm_id, true AS in_range FROM wide_frame WHERE risk_binary IS NOT NULL AND has_rings""",
+    "scoring_run": "SELECT farm_id, defo_pct, risk_class, true AS in_range FROM assessments",
     "leakage_audit": _ranking("""
         SELECT unnest(['nb_defo_pct_20', 'nb_defo_pct_50', 'nb_defo_pct_100', 'defo_pct', 'area_ha']) AS feature,
                unnest([nb_defo_pct_20, nb_defo_pct_50, nb_defo_pct_100, defo_pct, area_ha]) AS value,

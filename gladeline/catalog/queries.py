@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gladeline import standin as s
-from gladeline.functions.geojson import geometry_text, parse_rings, to_feature, to_feature_collection
+from gladeline.functions.geojson import geometry_texts, parse_rings, to_feature, to_feature_collection
 from gladeline.functions.labels import MEDIAN_AFFECTED_PCT, compliance_label, risk_binary, risk_class
 from gladeline.functions.numbers import cap_distance, share_pct
 from gladeline.grid import GridSpec
@@ -23,9 +23,12 @@ from gladeline.plans import modelling as mo
 from gladeline.plans import reports as rp
 from gladeline.plans import screening as sc
 from gladeline.plans import serving as sv
+from gladeline.plans.scoring import scoring_run as run_scoring
 from gladeline.session import cut_lineage, scratch_folder
 from gladeline.sources import schemas
-from gladeline.sources.files import read_boundary, read_features, read_geojson, write_features, write_geojson
+from gladeline.sources.files import (
+    read_boundaries, read_boundary, read_features, read_geojson, write_features, write_geojson,
+)
 from gladeline.sources.store import (
     append_table, apply_scores, check_keys, latest_assessments, read_table, register_views, reset_store, with_defaults,
     write_snapshot,
@@ -37,15 +40,6 @@ QUERIES: dict[str, Query] = {}
 DEGREE_GRID = GridSpec(cell_m=10.0, lat0=9.0, cell_deg=0.0001)
 CLASSES = ("LOW", "MEDIUM", "HIGH")
 RINGS = ["nb_defo_pct_20", "nb_defo_pct_50", "nb_defo_pct_100"]
-# the library's feature sets with the stand-in's ring radii
-SETS = {
-    name: [f.replace("_200", "_20").replace("_500", "_50").replace("_1000", "_100") for f in feats]
-    for name, feats in mo.FEATURE_SETS.items()
-}
-MASKING_SETS = {
-    name: [f.replace("_200", "_20").replace("_500", "_50").replace("_1000", "_100") for f in feats]
-    for name, feats in mo.MASKING_SETS.items()
-}
 # the library's own settings: 300 trees, depth 30, 1000 iterations, five folds
 SETTINGS = mo.Settings()
 # the grids fit up to 120 models; with the library's settings that is over half an hour on one machine, see README
@@ -66,19 +60,33 @@ def _distance(spark, d) -> DataFrame:
 
 
 def _frame(spark, d, masked: bool = False) -> DataFrame:
-    """The model frame. The raster is read several times, so the mosaic is written once."""
+    """The model frame of the small rings. The raster is read several times, so the mosaic is written once."""
+    return _any_frame(spark, d, masked, s.RADII_M, s.CAP_M)
+
+
+def _real_frame(spark, d, masked: bool = False) -> DataFrame:
+    """The model frame with the library's own radii and cap."""
+    return _any_frame(spark, d, masked, sc.RADII_M, sc.DISTANCE_CAP_M)
+
+
+def _any_frame(spark, d, masked, radii_m, cap_m) -> DataFrame:
     raster = cut_lineage(s.cells(spark, d))
-    shares = cut_lineage(s.shares(spark, d, raster))
+    shares = cut_lineage(s.shares(spark, d, raster, radii_m))
     points, loss = s.points(spark, d), s.loss(spark, d, raster)
     if masked:
-        distances = px.both_distances(points, loss, s.farm_runs(spark, d), 10.0, s.CAP_M)
+        distances = px.both_distances(points, loss, s.farm_runs(spark, d), 10.0, cap_m)
     else:
-        distances = px.distance_feature(points, loss, 10.0, s.CAP_M)
+        distances = px.distance_feature(points, loss, 10.0, cap_m)
+    rings = [f"nb_defo_pct_{m}" for m in radii_m]
     return sc.model_frame(
-        s.farms(spark, d), s.assessments(spark, d, shares), shares.select("farm_id", *RINGS), distances
+        s.farms(spark, d), s.assessments(spark, d, shares, rings[-1]), shares.select("farm_id", *rings), distances
     )
 
 
+def _in_range(score: str):
+    return F.coalesce(F.col(score).between(0.0, 1.0), F.lit(True)).alias("in_range")
+
+
 def _sizes(spark, d) -> DataFrame:
     return cc.component_size(cc.component_runs(s.crop_mask(spark, d)))
 
@@ -215,6 +223,15 @@ def clip(spark, d):
     return ra.clip(s.cells(spark, d), region).select("row", "col", "crop_prob")
 
 
+@query
+def clip_boundary(spark, d):
+    """A boundary file, one of its features by name, and the raster clipped to it."""
+    path = scratch_folder(spark)
+    write_geojson(s.boundaries(spark, d), path)
+    boundary = read_boundary(read_boundaries(spark, path), "properties.name", "ASIA")
+    return sc.clip_to_boundary(s.cells(spark, d), boundary, s.GRID).select("row", "col", "crop_prob")
+
+
 @query
 def loss_mask(spark, d):
     return ra.loss_mask(s.cells(spark, d)).select("row", "col", "loss")
@@ -290,9 +307,8 @@ def aoi_box(spark, d):
 def study_area_cells(spark, d):
     """Coarse clusters, the largest one's centroid, its box, and the cells inside."""
     rough = ra.threshold(ra.resample(s.cells(spark, d), 4, {"crop_prob": "avg"}), "crop_prob", 0.15)
-    box = cc.study_area(rough, F.lit(1600.0), 10)
-    clipped = ra.clip_box(s.cells(spark, d), box[0] * 4, box[1] * 4 + 3, box[2] * 4, box[3] * 4 + 3)
-    return clipped.select("row", "col", "crop_prob")
+    box = cc.study_area(rough, F.lit(1600.0), 40, 4)
+    return ra.clip_box(s.cells(spark, d), *box).select("row", "col", "crop_prob")
 
 
 @query
@@ -322,7 +338,15 @@ def outline_perimeter(spark, d):
 
 @query
 def polygonize_parcels(spark, d):
-    return polygonize(s.farm_runs(spark, d)).select("farm_id", geometry_text(F.col("rings"), 10.0).alias("geometry"))
+    return geometry_texts(polygonize(s.farm_runs(spark, d)), scale=10.0)
+
+
+@query
+def outline_parts(spark, d):
+    """Clusters as text and back: cells of a cluster, rings and parts of its outline."""
+    text = geometry_texts(polygonize(cc.component_runs(s.crop_mask(spark, d)), "comp_id"), "comp_id", 10.0)
+    back = text.select("comp_id", parse_rings(F.col("geometry")).alias("rings"))
+    return cc.component_size(fp.polygon_runs(back, s.GRID, "comp_id"))
 
 
 @query
@@ -365,6 +389,13 @@ def ring_runs(spark, d):
     return fp.ring_runs(s.farm_runs(spark, d), 5)
 
 
+@query
+def assessed_parcels(spark, d):
+    """Every parcel assessed, not yet scored."""
+    rows = sc.assess(s.farm_runs(spark, d), s.cells(spark, d), s.GRID, s.AS_OF, s.farms(spark, d))
+    return rows.select("farm_id", "defo_pct", "risk_score", "risk_class", F.date_format("assessed_at", "yyyy-MM-dd").alias("assessed_on"))
+
+
 @query
 def ring_features(spark, d):
     return zo.ring_features(s.farm_runs(spark, d), zo.loss_words(s.cells(spark, d)), s.GRID, s.RADII_M)
@@ -421,6 +452,19 @@ def context_features(spark, d):
     return sc.context_features(s.farm_runs(spark, d), cut_lineage(s.cells(spark, d)), s.GRID, s.RADII_M, s.CAP_M)
 
 
+@query
+def parcel_context_real(spark, d):
+    """Own loss and rings of 200, 500 and 1000 m."""
+    return s.shares(spark, d, radii_m=sc.RADII_M)
+
+
+@query
+def both_distances_real(spark, d):
+    """Both distances up to 2560 m."""
+    loss = s.loss(spark, d, cut_lineage(s.cells(spark, d)))
+    return px.both_distances(s.points(spark, d), loss, s.farm_runs(spark, d), 10.0, sc.DISTANCE_CAP_M)
+
+
 @query
 def masking_report(spark, d):
     raster = cut_lineage(s.cells(spark, d))
@@ -728,47 +772,78 @@ def leakage_audit(spark, d):
 @query
 def forest_scores(spark, d):
     """A forest on every feature, scoring every parcel."""
-    return mo.score_all(_frame(spark, d), "RF", SETS["F: E + area"], mo.BINARY, SETTINGS).select("farm_id", "risk_score")
+    return mo.score_all(_real_frame(spark, d), "RF", mo.FEATURE_SETS["F: E + area"], mo.BINARY, SETTINGS).select("farm_id", "risk_score")
 
 
 @query
 def regression_scores(spark, d):
-    return mo.score_all(_frame(spark, d), "LR", SETS["F: E + area"], mo.BINARY, SETTINGS).select("farm_id", "risk_score")
+    return mo.score_all(_real_frame(spark, d), "LR", mo.FEATURE_SETS["F: E + area"], mo.BINARY, SETTINGS).select("farm_id", "risk_score")
 
 
 @query
 def cross_val_predict(spark, d):
-    folded = cut_lineage(mo.stratified_folds(_frame(spark, d), "risk_binary", SETTINGS.folds))
-    return mo.cross_val_predict(folded, "RF", SETS["E: dist + nb multi"], mo.BINARY, SETTINGS)
+    folded = cut_lineage(mo.stratified_folds(_real_frame(spark, d), "risk_binary", SETTINGS.folds))
+    return mo.cross_val_predict(folded, "RF", mo.FEATURE_SETS["E: dist + nb multi"], mo.BINARY, SETTINGS)
 
 
 @query
 def out_of_fold_scores(spark, d):
-    return mo.out_of_fold_scores(_frame(spark, d), "LR", SETS["F: E + area"], SETTINGS)
+    return mo.out_of_fold_scores(_real_frame(spark, d), "LR", mo.FEATURE_SETS["F: E + area"], SETTINGS)
 
 
 @query
 def importance_table(spark, d):
-    return mo.importance_table(_frame(spark, d), SETS, GRID_SETTINGS)
+    return mo.importance_table(_real_frame(spark, d), mo.FEATURE_SETS, GRID_SETTINGS)
 
 
 @query
 def compare_models(spark, d):
-    return mo.compare_models(_frame(spark, d), GRID_SETTINGS, SETS)
+    return mo.compare_models(_real_frame(spark, d), GRID_SETTINGS, mo.FEATURE_SETS)
 
 
 @query
 def sensitivity(spark, d):
-    return mo.sensitivity(_frame(spark, d, masked=True), GRID_SETTINGS, MASKING_SETS)
+    return mo.sensitivity(_real_frame(spark, d, masked=True), GRID_SETTINGS, mo.MASKING_SETS)
+
+
+@query
+def usable_rows(spark, d):
+    return mo.usable_rows(_real_frame(spark, d))
+
+
+@query
+def regression_score_ranges(spark, d):
+    """What must hold for any fit: a row per parcel, a score where no feature is missing, all in [0, 1]."""
+    scored = mo.score_all(_real_frame(spark, d), "LR", mo.FEATURE_SETS["F: E + area"], mo.BINARY, SETTINGS)
+    return scored.select("farm_id", F.col("risk_score").isNotNull().alias("scored"), _in_range("risk_score"))
+
+
+@query
+def out_of_fold_ranges(spark, d):
+    """One held-out score in [0, 1] per labelled parcel with every feature."""
+    scores = mo.out_of_fold_scores(_real_frame(spark, d), "LR", mo.FEATURE_SETS["F: E + area"], SETTINGS)
+    return scores.select("farm_id", _in_range("oof_score"))
+
+
+@query
+def scoring_run(spark, d):
+    """Compare, select, refit, score and store; the rows are those of the stored snapshot."""
+    path = scratch_folder(spark)
+    reset_store(spark, path)
+    frame = cut_lineage(_real_frame(spark, d))
+    append_table(frame.withColumn("assessed_at", F.lit(s.AS_OF)).drop("risk_class"), path, "assessments")
+    run_scoring(frame, path, GRID_SETTINGS, refit=SETTINGS)
+    rows = read_table(spark, path, "assessments")
+    return rows.select("farm_id", "defo_pct", "risk_class", _in_range("risk_score"))
 
 
 @query
 def score_v2(spark, d):
-    _, scores = mo.score_v2(_frame(spark, d), ["area_ha", "nb_defo_pct_20"], SETTINGS)
+    _, scores = mo.score_v2(_real_frame(spark, d), ["area_ha", "nb_defo_pct_200"], SETTINGS)
     return scores
 
 
 @query
 def score_v2_report(spark, d):
-    report, _ = mo.score_v2(_frame(spark, d), ["area_ha", "nb_defo_pct_20"], SETTINGS)
+    report, _ = mo.score_v2(_real_frame(spark, d), ["area_ha", "nb_defo_pct_200"], SETTINGS)
     return report

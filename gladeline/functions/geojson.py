@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gladeline.session import cut_lineage
+
 RINGS_TYPE = "array<array<struct<x:double,y:double>>>"
 _POLYGON = "struct<type:string,coordinates:array<array<array<double>>>>"
 _MULTI = "struct<type:string,coordinates:array<array<array<array<double>>>>>"
@@ -14,30 +16,19 @@ _MULTI = "struct<type:string,coordinates:array<array<array<array<double>>>>>"
 FARM_PROPERTIES = ("farm_id", "area_ha", "defo_pct", "risk_score", "risk_class")
 
 
-def _ring_area2(ring: Column) -> Column:
-    """Twice the signed area of a closed ring."""
-    pairs = F.arrays_zip(
+def _sides(ring: Column) -> Column:
+    """Sides ``(a, b)`` of a closed ring."""
+    return F.arrays_zip(
         F.slice(ring, F.lit(1), F.size(ring) - 1).alias("a"), F.slice(ring, F.lit(2), F.size(ring) - 1).alias("b")
     )
-    return F.aggregate(
-        pairs, F.lit(0.0), lambda acc, p: acc + p["a"]["x"] * p["b"]["y"] - p["b"]["x"] * p["a"]["y"]
-    )
 
 
-def _holds(ring: Column, point: Column) -> Column:
-    """Whether a closed ring holds a point that is not on its border (even-odd rule)."""
-    pairs = F.arrays_zip(
-        F.slice(ring, F.lit(1), F.size(ring) - 1).alias("a"), F.slice(ring, F.lit(2), F.size(ring) - 1).alias("b")
+def _ring_area2(ring: Column) -> Column:
+    """Twice the signed area of a closed ring."""
+    return F.aggregate(
+        _sides(ring), F.lit(0.0), lambda acc, p: acc + p["a"]["x"] * p["b"]["y"] - p["b"]["x"] * p["a"]["y"]
     )
 
-    def crosses(p: Column) -> Column:
-        a, b = p["a"], p["b"]
-        spans = (a["y"] > point["y"]) != (b["y"] > point["y"])
-        at_x = a["x"] + (point["y"] - a["y"]) * F.try_divide(b["x"] - a["x"], b["y"] - a["y"])
-        return spans & (point["x"] < at_x)
-
-    return F.size(F.filter(pairs, crosses)) % 2 == 1
-
 
 def _inside_point(ring: Column) -> Column:
     """A point just beside the first side of a ring, on the ring's filled side for outer rings."""
@@ -52,27 +43,59 @@ def _coordinates(rings: Column, scale: float) -> Column:
     return F.transform(rings, lambda r: F.transform(r, lambda p: F.array(p["x"] * F.lit(scale), p["y"] * F.lit(scale))))
 
 
-def geometry_text(rings: Column, scale: float = 1.0) -> Column:
-    """Rings in cell corners to a Polygon, or to a MultiPolygon when there are several outer rings.
+def geometry_texts(shapes: DataFrame, id_col: str = "farm_id", scale: float = 1.0) -> DataFrame:
+    """``id, geometry`` from ``id, rings`` in cell corners: a Polygon, or a MultiPolygon of several outer rings.
 
-    Outer rings have positive area (inside on the right, y down). A hole goes to the outer ring around it,
-    the smallest one where they are nested.
+    Outer rings have positive area (inside on the right, y down). A hole goes to the outer ring around it, the
+    smallest one where they are nested. Only shapes with several outer rings need that search; it meets holes and
+    upright sides of outer rings by row, counting the sides to the right of a point of the hole. Null or no rings
+    give a null text. The shapes are written once, as they are read for both kinds.
     """
-    outer = F.filter(rings, lambda r: _ring_area2(r) > 0)
-    holes = F.filter(rings, lambda r: _ring_area2(r) < 0)
-    polygon = F.to_json(
-        F.struct(F.lit("Polygon").alias("type"), _coordinates(F.concat(outer, holes), scale).alias("coordinates"))
+    shapes = cut_lineage(shapes.select(id_col, "rings"))
+    outer = F.filter("rings", lambda r: _ring_area2(r) > 0)
+    holes = F.filter("rings", lambda r: _ring_area2(r) < 0)
+    counted = shapes.withColumn("n_outer", F.coalesce(F.size(outer), F.lit(0)))
+    single = counted.filter(F.col("n_outer") <= 1).select(
+        id_col, F.when(F.col("n_outer") == 1, _text("Polygon", _coordinates(F.concat(outer, holes), scale))).alias("geometry")
     )
+    rings = counted.filter(F.col("n_outer") > 1).select(id_col, F.posexplode("rings").alias("place", "ring"))
+    return single.unionByName(_multipolygons(rings.withColumn("area2", _ring_area2(F.col("ring"))), id_col, scale))
+
+
+def _text(kind: str, coordinates: Column) -> Column:
+    return F.to_json(F.struct(F.lit(kind).alias("type"), coordinates.alias("coordinates")))
 
-    def home(hole: Column) -> Column:
-        around = F.filter(outer, lambda o: _holds(o, _inside_point(hole)))
-        return F.array_min(F.transform(around, lambda o: F.struct(_ring_area2(o).alias("a"), o.alias("ring"))))["ring"]
 
-    parts = F.transform(
-        outer, lambda o: _coordinates(F.concat(F.array(o), F.filter(holes, lambda h: home(h) == o)), scale)
+def _multipolygons(rings: DataFrame, id_col: str, scale: float) -> DataFrame:
+    """``id, geometry`` of shapes given ring by ring ``(id, place, ring, area2)``."""
+    outer, holes = rings.filter(F.col("area2") > 0), rings.filter(F.col("area2") < 0)
+    sides = outer.select(
+        id_col, F.col("place").alias("home"), F.col("area2").alias("home_area2"), F.explode(_sides(F.col("ring"))).alias("s")
+    ).filter(F.col("s.a.y") != F.col("s.b.y"))
+    upright = sides.select(
+        id_col, "home", "home_area2", F.col("s.a.x").alias("x"),
+        F.explode(F.sequence(
+            F.least("s.a.y", "s.b.y").cast("long"), F.greatest("s.a.y", "s.b.y").cast("long") - 1
+        )).alias("row"),
+    )
+    spot = _inside_point(F.col("ring"))
+    spots = holes.select(id_col, "place", spot["x"].alias("px"), F.floor(spot["y"]).alias("row"))
+    around = (
+        spots.join(upright, [id_col, "row"]).filter(F.col("x") > F.col("px"))
+        .groupBy(id_col, "place", "home", "home_area2").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") % 2 == 1)
+        .groupBy(id_col, "place").agg(F.min_by("home", F.struct("home_area2", "home")).alias("home"))
+    )
+    inner = (
+        holes.join(around, [id_col, "place"]).groupBy(id_col, F.col("home").alias("place"))
+        .agg(F.array_sort(F.collect_list(F.struct("place", "ring")))["ring"].alias("inner"))
+    )
+    parts = outer.join(inner, [id_col, "place"], "left").select(
+        id_col, "place", F.when(F.col("inner").isNull(), F.array("ring")).otherwise(F.concat(F.array("ring"), "inner")).alias("part")
+    )
+    shapes = parts.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("place", "part")))["part"].alias("parts"))
+    return shapes.select(
+        id_col, _text("MultiPolygon", F.transform("parts", lambda p: _coordinates(p, scale))).alias("geometry")
     )
-    multi = F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), parts.alias("coordinates")))
-    return F.when(F.size(outer) == 1, polygon).when(F.size(outer) > 1, multi)
 
 
 def parse_rings(geometry: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gladeline.operators.footprints import centroid
+from gladeline.operators.footprints import aoi_box, centroid
 from gladeline.operators.graph import collapse
 from gladeline.operators.ordering import number_rows
 from gladeline.operators.words import cells_to_words, merge_pieces, words_to_pieces
@@ -102,15 +102,15 @@ def parcels(mask: DataFrame, lo: int = MIN_PIXELS, hi: int = MAX_PIXELS) -> tupl
     return farms, merge_pieces(pieces, ["farm_id"])
 
 
-def study_area(coarse_mask: DataFrame, cell_area_m2, radius: int) -> tuple[int, int, int, int] | None:
-    """Box of ``radius`` cells around the centroid of the largest cluster: ``row_lo, row_hi, col_lo, col_hi``.
+def study_area(coarse_mask: DataFrame, cell_area_m2, radius: float, k: int = 1) -> tuple[int, int, int, int] | None:
+    """Box of ``radius`` fine cells around the exact centroid of the largest cluster of cells ``k`` times as wide.
 
-    The four numbers come to the driver, so the clip that follows is a filter with constants.
+    ``row_lo, row_hi, col_lo, col_hi`` in fine cells, both ends included. The four numbers come to the driver, so
+    the clip that follows is a filter with constants.
     """
     runs = cut_lineage(component_runs(coarse_mask))
     largest = largest_component(component_area_km2(runs, cell_area_m2)).first()
     if largest is None:
         return None
-    point = centroid(runs.filter(F.col("comp_id") == F.lit(largest["comp_id"])), "comp_id").first()
-    row, col = point["crow"], point["ccol"]
-    return row - radius, row + radius, col - radius, col + radius
+    point = centroid(runs.filter(F.col("comp_id") == F.lit(largest["comp_id"])), "comp_id")
+    return tuple(aoi_box(point, radius, k).first())

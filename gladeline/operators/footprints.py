@@ -126,12 +126,18 @@ def _floor_div(a, b):
     return F.call_function("div", a - F.pmod(a, b), b)
 
 
-def aoi_box(points: DataFrame, radius: int) -> DataFrame:
-    """Bounding box of a circle of ``radius`` cells around each centroid cell."""
-    return points.select(
-        (F.col("crow") - radius).alias("row_lo"), (F.col("crow") + radius).alias("row_hi"),
-        (F.col("ccol") - radius).alias("col_lo"), (F.col("ccol") + radius).alias("col_hi"),
-    )
+def aoi_box(points: DataFrame, radius: float, k: int = 1) -> DataFrame:
+    """Bounding box of a circle of ``radius`` cells around each exact centroid, both ends included.
+
+    A cell is inside when its centre lies in ``[centroid - radius, centroid + radius)``, so the box is two radii
+    wide. With ``k`` the points are on cells ``k`` times as wide as those of the box and the radius.
+    """
+    def span(mean: str) -> tuple:
+        centre = F.col(mean) * F.lit(float(k)) + F.lit((k - 1) / 2.0)
+        return F.ceil(centre - F.lit(float(radius))).cast("long"), (F.ceil(centre + F.lit(float(radius))) - 1).cast("long")
+
+    (row_lo, row_hi), (col_lo, col_hi) = span("row_mean"), span("col_mean")
+    return points.select(row_lo.alias("row_lo"), row_hi.alias("row_hi"), col_lo.alias("col_lo"), col_hi.alias("col_hi"))
 
 
 def polygon_runs(farms: DataFrame, grid: GridSpec, id_col: str = "farm_id") -> DataFrame:

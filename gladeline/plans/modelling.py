@@ -252,15 +252,16 @@ def importance_table(
 def _variant_predictions(
     folded: DataFrame, kinds: Sequence[str], sets: Mapping[str, Sequence[str]], framing: Framing, settings: Settings
 ) -> DataFrame:
-    """Out-of-fold predictions of all variants in one long frame, written once."""
+    """Out-of-fold predictions of all variants in one long frame; each variant is written as it finishes."""
     out = None
     for kind in kinds:
         for name, feats in sets.items():
             part = cross_val_predict(folded, kind, feats, framing, settings).select(
                 F.lit(kind).alias("model"), F.lit(name).alias("features"), "farm_id", "label", "predicted", "score"
             )
+            part = cut_lineage(part)
             out = part if out is None else out.unionByName(part)
-    return cut_lineage(out)
+    return out
 
 
 def _grid(
@@ -268,6 +269,7 @@ def _grid(
     kinds: Sequence[str],
 ) -> DataFrame:
     by = ["model", "features"]
+    frame = frame.dropna(subset=sorted({f for feats in sets.values() for f in feats}))  # the same rows for all
     tables = []
     for framing in framings:
         folded = cut_lineage(stratified_folds(frame, framing.label, settings.folds, settings.seed))
@@ -294,7 +296,8 @@ def compare_models(
 ) -> DataFrame:
     """``model, framing, features, roc_auc, pr_auc, macro_f1``: every family, feature set and framing.
 
-    Metrics are taken over the pooled out-of-fold rows; the rank metrics are NULL for three classes.
+    Metrics are taken over the pooled out-of-fold rows; the rank metrics are NULL for three classes. All variants
+    see the same rows, those with every feature of every set; ``usable_rows`` counts what that leaves out.
     """
     return _grid(cut_lineage(frame), sets, (BINARY, THREE_CLASS), settings, kinds)
 
@@ -306,6 +309,26 @@ def sensitivity(frame: DataFrame, settings: Settings = Settings(), sets=MASKING_
     )
 
 
+def usable_rows(frame: DataFrame, sets: Mapping[str, Sequence[str]] = FEATURE_SETS) -> DataFrame:
+    """``features, n_feats, n_rows, n_usable, n_common``: labelled rows, those with the set's features, with all sets'."""
+    labelled = frame.filter(F.col(BINARY.label).isNotNull())
+
+    def whole(feats) -> Column:
+        present = F.lit(True)
+        for f in feats:
+            present = present & F.col(f).isNotNull()
+        return present
+
+    every = whole(sorted({f for feats in sets.values() for f in feats}))
+    entries = F.array(*[
+        F.struct(F.lit(n).alias("features"), F.lit(len(f)).cast("long").alias("n_feats"), whole(f).alias("usable"))
+        for n, f in sets.items()
+    ])
+    return labelled.select(every.alias("common"), F.explode(entries).alias("e")).groupBy("e.features", "e.n_feats").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if("e.usable").alias("n_usable"), F.count_if("common").alias("n_common")
+    )
+
+
 def select_best(table: DataFrame, sets: Mapping[str, Sequence[str]] = FEATURE_SETS) -> DataFrame:
     """The best binary variant: PR-AUC, then ROC-AUC, then fewer features, then name."""
     n_feats = F.lit(None).cast("int")

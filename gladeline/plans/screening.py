@@ -7,14 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gladeline.functions.geojson import geometry_text
+from gladeline.functions.geojson import geometry_texts, parse_rings
 from gladeline.functions.labels import MEDIAN_AFFECTED_PCT, risk_binary, risk_class
 from gladeline.grid import GridSpec
 from gladeline.operators.components import MAX_PIXELS, MIN_PIXELS, parcels, study_area
-from gladeline.operators.footprints import centroid
+from gladeline.operators.footprints import centroid, polygon_runs
 from gladeline.operators.outlines import polygonize
 from gladeline.operators.proximity import both_distances
-from gladeline.operators.raster import clip_box, is_loss, resample, threshold
+from gladeline.operators.raster import clip, clip_box, is_loss, resample, threshold
 from gladeline.operators.zonal import loss_words, parcel_context, parcel_loss
 from gladeline.sources.store import with_defaults
 
@@ -34,18 +34,23 @@ def build_parcels(
     """
     rough = threshold(resample(cells, coarse, {"crop_prob": "avg"}), "crop_prob", t)
     coarse_grid = GridSpec(grid.cell_m * coarse, grid.lat0, grid.cell_deg and grid.cell_deg * coarse)
-    box = study_area(rough, coarse_grid.pixel_area(F.col("row")), round(radius_m / coarse_grid.cell_m))
+    box = study_area(rough, coarse_grid.pixel_area(F.col("row")), grid.cells(radius_m), coarse)
     if box is None:
         raise ValueError("no cell passes the threshold")
-    row_lo, row_hi, col_lo, col_hi = (
-        box[0] * coarse, box[1] * coarse + coarse - 1, box[2] * coarse, box[3] * coarse + coarse - 1
-    )
-    mask = threshold(clip_box(cells, row_lo, row_hi, col_lo, col_hi), "crop_prob", t).select("row", "col")
+    mask = threshold(clip_box(cells, *box), "crop_prob", t).select("row", "col")
     farms, runs = parcels(mask, lo, hi)
-    shapes = polygonize(runs).select("farm_id", geometry_text(F.col("rings"), grid.cell_m).alias("geometry"))
+    shapes = geometry_texts(polygonize(runs), scale=grid.cell_m)
     return farms.drop("comp_id").join(shapes, "farm_id"), runs
 
 
+def clip_to_boundary(cells: DataFrame, boundaries: DataFrame, grid: GridSpec) -> DataFrame:
+    """Cells whose centre lies in any of the boundaries ``(geometry)``: holes and several parts count, overlaps once."""
+    shapes = boundaries.select("geometry").distinct().select(
+        F.sha2("geometry", 256).alias("shape"), parse_rings(F.col("geometry")).alias("rings")
+    )
+    return clip(cells, polygon_runs(shapes, grid, "shape").select("row", "col_lo", "col_hi"))
+
+
 def assess(farm_runs: DataFrame, cells: DataFrame, grid: GridSpec, as_of: str, parcels: DataFrame | None = None) -> DataFrame:
     """Unscored assessments: own loss of every parcel, of all in ``parcels`` if given."""
     loss = with_defaults(parcel_loss(farm_runs, loss_words(cells), grid, parcels), as_of)

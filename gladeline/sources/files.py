@@ -14,10 +14,27 @@ _FEATURE = (
     "struct<type:string,geometry:string,"
     "properties:struct<farm_id:bigint,area_ha:double,count:bigint,commodity:string>>"
 )
+_BOUNDARY = "struct<type:string,geometry:string,properties:map<string,string>>"
+
+
+def _features(spark: SparkSession, path: str, feature: str, layout: str) -> DataFrame:
+    """GeoJSON features as ``f``, a struct of the given type."""
+    if layout == "lines":
+        line = F.regexp_replace(F.trim("value"), ",$", "")
+        return spark.read.text(path).select(F.from_json(line, feature).alias("f")).filter(F.col("f.type") == "Feature")
+    if layout == "collection":
+        whole = spark.read.schema(f"features array<{feature}>").option("multiLine", True).json(path)
+        return whole.select(F.explode("features").alias("f"))
+    raise ValueError(f"unknown layout {layout!r}")
+
+
+def read_boundaries(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:
+    """Any GeoJSON features as ``properties MAP<STRING, STRING>, geometry`` (text); layouts as in ``read_geojson``."""
+    return _features(spark, path, _BOUNDARY, layout).select("f.properties", "f.geometry")
 
 
 def read_boundary(boundaries: DataFrame, column: str, name: str) -> DataFrame:
-    """Boundary features by attribute; the equality reaches the file scan."""
+    """Boundary features by attribute; the equality reaches the file scan. ``properties.<name>`` is a column too."""
     return boundaries.filter(F.col(column) == F.lit(name))
 
 
@@ -27,15 +44,7 @@ def read_geojson(spark: SparkSession, path: str, layout: str = "lines") -> DataF
     ``lines``: one feature per line, alone or inside a collection written line by line; the file splits
     among tasks. ``collection``: one document of any layout, which one task has to parse.
     """
-    if layout == "lines":
-        line = F.regexp_replace(F.trim("value"), ",$", "")
-        features = spark.read.text(path).select(F.from_json(line, _FEATURE).alias("f")).filter(F.col("f.type") == "Feature")
-    elif layout == "collection":
-        whole = spark.read.schema(f"features array<{_FEATURE}>").option("multiLine", True).json(path)
-        features = whole.select(F.explode("features").alias("f"))
-    else:
-        raise ValueError(f"unknown layout {layout!r}")
-    return features.select(
+    return _features(spark, path, _FEATURE, layout).select(
         F.col("f.properties.farm_id").alias("farm_id"),
         F.col("f.properties.area_ha").alias("area_ha"),
         F.col("f.properties.count").alias("n_cells"),

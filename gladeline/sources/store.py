@@ -1,7 +1,9 @@
-"""The parcel store: two Parquet tables, ``farms`` and ``assessments``, under one folder."""
+"""The parcel store: two versioned Parquet tables, ``farms`` and ``assessments``, under one folder."""
 
 from __future__ import annotations
 
+import time
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,10 +15,27 @@ TABLES = {"farms": FARMS, "assessments": ASSESSMENTS}
 DEFAULT_COMMODITY = "cocoa"
 
 
+def _publish(df: DataFrame, path: str, name: str) -> None:
+    """Write a new version of a table, then make it the current one by one small appended pointer file.
+
+    Whatever fails on the way leaves the version before in place. Version names sort by time. One writer at a time.
+    """
+    spark = df.sparkSession
+    version = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    df.write.parquet(f"{path}/{name}/{version}")
+    pointer = spark.range(1).select(F.lit(version).alias("version")).coalesce(1)
+    pointer.write.mode("append").parquet(f"{path}/{name}__current")
+
+
+def _current(spark: SparkSession, path: str, name: str) -> str:
+    pointers = spark.read.schema("version string").parquet(f"{path}/{name}__current")
+    return f"{path}/{name}/{pointers.agg(F.max('version')).first()[0]}"
+
+
 def reset_store(spark: SparkSession, path: str) -> None:
     """Both tables again, empty."""
     for name, schema in TABLES.items():
-        spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/{name}")
+        _publish(spark.createDataFrame([], schema), path, name)
 
 
 def append_table(df: DataFrame, path: str, name: str) -> None:
@@ -25,11 +44,12 @@ def append_table(df: DataFrame, path: str, name: str) -> None:
         (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
         for f in TABLES[name].fields
     ]
-    df.select(*fields).write.mode("append").parquet(f"{path}/{name}")
+    df.select(*fields).write.mode("append").parquet(_current(df.sparkSession, path, name))
 
 
 def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
-    return spark.read.schema(TABLES[name]).parquet(f"{path}/{name}")
+    """The current version of a table; a reader keeps the version it began with."""
+    return spark.read.schema(TABLES[name]).parquet(_current(spark, path, name))
 
 
 def register_views(farms: DataFrame, assessments: DataFrame) -> None:
@@ -89,9 +109,5 @@ def apply_scores(assessments: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def write_snapshot(df: DataFrame, path: str, name: str) -> None:
-    """Replace a table. ``df`` may read the table it replaces: it is written beside it first."""
-    spark = df.sparkSession
-    fields = [F.col(f.name).cast(f.dataType) for f in TABLES[name].fields]
-    beside = f"{path}/{name}__next"
-    df.select(*fields).write.mode("overwrite").parquet(beside)
-    spark.read.schema(TABLES[name]).parquet(beside).write.mode("overwrite").parquet(f"{path}/{name}")
+    """Replace a table by a new version; ``df`` may read the version it replaces, which stays on disk."""
+    _publish(df.select(*[F.col(f.name).cast(f.dataType) for f in TABLES[name].fields]), path, name)

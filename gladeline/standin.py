@@ -102,17 +102,39 @@ def farms(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def shares(spark: SparkSession, sf_dir: str, raster: DataFrame | None = None) -> DataFrame:
+def shares(spark: SparkSession, sf_dir: str, raster: DataFrame | None = None, radii_m=RADII_M) -> DataFrame:
     """Own loss and ring shares per parcel."""
     raster = cells(spark, sf_dir) if raster is None else raster
-    return parcel_context(farm_runs(spark, sf_dir), loss_words(raster), GRID, RADII_M)
+    return parcel_context(farm_runs(spark, sf_dir), loss_words(raster), GRID, radii_m)
+
+
+def boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One feature per region: a square with a hole, and a triangle."""
+    a = F.lit(grid_side(spark, sf_dir) // 10).cast("long")
+    k = F.col("r_regionkey").cast("long")
+
+    def ring(*corners):
+        return F.array(*[F.array((F.lit(x) * GRID.cell_m).cast("double"), (F.lit(y) * GRID.cell_m).cast("double"))
+                         for x, y in (*corners, corners[0])])
+
+    square = ring((a, a), (a * 5, a), (a * 5, a * 5), (a, a * 5))
+    hole = ring((a * 2, a * 2), (a * 2, a * 3 + k), (a * 4, a * 3 + k), (a * 4, a * 2))
+    leg = a * 3 + 0.25
+    triangle = ring((a * 6, a * 6 + k), (a * 6 + leg, a * 6 + k), (a * 6, a * 6 + k + leg))
+    parts = F.array(F.array(square, hole), F.array(triangle))
+    return table(spark, sf_dir, "region").select(
+        F.col("r_name").alias("name"),
+        F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), parts.alias("coordinates"))).alias("geometry"),
+    )
 
 
-def assessments(spark: SparkSession, sf_dir: str, context: DataFrame | None = None) -> DataFrame:
+def assessments(
+    spark: SparkSession, sf_dir: str, context: DataFrame | None = None, widest: str = "nb_defo_pct_100"
+) -> DataFrame:
     """Assessments whose score stands in for a model: the loss share of the widest ring."""
     context = shares(spark, sf_dir) if context is None else context
     return context.select(
-        "farm_id", "defo_m2", "total_m2", "defo_pct", (F.col("nb_defo_pct_100") / 100.0).alias("risk_score"),
+        "farm_id", "defo_m2", "total_m2", "defo_pct", (F.col(widest) / 100.0).alias("risk_score"),
         risk_class(F.col("defo_pct")).alias("risk_class"), F.lit(AS_OF).cast("timestamp").alias("assessed_at"),
     )
 

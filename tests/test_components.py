@@ -94,7 +94,8 @@ def test_largest_and_study_area(spark):
     areas = cc.component_area_km2(runs, GridSpec(1000.0).pixel_area(F.col("row")))
     assert tuple(cc.largest_component(areas).first()) == (1, 10.0)  # equal areas: the smaller id
     mask = spark.createDataFrame([(r, c) for r in range(10, 13) for c in range(20, 25)], MASK)
-    assert cc.study_area(mask, F.lit(1.0), 5) == (6, 16, 17, 27)
+    assert cc.study_area(mask, F.lit(1.0), 5) == (6, 15, 17, 26)  # two radii wide
+    assert cc.study_area(mask, F.lit(1.0), 40, 4) == (6, 85, 50, 129)  # fine cells around 45.5, 89.5
     assert cc.study_area(spark.createDataFrame([], MASK), F.lit(1.0), 5) is None
 
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from gladeline.functions.geojson import geometry_text, parse_rings
+from gladeline.functions.geojson import geometry_texts, parse_rings
 from gladeline.grid import GridSpec
 from gladeline.operators.footprints import buffer_runs, centroid, dilate, polygon_runs, ring_runs
 from gladeline.operators.outlines import outline_edges, polygonize
@@ -120,7 +120,7 @@ def test_outline_length_counts_bare_sides(runs, footprints):
 
 def test_polygons_turn_back_into_the_same_cells(runs, footprints):
     """Outline, text, parse, scanline: holes and corner contacts included."""
-    text = polygonize(runs).select("farm_id", geometry_text(F.col("rings"), 10.0).alias("geometry"))
+    text = geometry_texts(polygonize(runs), scale=10.0)
     rings = text.select("farm_id", parse_rings(F.col("geometry")).alias("rings"))
     assert cells_of(polygon_runs(rings, GridSpec(10.0))) == footprints
 
@@ -128,9 +128,9 @@ def test_polygons_turn_back_into_the_same_cells(runs, footprints):
 def test_annulus_has_one_hole(spark):
     ring = {(r, c) for r in range(7) for c in range(7)} - {(r, c) for r in range(2, 5) for c in range(2, 5)}
     runs = spark.createDataFrame(as_runs({1: ring}), RUN)
-    row = polygonize(runs).select("rings", geometry_text(F.col("rings")).alias("g")).first()
-    assert [len(r) for r in row["rings"]] == [5, 5]
-    assert row["g"].startswith('{"type":"Polygon"')
+    shapes = polygonize(runs)
+    assert [len(r) for r in shapes.first()["rings"]] == [5, 5]
+    assert geometry_texts(shapes).first()["geometry"].startswith('{"type":"Polygon"')
     assert cells_of(polygon_runs(polygonize(runs), GridSpec(1.0))) == {1: ring}
 
 
@@ -138,10 +138,10 @@ def test_nested_parts_keep_their_holes(spark):
     """An island inside the hole of an annulus: two outer rings, the hole belongs to the big one."""
     ring = {(r, c) for r in range(9) for c in range(9)} - {(r, c) for r in range(1, 8) for c in range(1, 8)}
     shape = ring | {(4, 4)}
-    text = polygonize(spark.createDataFrame(as_runs({1: shape}), RUN)).select(geometry_text(F.col("rings")).alias("g"))
+    text = geometry_texts(polygonize(spark.createDataFrame(as_runs({1: shape}), RUN)))
     import json
 
-    doc = json.loads(text.first()["g"])
+    doc = json.loads(text.first()["geometry"])
     assert doc["type"] == "MultiPolygon"
     assert sorted(len(part) for part in doc["coordinates"]) == [1, 2]
 
@@ -150,11 +150,31 @@ def test_corner_contact_gives_two_parts(spark):
     import json
 
     runs = spark.createDataFrame(as_runs({1: {(0, 0), (1, 1)}}), RUN)
-    doc = json.loads(polygonize(runs).select(geometry_text(F.col("rings")).alias("g")).first()["g"])
+    doc = json.loads(geometry_texts(polygonize(runs)).first()["geometry"])
     assert doc["type"] == "MultiPolygon"
     assert len(doc["coordinates"]) == 2
 
 
+def test_four_hundred_rings_find_their_parts(spark):
+    """Frames of 3 x 3 cells that touch at corners only: 400 outer rings with a hole each."""
+    import json
+
+    frame = {(r, c) for r in range(3) for c in range(3)} - {(1, 1)}
+    shape = {(r + 3 * a, c + 3 * b) for a in range(28) for b in range(28) if (a + b) % 2 == 0 for r, c in frame}
+    text = geometry_texts(polygonize(spark.createDataFrame(as_runs({1: shape}), RUN)))
+    doc = json.loads(text.first()["geometry"])
+    assert [len(part) for part in doc["coordinates"]] == [2] * (28 * 14)
+    for outer, hole in doc["coordinates"]:
+        assert min(outer)[0] < min(hole)[0] < max(hole)[0] < max(outer)[0]
+    rings = text.select("farm_id", parse_rings(F.col("geometry")).alias("rings"))
+    assert cells_of(polygon_runs(rings, GridSpec(1.0))) == {1: shape}
+
+
+def test_shapes_without_rings_have_no_text(spark):
+    shapes = spark.createDataFrame([(1, None), (2, [])], "farm_id long, rings array<array<struct<x:double,y:double>>>")
+    assert {tuple(r) for r in geometry_texts(shapes).collect()} == {(1, None), (2, None)}
+
+
 def test_slanted_polygon_takes_cells_by_centre(spark):
     ring = [(0.0, 0.0), (100.0, 0.0), (0.0, 100.0), (0.0, 0.0)]
     rows = [(1, [[{"x": x, "y": y} for x, y in ring]])]

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from gladeline.plans import metrics as me
 from gladeline.plans import modelling as mo
+from gladeline.plans.scoring import scoring_run, watch_list
 from gladeline.plans.screening import model_frame
 from gladeline.session import cut_lineage
+from gladeline.sources import store
 
 FAST = mo.Settings(trees=10, depth=5, max_iter=100, folds=3, parallel=4)
 SETS = {"A": ["x"], "B": ["x", "z"]}
@@ -161,3 +163,25 @@ def test_model_frame_joins_and_labels(spark):
     extra = spark.createDataFrame([(1, 5.0), (2, 6.0)], "farm_id long, nb_defo_pct_200 double")
     got = [tuple(r) for r in model_frame(farms, shares, extra).orderBy("farm_id").collect()]
     assert got == [(1, 2.0, 0.0, 5.0, "LOW", "CLEAN"), (2, 3.0, 7.0, 6.0, "HIGH", "AFFECTED")]
+
+
+def test_usable_rows(frame):
+    got = {r["features"]: tuple(r)[1:] for r in mo.usable_rows(frame, {**SETS, "Z": ["z"]}).collect()}
+    assert got == {"A": (1, 401, 400, 400), "B": (2, 401, 400, 400), "Z": (1, 401, 401, 400)}
+
+
+def test_the_scoring_run_stores_what_it_selects(spark, frame, tmp_path):
+    path = str(tmp_path)
+    store.reset_store(spark, path)
+    store.append_table(frame.withColumn("assessed_at", F.lit("2026-01-01")).drop("risk_class"), path, "assessments")
+    run = scoring_run(frame.withColumn("area_ha", F.lit(1.0)), path, FAST, SETS, ["LR"])
+    best = mo.select_best(run.comparison, SETS).first()
+    assert (run.model, run.features) == (best["model"], best["features"]) and run.comparison.count() == 4
+    kept = {r["farm_id"]: r for r in store.read_table(spark, path, "assessments").collect()}
+    scored = {r["farm_id"]: r for r in run.scored.collect()}
+    assert kept.keys() == scored.keys() and len(kept) == 402
+    assert all(kept[i]["risk_score"] == r["risk_score"] and kept[i]["risk_class"] == r["risk_class"] for i, r in scored.items())
+    assert kept[1001]["risk_score"] is None and 0 <= kept[1000]["risk_score"] <= 1
+    top = watch_list(run.scored, ["x"], 5).collect()
+    clean = sorted(((-r["risk_score"], i) for i, r in scored.items() if r["risk_binary"] == "CLEAN" and r["risk_score"] is not None))
+    assert [r["farm_id"] for r in top] == [i for _, i in clean[:5]]

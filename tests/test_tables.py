@@ -16,6 +16,7 @@ from gladeline.operators.raster import mosaic
 from gladeline.operators.zonal import loss_words, parcel_loss, zonal_sum
 from gladeline.plans import reports as rp
 from gladeline.plans import serving as sv
+from gladeline.plans.screening import clip_to_boundary
 from gladeline.sources import files, schemas, store
 from gladeline.sources.store import apply_scores
 
@@ -238,6 +239,41 @@ def test_store_round_trip(spark, tables, tmp_path):
     assert store.read_table(spark, path, "assessments").count() == 0
 
 
+def test_a_failed_snapshot_leaves_the_table(spark, tables, tmp_path):
+    _, a = tables
+    path = str(tmp_path)
+    store.reset_store(spark, path)
+    store.append_table(a, path, "assessments")
+    rows = store.read_table(spark, path, "assessments")
+    broken = rows.withColumn("risk_score", F.raise_error(F.lit("no score")).cast("double"))
+    with pytest.raises(Exception, match="no score"):
+        store.write_snapshot(broken, path, "assessments")
+    assert store.read_table(spark, path, "assessments").count() == 8
+    store.write_snapshot(rows.filter("farm_id > 2"), path, "assessments")
+    assert rows.count() == 8  # the version a reader began with
+    assert store.read_table(spark, path, "assessments").count() < 8
+
+
+def test_boundaries_of_any_properties(spark, tmp_path):
+    def square(x, y, side):
+        return [[x, y], [x + side, y], [x + side, y + side], [x, y + side], [x, y]]
+
+    features = [
+        {"type": "Feature", "properties": {"country_na": "Colombia", "n": 1},
+         "geometry": {"type": "MultiPolygon", "coordinates": [[square(0, 0, 50), square(10, 10, 20)], [square(70, 70, 20)]]}},
+        {"type": "Feature", "properties": {"country_na": "Colombia"}, "geometry": {"type": "Polygon", "coordinates": [square(40, 40, 20)]}},
+        {"type": "Feature", "properties": None, "geometry": {"type": "Polygon", "coordinates": [square(0, 0, 100)]}},
+    ]
+    want = {(r, c) for r in range(5) for c in range(5)} - {(r, c) for r in (1, 2) for c in (1, 2)}
+    want |= {(r, c) for r in (7, 8) for c in (7, 8)} | {(r, c) for r in (4, 5) for c in (4, 5)}
+    cells = spark.createDataFrame([(r, c) for r in range(10) for c in range(10)], "row long, col long")
+    (tmp_path / "lines.json").write_text("\n".join(json.dumps(f) for f in features))
+    (tmp_path / "whole.json").write_text(json.dumps({"type": "FeatureCollection", "features": features}, indent=1))
+    for layout, name in (("lines", "lines.json"), ("collection", "whole.json")):
+        chosen = files.read_boundary(files.read_boundaries(spark, str(tmp_path / name), layout), "properties.country_na", "Colombia")
+        assert {tuple(r) for r in clip_to_boundary(cells, chosen, GridSpec(10.0)).collect()} == want
+
+
 def test_scores_reach_every_row_of_a_farm(spark):
     rows = spark.createDataFrame([(1, 0.1, "LOW"), (1, 0.2, "LOW"), (2, 0.3, "LOW")], "farm_id long, risk_score double, risk_class string")
     new = spark.createDataFrame([(1, 0.9, "HIGH")], "farm_id long, risk_score double, risk_class string")
