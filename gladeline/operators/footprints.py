@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gladeline.grid import GridSpec, run_bits_in_word, without
@@ -121,6 +121,36 @@ def centroid(runs: DataFrame, id_col: str = "farm_id") -> DataFrame:
     )
 
 
+def parcel_points(parcels: DataFrame, farm_runs: DataFrame, grid: GridSpec, id_col: str = "farm_id") -> DataFrame:
+    """:func:`centroid` for every row of ``parcels(id, rings)``; one that owns no cell gets its polygon's centroid.
+
+    ``rings`` are in metres, holes run against their outer ring. A polygon without area has the mean of its
+    corners, one without corners has no place and gets NULLs. ``n_cells`` is 0 for all of these.
+    """
+    owned = centroid(farm_runs, id_col)
+    bare = parcels.select(id_col, "rings").dropDuplicates([id_col]).join(farm_runs.select(id_col), id_col, "left_anti")
+    a, b = F.col("s.a"), F.col("s.b")
+    cross = a["x"] * b["y"] - b["x"] * a["y"]
+    sides = F.transform("rings", lambda r: F.arrays_zip(
+        F.slice(r, F.lit(1), F.greatest(F.size(r) - 1, F.lit(0))).alias("a"), F.slice(r, F.lit(2), F.greatest(F.size(r) - 1, F.lit(0))).alias("b")
+    ))
+    sums = bare.select(id_col, F.explode_outer(F.flatten(sides)).alias("s")).groupBy(id_col).agg(
+        F.sum(cross).alias("twice"),
+        F.sum((a["y"] + b["y"]) * cross).alias("y_sum"), F.avg(a["y"]).alias("y_mean"),
+        F.sum((a["x"] + b["x"]) * cross).alias("x_sum"), F.avg(a["x"]).alias("x_mean"),
+    )
+
+    def place(axis: str) -> Column:
+        whole = F.when(F.col("twice") != 0, F.col(f"{axis}_sum") / (3 * F.col("twice"))).otherwise(F.col(f"{axis}_mean"))
+        return whole / F.lit(float(grid.cell_m))
+
+    rest = sums.select(
+        id_col, F.lit(0).cast("long").alias("n_cells"), (place("y") - 0.5).alias("row_mean"), (place("x") - 0.5).alias("col_mean"),
+        F.floor(place("y")).alias("crow"), F.floor(place("x")).alias("ccol"),
+    )
+    return owned.unionByName(rest)
+
+
 def _floor_div(a, b):
     """Whole-number division rounding down, for positive ``b``."""
     return F.call_function("div", a - F.pmod(a, b), b)

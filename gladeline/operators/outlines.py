@@ -1,112 +1,115 @@
-"""Outline polygons of footprints."""
+"""Outline polygons of footprints: sides of cells, linked into closed rings."""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gladeline.grid import without
 from gladeline.operators.words import merge_pieces, runs_to_words, words_to_pieces
+from gladeline.session import cut_lineage
 
+# directions of a side, clockwise with y pointing down
+RIGHT, DOWN, LEFT, UP = range(4)
 
-def outline_edges(runs: DataFrame, id_col: str = "farm_id") -> DataFrame:
-    """Straight outline pieces ``(id, x1, y1, x2, y2)`` in cell corners, the inside on the right hand.
 
-    A cell side is on the outline when the cell across it is outside. Works on whole words: the upper sides
-    of a row are its bits minus those of the row above. Size of a footprint does not matter here.
-    """
+def _directed_sides(runs: DataFrame, id_col: str) -> DataFrame:
+    """Straight outline sides ``(id, x1, y1, x2, y2, way)`` from turn to turn."""
     words = runs_to_words(runs, [id_col])
 
-    def sides(step: int) -> DataFrame:
+    def bare(step: int) -> DataFrame:
         across = words.select(
             F.col(id_col), (F.col("row") - step).alias("row"), "word", F.col("bits").alias("across")
         )
-        bare = words.join(across, [id_col, "row", "word"], "left").withColumn(
+        shown = words.join(across, [id_col, "row", "word"], "left").withColumn(
             "bits", without(F.col("bits"), F.coalesce("across", F.lit(0).cast("long")))
         )
-        return merge_pieces(words_to_pieces(bare, [id_col]), [id_col])
+        return merge_pieces(words_to_pieces(shown, [id_col]), [id_col])
 
-    lo, hi, row = F.col("col_lo"), F.col("col_hi") + 1, F.col("row")
     full = merge_pieces(words_to_pieces(words, [id_col]), [id_col])
 
-    def edge(df: DataFrame, x1, y1, x2, y2) -> DataFrame:
-        return df.select(id_col, x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"))
-
-    return (
-        edge(sides(-1), lo, row, hi, row)
-        .unionByName(edge(sides(1), hi, row + 1, lo, row + 1))
-        .unionByName(edge(full, lo, row + 1, lo, row))
-        .unionByName(edge(full, hi, row, hi, row + 1))
-    )
+    def upright(x: Column) -> DataFrame:
+        """Ends of runs, one below the other, as runs of rows: ``row`` is the x here and ``col_*`` are rows."""
+        ends = full.select(id_col, x.alias("row"), F.col("row").alias("col_lo"), F.col("row").alias("col_hi"))
+        return merge_pieces(ends, [id_col])
 
+    lo, hi, row = F.col("col_lo"), F.col("col_hi") + 1, F.col("row")
 
-def polygonize(runs: DataFrame, id_col: str = "farm_id") -> DataFrame:
-    """``id, rings ARRAY<ARRAY<STRUCT<x, y>>>`` in cell corners.
+    def side(df: DataFrame, x1, y1, x2, y2, way: int) -> DataFrame:
+        return df.select(id_col, x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"), F.lit(way).alias("way"))
 
-    Outer rings run with the inside on the right, holes the other way; parts that touch only at a corner get
-    rings of their own. One array holds the outline of one parcel, which is also the value returned for it,
-    and the size filter on parcels bounds it. The stitcher takes Arrow batches of many parcels.
-    """
-    sides = outline_edges(runs, id_col).groupBy(id_col).agg(
-        F.flatten(F.collect_list(F.array("x1", "y1", "x2", "y2"))).alias("sides")
-    )
-    rings = F.transform(
-        stitch_rings("sides"),
-        lambda ring: F.transform(ring, lambda p: F.struct(F.get(p, 0).alias("x"), F.get(p, 1).alias("y"))),
+    return (
+        side(bare(-1), lo, row, hi, row, RIGHT)
+        .unionByName(side(bare(1), hi, row + 1, lo, row + 1, LEFT))
+        .unionByName(side(upright(lo), row, hi, row, lo, UP))
+        .unionByName(side(upright(hi), row, lo, row, hi, DOWN))
     )
-    return sides.select(id_col, rings.alias("rings"))
-
-
-@F.pandas_udf(T.ArrayType(T.ArrayType(T.ArrayType(T.DoubleType()))))
-def stitch_rings(sides: pd.Series) -> pd.Series:
-    """Closed rings from outline sides given as flat ``x1, y1, x2, y2`` numbers."""
-    return sides.map(lambda flat: _stitch(flat.reshape(-1, 4).tolist()))
 
 
-def _stitch(edges) -> list[list[tuple[int, int]]]:
-    """Closed rings from straight sides; at a corner shared by two rings, turn right."""
-    ways: dict[tuple, list[tuple]] = {}
-    for x1, y1, x2, y2 in edges:
-        ways.setdefault((x1, y1), []).append((x2, y2))
-    rings = []
-    for start in sorted(ways, key=lambda p: (p[1], p[0])):
-        while ways.get(start):
-            ring, at = [start], ways[start].pop()
-            came = start
-            while at != start or _turns_away(ways, came, at):
-                ring.append(at)
-                came, at = at, _take(ways, came, at)
-            ring.append(start)
-            rings.append(_without_straight_corners(ring))
-    return rings
-
-
-def _sign(v) -> int:
-    return int(v > 0) - int(v < 0)
+def outline_edges(runs: DataFrame, id_col: str = "farm_id") -> DataFrame:
+    """Straight outline sides ``(id, x1, y1, x2, y2)`` in cell corners, from turn to turn, the inside on the right hand.
 
+    A cell side is on the outline when the cell across it is outside. Works on whole words: the upper sides
+    of a row are its bits minus those of the row above. A window holds one raster row or column of one footprint.
+    """
+    return _directed_sides(runs, id_col).drop("way")
 
-def _right_turn(came, at, to) -> int:
-    """1 for a right turn on a y-down grid, -1 for a left turn, 0 for straight on."""
-    ax, ay = at[0] - came[0], at[1] - came[1]
-    bx, by = to[0] - at[0], to[1] - at[1]
-    return _sign(ax * by - ay * bx)
 
+def outline_corners(runs: DataFrame, id_col: str = "farm_id") -> DataFrame:
+    """Corners of all outline rings as rows ``(id, head, place, x, y)``.
 
-def _turns_away(ways, came, at) -> bool:
-    """Back at the start, but the right turn leads on: the ring only touches itself here."""
-    return any(_right_turn(came, at, to) > 0 for to in ways.get(at, []))
+    ``head`` names the ring by its uppermost, then leftmost corner, and ``place`` orders the corners from there.
+    At a corner shared by two rings, each turns right.
 
+    Rings are found by doubling: a side knows the smallest corner among the next 2^k sides and how far off it is,
+    so the rounds follow the logarithm of the longest ring and no ring is ever held by one task. Once a round
+    changes nothing, all sides of a ring know the same head.
+    """
+    sides = _directed_sides(runs, id_col)
+    at = F.struct(F.col("y1").alias("y"), F.col("x1").alias("x"), "way")
+    leaving = sides.groupBy(id_col, F.col("x1").alias("x2"), F.col("y1").alias("y2")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("way"))).alias("ways")
+    )
+    right, left = (F.col("way") + 1) % 4, (F.col("way") + 3) % 4
+    way_on = F.when(F.getbit("ways", right) == 1, right).otherwise(left)
+    linked = cut_lineage(
+        sides.join(leaving, [id_col, "x2", "y2"]).select(
+            id_col, at.alias("at"), F.struct(F.col("y2").alias("y"), F.col("x2").alias("x"), way_on.alias("way")).alias("to"),
+            at.alias("head"), F.lit(0).cast("long").alias("steps"), F.lit(True).alias("moved"),
+        )
+    )
+    span = 1
+    while not linked.filter("moved").isEmpty():
+        ahead = linked.select(
+            id_col, F.col("at").alias("to"), F.col("to").alias("far"), F.col("head").alias("far_head"), F.col("steps").alias("far_steps")
+        )
+        moved = F.col("far_head") < F.col("head")
+        linked = cut_lineage(
+            linked.drop("moved").join(ahead, [id_col, "to"]).select(
+                id_col, "at", F.col("far").alias("to"),
+                F.when(moved, F.col("far_head")).otherwise(F.col("head")).alias("head"),
+                F.when(moved, F.col("far_steps") + span).otherwise(F.col("steps")).alias("steps"),
+                moved.alias("moved"),
+            )
+        )
+        span *= 2
+    # the head is no step away from itself, the side after it is the farthest from it
+    place = F.when(F.col("steps") == 0, F.lit(None)).otherwise(-F.col("steps"))
+    return linked.select(id_col, "head", place.alias("place"), F.col("at.x").alias("x"), F.col("at.y").alias("y"))
 
-def _take(ways, came, at):
-    to = max(ways[at], key=lambda p: _right_turn(came, at, p))
-    ways[at].remove(to)
-    return to
 
+def polygonize(runs: DataFrame, id_col: str = "farm_id") -> DataFrame:
+    """``id, rings ARRAY<ARRAY<STRUCT<x, y>>>`` in cell corners.
 
-def _without_straight_corners(ring):
-    points = ring[:-1]
-    n = len(points)
-    kept = [p for i, p in enumerate(points) if _right_turn(points[i - 1], p, points[(i + 1) % n]) != 0]
-    return kept + kept[:1]
+    Outer rings run with the inside on the right, holes the other way; parts that touch only at a corner get
+    rings of their own. Only the finished value of a footprint is an array; rings come as rows from
+    :func:`outline_corners`.
+    """
+    # nulls sort first, and so does the head
+    points = F.sort_array(F.collect_list(F.struct("place", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))))
+    rings = outline_corners(runs, id_col).groupBy(id_col, "head").agg(points.alias("p"))
+    ring = F.transform(F.concat("p", F.slice("p", 1, 1)), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
+    shapes = rings.select(id_col, "head", ring.alias("ring")).groupBy(id_col).agg(
+        F.sort_array(F.collect_list(F.struct("head", "ring"))).alias("rings")
+    )
+    return shapes.select(id_col, F.transform("rings", lambda r: r["ring"]).alias("rings"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from gladeline.functions.numbers import cap_distance
 from gladeline.grid import BLOCK_SHIFT, bit_range, block_of, has_bit, low_bits, one_bit, without
 from gladeline.operators.joins import join_to_unique
+from gladeline.operators.raster import prune
 
 BLOCK = 1 << BLOCK_SHIFT  # cells along a block
 SHEET = BLOCK * BLOCK  # cells along a sheet
@@ -192,8 +193,12 @@ def both_distances(
 
 
 def sample_at(points: DataFrame, cells: DataFrame, name: str) -> DataFrame:
-    """``farm_id, <band>``: the band at the centroid cell, NULL where it is masked."""
-    values = cells.select(F.col("row").cast("long").alias("crow"), F.col("col").cast("long").alias("ccol"), name)
+    """``farm_id, <band>``: the band at the centroid cell, NULL where it is masked.
+
+    Only raster cells in the tiles of the points are shuffled.
+    """
+    spots = points.select(F.col("crow").alias("row"), F.col("ccol").alias("col_lo"), F.col("ccol").alias("col_hi"))
+    values = prune(cells, spots).select(F.col("row").cast("long").alias("crow"), F.col("col").cast("long").alias("ccol"), name)
     at = points.select("farm_id", "crow", "ccol")
     return join_to_unique(at, values, ["crow", "ccol"], "left").select("farm_id", name)
 

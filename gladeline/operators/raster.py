@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from gladeline.grid import WORD_SHIFT, has_bit, low_bits, word_of
 from gladeline.operators.joins import join_to_unique
 from gladeline.operators.words import runs_to_words
+from gladeline.session import cut_lineage
 
+TILE_SHIFT = 10  # 1024 x 1024 cells per tile when cells are pruned
+MOST_TILES = 100_000  # tiles of a region that are broadcast, 16 bytes each
 LOSS_SINCE = 21  # loss year 21 = 2021, the first year after the forest map
 
 
@@ -33,9 +36,10 @@ def threshold(cells: DataFrame, name: str, t: float) -> DataFrame:
 def mosaic(scenes: DataFrame, order_cols: Sequence[str], bands: Sequence[str]) -> DataFrame:
     """One value per cell and band: the last valid value by ``order_cols`` wins; a masked one hides nothing.
 
-    An aggregate rather than a ranked window, so a cell that many scenes cover shrinks before the shuffle.
+    An aggregate rather than a ranked window, so a cell that many scenes cover shrinks before the shuffle. One
+    numeric or time column as the order keeps it a hash aggregate; several columns make it sort.
     """
-    order = F.struct(*order_cols)
+    order = F.col(order_cols[0]) if len(order_cols) == 1 else F.struct(*order_cols)
     last = [F.max_by(b, F.when(F.col(b).isNotNull(), order)).alias(b) for b in bands]
     return scenes.groupBy("row", "col").agg(*last)
 
@@ -43,11 +47,12 @@ def mosaic(scenes: DataFrame, order_cols: Sequence[str], bands: Sequence[str]) -
 def clip(cells: DataFrame, region_runs: DataFrame) -> DataFrame:
     """Cells inside a region given as runs ``(row, col_lo, col_hi)``.
 
-    The region becomes one bit word per 64 columns, so every cell meets at most one region row.
+    The region becomes one bit word per 64 columns, so every cell meets at most one region row. Cells far from
+    the region are left out before they are shuffled.
     """
     region = runs_to_words(region_runs, []).select("row", "word", F.col("bits").alias("region_bits"))
     inside = has_bit(F.col("region_bits"), low_bits(F.col("col"), WORD_SHIFT))
-    marked = cells.withColumn("word", word_of(F.col("col")))
+    marked = prune(cells, region_runs).withColumn("word", word_of(F.col("col")))
     return join_to_unique(marked, region, ["row", "word"]).filter(inside).select(*cells.columns)
 
 
@@ -56,6 +61,34 @@ def clip_box(cells: DataFrame, row_lo: int, row_hi: int, col_lo: int, col_hi: in
     return cells.filter(F.col("row").between(row_lo, row_hi) & F.col("col").between(col_lo, col_hi))
 
 
+def prune(cells: DataFrame, runs: DataFrame, most_tiles: int = MOST_TILES) -> DataFrame:
+    """Cells that may meet the runs ``(row, col_lo, col_hi)``; the others are dropped without a shuffle.
+
+    The box around all runs reaches the file scan as four constants. The tiles that the runs touch are counted and
+    broadcast up to ``most_tiles`` (16 bytes each); with more of them the box alone prunes. Either way a join with
+    the runs themselves has to follow.
+    """
+    row, lo, hi = (F.col(c).cast("long") for c in ("row", "col_lo", "col_hi"))
+    tile = F.explode(F.sequence(F.shiftright(lo, TILE_SHIFT), F.shiftright(hi, TILE_SHIFT)))
+    spans = runs.select(row.alias("row"), lo.alias("lo"), hi.alias("hi"), tile.alias("__tcol")).withColumn(
+        "__trow", F.shiftright("row", TILE_SHIFT)
+    )
+    tiles = cut_lineage(spans.groupBy("__trow", "__tcol").agg(
+        F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("lo").alias("c0"), F.max("hi").alias("c1")
+    ))
+    box = tiles.agg(F.count(F.lit(1)).alias("n"), F.min("r0"), F.max("r1"), F.min("c0"), F.max("c1")).first()
+    if box["n"] == 0:
+        return cells.filter(F.lit(False))
+    inside = clip_box(cells, *box[1:])
+    if box["n"] > most_tiles:
+        return inside
+    placed = inside.withColumns({
+        "__trow": F.shiftright(F.col("row").cast("long"), TILE_SHIFT), "__tcol": F.shiftright(F.col("col").cast("long"), TILE_SHIFT)
+    })
+    touched = tiles.select("__trow", "__tcol")
+    return placed.join(F.broadcast(touched), ["__trow", "__tcol"], "left_semi").select(*cells.columns)
+
+
 def is_loss(since: int = LOSS_SINCE) -> Column:
     """Lost since year ``since`` on land that was forest; NULL bands count as no loss."""
     return F.coalesce((F.col("lossyear") >= F.lit(since)) & (F.col("forest2020") == F.lit(1)), F.lit(False))

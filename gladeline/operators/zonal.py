@@ -11,7 +11,7 @@ from gladeline.functions.numbers import share_pct
 from gladeline.grid import GridSpec, without
 from gladeline.operators.footprints import dilate
 from gladeline.operators.joins import join_to_unique
-from gladeline.operators.raster import LOSS_SINCE, is_loss
+from gladeline.operators.raster import LOSS_SINCE, is_loss, prune
 from gladeline.operators.words import cells_to_words, runs_to_words
 
 
@@ -28,14 +28,14 @@ def zonal_sum(
     ``parcels`` names the parcels; without it only those that own a cell are known.
 
     Every footprint cell meets at most one raster cell, so the join has as many rows as the parcels have
-    cells. A NULL band value counts for no sum but its own. For areas of masks, ``loss_shares`` does the same
+    cells; raster cells far from all parcels are not shuffled. A NULL band value counts for no sum but its own. For areas of masks, ``loss_shares`` does the same
     on packed words.
     """
     own = farm_runs.select(
         id_col, F.col("row").cast("long").alias("row"),
         F.explode(F.sequence(F.col("col_lo").cast("long"), F.col("col_hi").cast("long"))).alias("col"),
     )
-    values = cells.select(
+    values = prune(cells, farm_runs).select(
         F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"),
         *[F.col(b).cast("double").alias(b) for b in bands],
     )
@@ -84,11 +84,15 @@ def parcel_loss(farm_runs: DataFrame, raster_words: DataFrame, grid: GridSpec, p
 
 
 def ring_features(
-    farm_runs: DataFrame, raster_words: DataFrame, grid: GridSpec, radii_m: Sequence[int] = (200, 500, 1000)
+    farm_runs: DataFrame, raster_words: DataFrame, grid: GridSpec, radii_m: Sequence[int] = (200, 500, 1000),
+    parcels: DataFrame | None = None,
 ) -> DataFrame:
-    """``farm_id, nb_defo_pct_<radius>...`` with radii in metres; no ring holds the parcel itself."""
+    """``farm_id, nb_defo_pct_<radius>...`` with radii in metres; no ring holds the parcel itself.
+
+    With ``parcels``, those that own no cell keep a row, with NULL shares.
+    """
     cells = {m: int(grid.cells(m)) for m in radii_m}
-    sums = loss_shares(farm_runs, raster_words, grid, sorted(set(cells.values())))
+    sums = loss_shares(farm_runs, raster_words, grid, sorted(set(cells.values())), parcels=parcels)
     return sums.select(
         "farm_id",
         *[share_pct(F.col(f"defo_m2_{r}"), F.col(f"total_m2_{r}")).alias(f"nb_defo_pct_{m}") for m, r in cells.items()],
@@ -96,11 +100,12 @@ def ring_features(
 
 
 def parcel_context(
-    farm_runs: DataFrame, raster_words: DataFrame, grid: GridSpec, radii_m: Sequence[int] = (200, 500, 1000)
+    farm_runs: DataFrame, raster_words: DataFrame, grid: GridSpec, radii_m: Sequence[int] = (200, 500, 1000),
+    parcels: DataFrame | None = None,
 ) -> DataFrame:
-    """Own loss and ring shares together: one dilation, one join, one aggregate."""
+    """Own loss and ring shares together: one dilation, one join, one aggregate. ``parcels`` as in :func:`ring_features`."""
     cells = {m: int(grid.cells(m)) for m in radii_m}
-    sums = loss_shares(farm_runs, raster_words, grid, sorted(set(cells.values())))
+    sums = loss_shares(farm_runs, raster_words, grid, sorted(set(cells.values())), parcels=parcels)
     return sums.select(
         "farm_id", "defo_m2", "total_m2",
         share_pct(F.col("defo_m2"), F.col("total_m2")).alias("defo_pct"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gladeline.functions.geojson import geometry_texts, parse_rings
 from gladeline.grid import GridSpec
-from gladeline.operators.footprints import buffer_runs, centroid, dilate, polygon_runs, ring_runs
+from gladeline.operators.footprints import buffer_runs, centroid, dilate, parcel_points, polygon_runs, ring_runs
 from gladeline.operators.outlines import outline_edges, polygonize
 from gladeline.operators.raster import clip
 from gladeline.operators.words import cells_to_words, merge_pieces, runs_to_words, words_to_cells, words_to_runs
@@ -101,6 +101,39 @@ def test_centroid_of_a_footprint(runs, footprints):
         assert (r["crow"], r["ccol"]) == ((2 * rows + n) // (2 * n), (2 * cols + n) // (2 * n))
 
 
+def test_parcel_without_a_cell_has_its_polygons_centroid(spark):
+    """Too small, turned the other way, without area, without rings: every parcel keeps a row."""
+    def square(x, y, size):
+        return [[(x, y), (x + size, y), (x + size, y + size), (x, y + size), (x, y)]]
+
+    shapes = [
+        (1, square(0.0, 0.0, 40.0)), (2, square(31.0, 52.0, 2.0)), (3, [square(-29.0, 11.0, 2.0)[0][::-1]]),
+        (4, [[(10.0, 10.0), (30.0, 10.0), (10.0, 10.0)]]), (5, []), (6, None),
+    ]
+    farms = spark.createDataFrame(shapes, "farm_id long, rings array<array<struct<x:double,y:double>>>")
+    grid = GridSpec(10.0)
+    owned = polygon_runs(farms, grid)
+    got = {r["farm_id"]: r for r in parcel_points(farms.unionByName(farms), owned, grid).collect()}
+    assert len(got) == 6 and got[1]["n_cells"] == 16 and (got[1]["row_mean"], got[1]["col_mean"]) == (1.5, 1.5)
+    assert [got[i]["n_cells"] for i in (2, 3, 4, 5, 6)] == [0] * 5
+    assert (got[2]["crow"], got[2]["ccol"]) == (5, 3) and (got[3]["crow"], got[3]["ccol"]) == (1, -3)
+    assert got[2]["row_mean"] == pytest.approx(4.8) and got[2]["col_mean"] == pytest.approx(2.7)
+    assert (got[4]["crow"], got[4]["ccol"]) == (1, 2)
+    assert got[5]["crow"] is None and got[6]["row_mean"] is None
+
+
+def test_long_ring_keeps_its_order(spark):
+    """A comb with 400 teeth: one ring of 1,600 corners in the order of the outline, turning at each."""
+    cells = {(r, 2 * c) for r in (1, 2, 3) for c in range(400)} | {(4, c) for c in range(799)}
+    rings = polygonize(spark.createDataFrame(as_runs({1: cells}), RUN)).first()["rings"]
+    assert len(rings) == 1 and len(rings[0]) == 1601
+    ring = [(p["x"], p["y"]) for p in rings[0]]
+    assert ring[0] == ring[-1] == (0.0, 1.0) and len(set(ring)) == 1600
+    sides = list(zip(ring, ring[1:]))
+    assert all((a[0] == b[0]) != (a[1] == b[1]) for a, b in sides)
+    assert sum(a[0] * b[1] - b[0] * a[1] for a, b in sides) == 2 * len(cells)
+
+
 def test_clip_keeps_cells_inside_overlapping_runs(spark):
     cells = spark.createDataFrame([(r, c, 0.5) for r in range(3) for c in range(130)], "row long, col long, p double")
     region = spark.createDataFrame([(1, 60, 70), (1, 65, 129), (2, 0, 0)], "row long, col_lo long, col_hi long")

@@ -16,6 +16,7 @@ SF = "/root/testdata/sf0.001"
 SPATIAL = (
     "clip", "zonal_sum", "defo_pct", "buffer_runs", "ring_runs", "ring_features", "parcel_context", "nearest_loss",
     "nearest_loss_excluding_own", "both_distances", "sample_at", "polygon_runs", "parcels_view", "stats_document",
+    "polygonize_parcels", "polygonize_area", "outline_parts", "outline_perimeter",
 )
 
 
@@ -83,6 +84,7 @@ def test_mosaic_combines_a_hot_cell_before_the_shuffle(spark):
     df = mosaic(scenes, ["seq"], ["p"])
     text = plan(df)
     assert text.index("partial_max_by") > text.index("Exchange")
+    assert "HashAggregate" in text and "SortAggregate" not in text
     got = {r["row"]: r["p"] for r in df.collect()}
     want = {}
     for i in range(30_000):
@@ -110,3 +112,23 @@ def test_checkpoints_go_to_the_named_folder(spark):
 
     folder = ensure_checkpoint_dir(spark)
     assert folder and ensure_checkpoint_dir(spark) == folder == spark.sparkContext.getCheckpointDir()
+
+
+def test_cells_are_pruned_before_they_are_shuffled(spark, tmp_path):
+    """One small region of a wide raster: the box is pushed to the scan, tiles are kept by a broadcast, no cell is lost."""
+    from gladeline.operators.raster import clip, prune
+
+    path = str(tmp_path / "cells")
+    spark.range(0, 400_000).select(
+        (F.col("id") % 4000).alias("row"), (F.floor(F.col("id") / 4000) * 41).alias("col"), F.col("id").alias("v")).write.parquet(path)
+    cells = spark.read.parquet(path)
+    region = spark.createDataFrame([(5, 0, 90), (6, 40, 90), (3000, 3900, 4100)], "row long, col_lo long, col_hi long")
+    want = {(r, c) for r, lo, hi in ((5, 0, 90), (6, 40, 90), (3000, 3900, 4100)) for c in range(0, 4100, 41) if lo <= c <= hi}
+    clipped = clip(cells, region)
+    assert {(r["row"], r["col"]) for r in clipped.collect()} == want
+    text = plan(clipped)
+    assert "GreaterThanOrEqual(row,5)" in text and "LeftSemi, BuildRight" in text
+    few, box = prune(cells, region), prune(cells, region, most_tiles=1)
+    assert few.columns == cells.columns and few.count() < box.count() < 400_000
+    assert {(r["row"], r["col"]) for r in clip(box, region).collect()} == want
+    assert prune(cells, region.limit(0)).count() == 0
