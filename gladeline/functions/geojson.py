@@ -13,6 +13,7 @@ RINGS_TYPE = "array<array<struct<x:double,y:double>>>"
 _POLYGON = "struct<type:string,coordinates:array<array<array<double>>>>"
 _MULTI = "struct<type:string,coordinates:array<array<array<array<double>>>>>"
 
+MOST_FEATURES = 10_000  # of one collection text
 FARM_PROPERTIES = ("farm_id", "area_ha", "defo_pct", "risk_score", "risk_class")
 
 
@@ -119,18 +120,19 @@ def to_feature(df: DataFrame, properties: Sequence[str] = FARM_PROPERTIES) -> Da
     return df.withColumn("feature", text)
 
 
-def to_feature_collection(page: DataFrame, order: Column, properties: Sequence[str] = FARM_PROPERTIES) -> DataFrame:
-    """One FeatureCollection text from a limited page of rows.
+def to_feature_collection(
+    page: DataFrame, order: Column, properties: Sequence[str] = FARM_PROPERTIES, most: int = MOST_FEATURES
+) -> DataFrame:
+    """One FeatureCollection text from a page of rows.
 
-    The page is a request of at most 10,000 parcels; whole tables go out through ``write_geojson``.
+    A page of more than ``most`` parcels is refused with an error once one too many is read; whole tables go out
+    through ``write_geojson``.
     """
-    rows = to_feature(page.withColumn("sort_key", order), properties).agg(
+    rows = to_feature(page.limit(most + 1).withColumn("sort_key", order), properties).agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("sort_key", "feature"))), lambda s: s["feature"]
         ).alias("features")
     )
-    return rows.select(
-        F.concat(
-            F.lit('{"type":"FeatureCollection","features":['), F.array_join("features", ","), F.lit("]}")
-        ).alias("collection")
-    )
+    text = F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join("features", ","), F.lit("]}"))
+    refused = F.raise_error(F.lit(f"a collection holds at most {most} features"))
+    return rows.select(F.when(F.size("features") > most, refused).otherwise(text).alias("collection"))

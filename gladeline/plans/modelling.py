@@ -61,12 +61,15 @@ THREE_CLASS = Framing("3-class", "risk_class", ("HIGH", "LOW", "MEDIUM"), "HIGH"
 
 @dataclass(frozen=True)
 class Settings:
+    """``fit_rows`` bounds the labelled rows of one fit, as a forest's trees live on the driver; scoring has no bound."""
+
     trees: int = 300
     depth: int = 30  # the deepest Spark grows
     max_iter: int = 1000
     folds: int = FOLDS
     seed: int = SEED
     parallel: int = 4  # fits in flight at a time
+    fit_rows: int = 1_000_000
 
 
 def class_index(framing: Framing) -> Column:
@@ -153,7 +156,28 @@ def _weight(counts: Mapping[float, int]) -> Column:
     return weight
 
 
+def _counts(rows: DataFrame, feats: Sequence[str]) -> dict[float, int]:
+    """Usable rows per class."""
+    usable = rows.dropna(subset=list(feats)).groupBy("y").agg(F.count(F.lit(1)).alias("n"))
+    return {r["y"]: r["n"] for r in usable.collect()}
+
+
+def _bounded(
+    train: DataFrame, feats: Sequence[str], counts: Mapping[float, int], settings: Settings
+) -> tuple[DataFrame, Mapping[float, int]]:
+    """About ``fit_rows`` rows at most, an equal share per class, drawn by a hash of the id; small classes stay whole."""
+    if sum(counts.values()) <= settings.fit_rows:
+        return train, counts
+    drawn = F.pmod(F.xxhash64(F.lit(settings.seed), "farm_id"), F.lit(1 << 30)) / float(1 << 30)
+    keep = F.lit(False)
+    for y, n in counts.items():
+        keep = F.when(F.col("y") == y, drawn < settings.fit_rows / len(counts) / n).otherwise(keep)
+    kept = train.filter(keep)
+    return kept, _counts(kept, feats)
+
+
 def _fit(train: DataFrame, kind: str, feats: Sequence[str], counts: Mapping[float, int], settings: Settings) -> PipelineModel:
+    train, counts = _bounded(train, feats, counts, settings)
     n = sum(counts.values())
     stages = rf(settings) if kind == "RF" else lr(settings, len(feats), n)
     return Pipeline(stages=[assemble(feats), *stages]).fit(train.withColumn("weight", _weight(counts)))
@@ -216,11 +240,7 @@ def cross_val_predict(
 
 def fit_all(frame: DataFrame, kind: str, feats: Sequence[str], framing: Framing, settings: Settings = Settings()) -> PipelineModel:
     rows = _training_rows(frame, framing)
-    counts = {
-        r["y"]: r["n"]
-        for r in rows.dropna(subset=list(feats)).groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()
-    }
-    return _fit(rows, kind, feats, counts, settings)
+    return _fit(rows, kind, feats, _counts(rows, feats), settings)
 
 
 def importances(model: PipelineModel, feats: Sequence[str]) -> list[tuple[str, float]]:

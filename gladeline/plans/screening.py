@@ -11,7 +11,7 @@ from gladeline.functions.geojson import geometry_texts, parse_rings
 from gladeline.functions.labels import MEDIAN_AFFECTED_PCT, risk_binary, risk_class
 from gladeline.grid import GridSpec
 from gladeline.operators.components import MAX_PIXELS, MIN_PIXELS, parcels, study_area
-from gladeline.operators.footprints import centroid, polygon_runs
+from gladeline.operators.footprints import centroid, parcel_points, polygon_runs
 from gladeline.operators.outlines import polygonize
 from gladeline.operators.proximity import both_distances
 from gladeline.operators.raster import clip, clip_box, is_loss, resample, threshold
@@ -62,13 +62,17 @@ def assess(farm_runs: DataFrame, cells: DataFrame, grid: GridSpec, as_of: str, p
 
 def context_features(
     farm_runs: DataFrame, cells: DataFrame, grid: GridSpec,
-    radii_m: Sequence[int] = RADII_M, cap_m: float = DISTANCE_CAP_M,
+    radii_m: Sequence[int] = RADII_M, cap_m: float = DISTANCE_CAP_M, parcels: DataFrame | None = None,
 ) -> DataFrame:
-    """Own loss, ring shares and both distances per parcel."""
-    points = centroid(farm_runs)
+    """Own loss, ring shares and both distances per parcel.
+
+    With ``parcels(farm_id, rings)`` those that own no cell have a row too: NULL shares, and distances from the
+    centroid of their polygon.
+    """
+    points = centroid(farm_runs) if parcels is None else parcel_points(parcels, farm_runs, grid)
     loss = cells.filter(is_loss()).select("row", "col")
     distances = both_distances(points, loss, farm_runs, grid.cell_m, cap_m)
-    return parcel_context(farm_runs, loss_words(cells), grid, radii_m).join(distances, "farm_id")
+    return parcel_context(farm_runs, loss_words(cells), grid, radii_m, parcels).join(distances, "farm_id")
 
 
 def model_frame(

@@ -165,6 +165,19 @@ def test_model_frame_joins_and_labels(spark):
     assert got == [(1, 2.0, 0.0, 5.0, "LOW", "CLEAN"), (2, 3.0, 7.0, 6.0, "HIGH", "AFFECTED")]
 
 
+def test_a_fit_takes_a_bounded_number_of_rows(spark):
+    """The frequent class is drawn from by a hash of the id, the rare one stays whole, and scoring has no bound."""
+    rows = spark.range(4000).select(
+        F.col("id").alias("farm_id"), (F.col("id") % 100 == 0).cast("double").alias("y"), (F.col("id") / 4000).alias("x"))
+    counts = {0.0: 3960, 1.0: 40}
+    kept, left = mo._bounded(rows, ["x"], counts, mo.Settings(fit_rows=400))
+    assert left[1.0] == 40 and 140 < left[0.0] < 260 and kept.count() == sum(left.values())
+    assert mo._bounded(rows, ["x"], counts, mo.Settings(fit_rows=4000)) == (rows, counts)
+    frame = rows.select("farm_id", "x", F.when(F.col("y") == 1, "AFFECTED").otherwise("CLEAN").alias("risk_binary"))
+    few = mo.Settings(trees=3, depth=3, folds=2, max_iter=20, fit_rows=400)
+    assert mo.score_all(frame, "LR", ["x"], mo.BINARY, few).filter("risk_score is not null").count() == 4000
+
+
 def test_usable_rows(frame):
     got = {r["features"]: tuple(r)[1:] for r in mo.usable_rows(frame, {**SETS, "Z": ["z"]}).collect()}
     assert got == {"A": (1, 401, 400, 400), "B": (2, 401, 400, 400), "Z": (1, 401, 401, 400)}

@@ -216,6 +216,10 @@ def test_features(tables):
     assert [f["properties"]["farm_id"] for f in doc["features"]] == [3, 4, 5]
     none = to_feature_collection(sv.list_farms(view, "HIGH", 1.0, offset=5), F.col("farm_id")).first()["collection"]
     assert json.loads(none)["features"] == []
+    whole = to_feature_collection(view, F.col("farm_id"), most=view.count()).first()["collection"]
+    assert len(json.loads(whole)["features"]) == view.count()
+    with pytest.raises(Exception, match="at most 3 features"):
+        to_feature_collection(view, F.col("farm_id"), most=3).collect()
 
 
 # ---- store and files --------------------------------------------------------------------------------------

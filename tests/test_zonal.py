@@ -156,3 +156,25 @@ def test_share_and_cap_expressions(spark):
     assert got == [None, 0.062, None]  # 0.0625 rounds to the even digit
     px = spark.createDataFrame([(None,), (1.0,), (300.0,)], "p double")
     assert [r[0] for r in px.select(cap_distance(F.col("p"), 10.0, 2560.0)).collect()] == [2560.0, 10.0, 2560.0]
+
+
+def test_context_of_a_parcel_without_a_cell(spark):
+    """It owns no cell centre: NULL shares, and the distance from its polygon's centroid."""
+    from gladeline.operators.footprints import polygon_runs
+    from gladeline.plans.screening import context_features
+
+    def square(x, y, size):
+        return [[(x, y), (x + size, y), (x + size, y + size), (x, y + size), (x, y)]]
+
+    cells = spark.createDataFrame(
+        [(r, c, 1, 22 if (r, c) == (5, 9) else 0) for r in range(12) for c in range(12)],
+        "row long, col long, forest2020 int, lossyear int")
+    parcels = spark.createDataFrame(
+        [(1, square(10.0, 10.0, 20.0)), (2, square(31.0, 52.0, 2.0))],
+        "farm_id long, rings array<array<struct<x:double,y:double>>>")
+    grid = GridSpec(10.0)
+    got = context_features(polygon_runs(parcels, grid), cells, grid, [20], 500.0, parcels)
+    rows = {r["farm_id"]: r.asDict() for r in got.collect()}
+    assert set(rows) == {1, 2} and rows[1]["total_m2"] == 400.0
+    assert rows[2]["defo_pct"] is None and rows[2]["nb_defo_pct_20"] is None
+    assert rows[2]["dist_to_defo_m"] == rows[2]["dist_to_defo_m_masked"] == 60.0
