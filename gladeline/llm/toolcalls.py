@@ -12,7 +12,9 @@ call_id, content)`` and ``schemas(tool, parameter, kind, required)`` with the ki
 Defined cases: the first call of an id (by turn, then tool and arguments) is the call, repeated ones are dropped and
 noted as ``repeated_id``; of several results the first by turn, then content, is linked; results without a call are
 left out, calls without a result have none; calls without a conversation or id are left out; null or broken arguments
-are ``malformed`` and written as null; a need that no call meets is ``unknown_reference`` and does not hold up the
+are ``malformed`` and written as null, as are those nested deeper than the parser's 1000 levels; arguments that do not
+parse and have more than ``PARSER_CHARS`` characters, the parser's limit of one text, are ``too_long`` and written
+whole, as a JSON string; a need that no call meets is ``unknown_reference`` and does not hold up the
 order; calls in a circle of needs, or after one, are ``circular`` and come last, by turn; duplicate rows of a schema
 count once; empty inputs give an empty result; further columns are ignored.
 """
@@ -29,6 +31,8 @@ from gladeline.operators.ordering import number_rows
 KINDS = ("string", "integer", "number", "boolean", "object", "array")
 _KEY = ["conv_id", "call_id"]
 _MEMBERS = "try_cast(try_parse_json(arguments) AS map<string, variant>)"  # null unless the text is a JSON object
+#: Characters of one text that the JSON parser takes.
+PARSER_CHARS = 20_000_000
 _REFERENCE = r"^\$ref:(.+)$"
 
 
@@ -47,13 +51,19 @@ def _fits(kind: Column, wanted: Column) -> Column:
 
 
 def first_calls(calls: DataFrame) -> DataFrame:
-    """One row per call id of a conversation, with its arguments as a parsed value and the number of its rows."""
+    """One row per call id of a conversation, whether its arguments are broken and whether its id is repeated."""
     known = calls.filter(F.col("conv_id").isNotNull() & F.col("call_id").isNotNull())
     body = F.struct(F.col("turn").cast("long").alias("turn"), F.col("tool").cast("string").alias("tool"), F.col("arguments").cast("string").alias("arguments"))
     one = known.groupBy(F.col("conv_id").cast("long").alias("conv_id"), F.col("call_id").cast("string").alias("call_id")).agg(
         F.min(body).alias("first"), F.count(F.lit(1)).alias("n")
     )
-    return one.select(*_KEY, "first.turn", "first.tool", "first.arguments", (F.col("n") > 1).alias("repeated"))
+    return one.select(*_KEY, "first.turn", "first.tool", "first.arguments", (F.col("n") > 1).alias("repeated")).withColumn(
+        "broken", F.expr(_MEMBERS).isNull()
+    )
+
+
+def _too_long() -> Column:
+    return F.col("broken") & (F.char_length("arguments") > PARSER_CHARS)
 
 
 def argument_rows(calls: DataFrame) -> DataFrame:
@@ -71,8 +81,7 @@ def validate(calls: DataFrame, arguments: DataFrame, schemas: DataFrame) -> Data
     schema = schemas.filter(F.col("tool").isNotNull() & F.col("parameter").isNotNull()).groupBy("tool", "parameter").agg(
         F.min("kind").alias("wanted"), F.max("required").alias("required")
     )
-    broken = F.expr(_MEMBERS).isNull()
-    malformed = calls.filter(broken).select(*_KEY, F.lit("malformed").alias("error"))
+    malformed = calls.filter("broken").select(*_KEY, F.when(_too_long(), "too_long").otherwise("malformed").alias("error"))
     repeated = calls.filter("repeated").select(*_KEY, F.lit("repeated_id").alias("error"))
     tools = schema.select("tool").distinct().withColumn("known", F.lit(True))
     unknown = calls.join(tools, "tool", "left").filter(F.col("known").isNull()).select(*_KEY, F.lit("unknown_tool").alias("error"))
@@ -84,7 +93,7 @@ def validate(calls: DataFrame, arguments: DataFrame, schemas: DataFrame) -> Data
     )
     kinds = met.select(*_KEY, wrong.alias("error")).filter(F.col("error").isNotNull())
     # required parameters that are absent
-    needed = calls.filter(~broken).join(schema.filter("required"), "tool").select(*_KEY, "parameter")
+    needed = calls.filter("NOT broken").join(schema.filter("required"), "tool").select(*_KEY, "parameter")
     absent = needed.join(arguments.select(*_KEY, "parameter"), [*_KEY, "parameter"], "left_anti")
     missing = absent.select(*_KEY, F.concat(F.lit("missing:"), "parameter").alias("error"))
     return malformed.unionByName(repeated).unionByName(unknown).unionByName(kinds).unionByName(missing)
@@ -132,14 +141,15 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     whole = known.join(level, _KEY, "left").join(errors, _KEY, "left").join(first, _KEY, "left")
     all_errors = F.coalesce("errors", F.array().cast("array<string>"))
     circular = F.when(F.col("level").isNull(), F.array(F.lit("circular"))).otherwise(F.array().cast("array<string>"))
-    record = F.to_json(
-        F.struct(
-            F.expr(f"CASE WHEN {_MEMBERS} IS NOT NULL THEN try_parse_json(arguments) END").alias("arguments"), F.col("call_id"), F.col("answer.content").alias("result"), F.col("tool")
-        ), {"ignoreNullFields": "false"}
-    )
+
+    def record(arguments):
+        return F.to_json(F.struct(arguments.alias("arguments"), F.col("call_id"), F.col("answer.content").alias("result"), F.col("tool")), {"ignoreNullFields": "false"})
+
+    parsed = F.expr("CASE WHEN NOT broken THEN try_parse_json(arguments) END")
+    written = F.when(_too_long(), record(F.col("arguments"))).otherwise(record(parsed))
     rows = whole.select(
         *_KEY, "turn", "level", "tool", F.sort_array(F.concat(all_errors, circular)).alias("errors"),
-        F.col("answer.turn").alias("result_turn"), record.alias("json"),
+        F.col("answer.turn").alias("result_turn"), written.alias("json"),
     )
     order = [F.col("conv_id"), F.col("level").isNull(), F.col("level"), F.col("turn"), F.col("call_id")]
     placed = stored(number_rows(stored(rows), order, "__at"))
@@ -154,12 +164,12 @@ def calls_of(conversations: DataFrame) -> DataFrame:
     """Tool calls in the shape of a conversation table: every assistant turn asks a tool.
 
     The tool, the limit and now and then a fault (a limit written as text, a missing query, a parameter nobody
-    described, broken JSON) follow from the turn's text; each call refers to the assistant turn two before it.
+    described, broken JSON) follow from the turn's text, which is the query, whole; each call refers to the assistant turn two before it.
     """
     text, turn = F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("turn").cast("long")
     n = F.char_length(text)
     tool = F.element_at(F.array(F.lit("search"), F.lit("translate"), F.lit("count"), F.lit("paint")), (F.pmod(n, F.lit(7)) % 4 + 1).cast("int"))
-    quoted = F.to_json(F.struct(F.substr(text, F.lit(1), F.lit(40)).alias("query")))
+    quoted = F.to_json(F.struct(text.alias("query")))
     body = F.regexp_replace(quoted, r"^\{|\}$", "")
     members = F.concat_ws(
         ",",

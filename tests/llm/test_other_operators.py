@@ -264,6 +264,27 @@ def test_links_of_the_given_conversations(spark):
     assert len(got) == said.filter("role = 'assistant'").count() > 0
 
 
+def test_whole_turns_are_asked(spark):
+    """Past any cut every character reaches the canonical JSON, in the given tables too."""
+    texts = {1: "x" * 39 + 'é"\\\n' + "y" * 5000 + "end", 3: "z" * 100, 5: ""}
+    said = spark.createDataFrame([(7, k, "assistant", t) for k, t in texts.items()], "conv_id long, turn long, role string, text string")
+    for df in (said, table(spark, SMALL, "conversations")):
+        linked = toolcalls.link(toolcalls.calls_of(df), toolcalls.results_of(df), toolcalls.described_tools(spark))
+        asked = {(r["conv_id"], r["call_id"]): json.loads(r["json"])["arguments"] for r in linked.collect()}
+        whole = {(r["conv_id"], f"c{r['turn']}"): r["text"] for r in df.filter("role = 'assistant'").collect()}
+        assert len(asked) == len(whole)
+        for key, arguments in asked.items():
+            assert arguments is None and len(whole[key]) % 19 == 0 or arguments.get("query") == (whole[key] if len(whole[key]) % 13 else None)
+
+
+def test_arguments_beyond_the_parser_are_written_whole(spark):
+    long = F.concat(F.lit('{"x":"'), F.expr(f"repeat('a', {toolcalls.PARSER_CHARS + 1})"), F.lit('"}'))
+    calls = spark.range(1).select(F.lit(1).alias("conv_id"), F.lit(0).alias("turn"), F.lit("a").alias("call_id"), F.lit("f").alias("tool"), long.alias("arguments"))
+    none = spark.createDataFrame([], "conv_id long, turn long, call_id string, content string")
+    got = toolcalls.link(calls, none, spark.createDataFrame(SCHEMAS, "tool string, parameter string, kind string, required boolean"))
+    assert rows(got.select("valid", "errors", F.length("json") > toolcalls.PARSER_CHARS, F.col("json").startswith('{"arguments":"{\\"x\\":\\"aaa'))) == [(False, ["too_long"], True, True)]
+
+
 # pipeline
 
 
