@@ -1,11 +1,11 @@
 """Personal data replaced by keyed surrogates, with DataFrame functions only.
 
 Found are mail addresses, secrets, bank and card numbers, social security and phone numbers, IP addresses and names
-after a title. A mention is taken apart into entities (an address into its local part and domain, a name into given and
-family name); each entity gets one surrogate in the whole table, drawn with a keyed SHA-512, so that the same person or
+after a title. A mention is taken apart into entities (an address into its local part and domain, a name into given
+names, initials among them, and a family name; small words such as "van" stay); each entity gets one surrogate in the whole table, drawn with a keyed SHA-512, so that the same person or
 address stays recognisable as the same (coreference) whatever the writing. A surrogate keeps the kind: digits stand
 for digits and letters for letters of the same script and case, separators stay, a number that passes the Luhn check
-is replaced by one that does, an IP address by one of the reserved range 240.0.0.0/4, a given name by one of the same
+is replaced by one that does, an IP address by one of the reserved ranges 240.0.0.0/4 and 2001:db8::/32, a given name by one of the same
 gender and script. Surrogates are checked against each other and against every entity found: a collision draws again,
 in later rounds with a longer form where the kind has a free length, so different entities stay different and
 nobody's data is handed to somebody else.
@@ -34,25 +34,48 @@ TITLES = {
     "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "г-жа", "κα."],
     "n": ["Dr", "Prof"],
 }
-_TITLE = "|".join(sorted((t.replace(".", r"\.") for ts in TITLES.values() for t in ts), key=len, reverse=True))
+
+
+def _any_case(titles: list[str]) -> str:
+    """A pattern of titles in either case; "miss" is a verb and "ms" a unit, so other writings of "Ms" need the dot."""
+    rest = "|".join(t.replace(".", r"\.") for t in sorted(titles, key=len, reverse=True) if t not in ("Ms", "Miss"))
+    return f"(?iu:{rest})" + (r"|Miss|MISS|Ms|(?i:ms)(?=\.)" if "Ms" in titles else "")
+
+
+_TITLE = _any_case([t for ts in TITLES.values() for t in ts])
+#: A part of a name: initials, a letter alone before a further part, or a word with hyphens and apostrophes.
+_PART = (
+    rf"(?!(?:{_TITLE})\.? )(?:(?:\p{{Lu}}\.)++|\p{{Lu}}(?= \p{{Lu}}\p{{L}})"
+    r"|\p{Lu}(?:[\p{L}\p{M}]++|(?=['’-]\p{L}))(?:-\p{L}[\p{L}\p{M}]*+|['’](?![sS](?!\p{L}))\p{L}[\p{L}\p{M}]*+)*+)"
+)
+#: Small words inside a name; they stay.
+_PARTICLES = r"(?:(?:van|von|der|den|de|del|della|di|da|dos|du|la|le|bin|ibn|al|el|zu|ter) )*+"
+_HEX = "[0-9A-Fa-f]{1,4}"
 _LOCAL = r"[\p{L}\p{N}._%+-]"
 
 #: Kinds of mentions in the order in which they are tried.
 PATTERNS = {
     "email": rf"(?<!{_LOCAL}){_LOCAL}++@[\p{{L}}\p{{N}}-]++(?:\.[\p{{L}}\p{{N}}-]++)+",
     "secret": r"(?<![\p{L}\p{N}])[0-9A-Fa-f]{32,}+(?![\p{L}\p{N}])"
-    r"|(?<=(?i:token|secret|password|passwd|api[_-]?key) ?[=:] ?[\"'])[^\"'\s]{6,}+",
-    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
+    r"|(?<=(?i:token|secret|password|passwd|api[_-]?key)[\"']? ?[=:] ?[\"'])[^\"'\s]{6,}+"
+    r"|(?<=(?i:token|secret|password|passwd|api[_-]?key)[\"']? ?[=:] ?)(?=[^\"'\s]*\d)[^\"'\s]{6,}+",  # unquoted: with a digit
+    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
+    # in either case: one group may be letters alone, as words of four letters look the same
+    r"|(?<![\p{L}\p{N}])[A-Za-z]{2}\d{2}(?: ?[A-Za-z]{4})?(?: ?(?=[A-Za-z]{0,3}\d)[A-Za-z0-9]{4}){2,7}(?: ?(?=[A-Za-z]{0,2}\d)[A-Za-z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<!\d)(?:\+?\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)"
-    r"|(?<![\d.])(?:\+?\d{1,3}[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}(?!\d)",
+    r"|(?<![\d.])(?:\+?\d{1,3}[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}(?!\d)"
+    r"|(?<![\p{L}\p{N}+])\+[1-9](?:[ ./-]?\(?\d\)?){6,14}(?!\d)"
+    r"|(?<![\p{L}\p{N}._+-])[2-9]\d{2}[2-9]\d{6}(?![\p{L}\p{N}_]|[.-]\d)",
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)",
+    "ip6": rf"(?<![\p{{L}}\p{{N}}:.])(?=[0-9A-Fa-f:]*\d)(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{6}}(?:\d{{1,3}}\.){{3}}\d{{1,3}}"
+    rf"|(?=[0-9A-Fa-f:]*[0-9A-Fa-f]{{3}})(?:{_HEX}(?::{_HEX}){{0,6}})?::(?:(?:{_HEX}:){{0,6}}(?:(?:\d{{1,3}}\.){{3}}\d{{1,3}}|{_HEX}))?)(?![\p{{L}}\p{{N}}:]|\.\d)",
     "card": r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)",
-    "name": rf"(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?",
+    "name": rf"(?<!\p{{L}})(?:{_TITLE})\.? {_PARTICLES}{_PART}(?: {_PARTICLES}{_PART})*+",
 }
 MENTION = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without any of these holds no mention.
-HINT = rf"[0-9@=:]|(?:{_TITLE})\.? \p{{Lu}}"
+HINT = rf"[0-9@=:]|(?:{_TITLE})\.? {_PARTICLES}\p{{Lu}}"
 
 #: Letters and syllables of surrogates, by script.
 LETTERS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзийклмнопрстуфхцчшщэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
@@ -82,8 +105,7 @@ def kind_of(mention: Column) -> Column:
 def _gender(mention: Column) -> Column:
     out = F.lit("n")
     for gender in ("m", "f"):
-        titles = "|".join(t.replace(".", r"\.") for t in sorted(TITLES[gender], key=len, reverse=True))
-        out = F.when(mention.rlike(rf"^(?:{titles})\.? "), F.lit(gender)).otherwise(out)
+        out = F.when(mention.rlike(rf"^(?:{_any_case(TITLES[gender])})\.? "), F.lit(gender)).otherwise(out)
     return out
 
 
@@ -91,17 +113,25 @@ def _entity(kind, value) -> Column:
     return F.struct((kind if isinstance(kind, Column) else F.lit(kind)).alias("kind"), value.alias("value"))
 
 
+def _words(mention: Column) -> Column:
+    return F.split(F.regexp_replace(mention, rf"^(?:{_TITLE})\.? ", ""), " ")
+
+
+def _is_part(word: Column) -> Column:
+    return word.rlike(r"^\p{Lu}")
+
+
 def entities_of(mention: Column, kind: Column) -> Column:
     """The entities of a mention in the order of the text: kind and normal form."""
     small, digits = F.lower(mention), F.regexp_replace(mention, r"\D", "")
-    names = F.split(F.regexp_replace(mention, rf"^(?:{_TITLE})\.? ", ""), " ")
-    family = _entity("family", F.lower(F.element_at(names, -1)))
-    given = _entity(F.concat(F.lit("given_"), _gender(mention)), F.lower(F.element_at(names, 1)))
+    names, given = F.filter(_words(mention), _is_part), F.concat(F.lit("given_"), _gender(mention))
+    parts = F.transform(names, lambda w, i: _entity(F.when(i == F.size(names) - 1, "family").otherwise(given), F.lower(w)))
     return (
         F.when(kind == "email", F.array(_entity("local", F.substring_index(small, "@", 1)), _entity("domain", F.substring_index(small, "@", -1))))
-        .when(kind == "name", F.when(F.size(names) > 1, F.array(given, family)).otherwise(F.array(family)))
+        .when(kind == "name", parts)
         .when(kind.isin("ssn", "phone", "card"), F.array(_entity(kind, digits)))
-        .when(kind == "iban", F.array(_entity(kind, F.regexp_replace(mention, " ", ""))))
+        .when(kind == "iban", F.array(_entity(kind, F.upper(F.regexp_replace(mention, " ", "")))))
+        .when(kind == "ip6", F.array(_entity(kind, small)))
         .otherwise(F.array(_entity(kind, mention)))
     )
 
@@ -172,6 +202,7 @@ def surrogate(kind: Column, value: Column, key: str, attempt: Column) -> Column:
         F.when(kind == "local", F.concat(_alike(value, digest), _extra(digest, longer, value)))
         .when(kind == "domain", F.concat(_alike(host, digest), _extra(digest, longer, host), F.lit("."), top))
         .when(kind == "ip", F.concat_ws(".", *octets))
+        .when(kind == "ip6", F.concat_ws(":", F.lit("2001:db8"), *[F.substr(digest, F.lit(4 * i + 1), F.lit(4)) for i in range(6)]))
         .when(kind.isin("ssn", "phone", "card"), _number(value, digest))
         .when(kind == "iban", F.concat(F.substr(value, F.lit(1), F.lit(2)), _alike(F.substr(value, F.lit(3)), digest)))
         .when(kind == "family", _name(value, None, digest, longer))
@@ -212,11 +243,21 @@ def _in_format(mention: Column, kind: Column, others: Column) -> Column:
     # the i-th digit or letter of the normal form takes the place of the i-th one of the mention
     counts = F.transform(chars, lambda c, i: F.size(F.filter(F.slice(chars, 1, i + 1), lambda x: x.rlike(r"[\p{L}\d]"))))
     placed = F.array_join(
-        F.transform(F.arrays_zip(chars.alias("c"), counts.alias("n")), lambda x: F.when(x["c"].rlike(r"[\p{L}\d]"), F.substr(first, x["n"], F.lit(1))).otherwise(x["c"])), ""
+        F.transform(F.arrays_zip(chars.alias("c"), counts.alias("n")), lambda x: F.when(x["c"].rlike(r"\p{Ll}"), F.lower(F.substr(first, x["n"], F.lit(1))))
+        .when(x["c"].rlike(r"[\p{L}\d]"), F.substr(first, x["n"], F.lit(1))).otherwise(x["c"])), ""
     )
     shout = (mention == F.upper(mention)) & (mention != F.lower(mention))
     title = F.regexp_extract(mention, rf"^(?:{_TITLE})\.? ", 0)
-    written = F.array_join(F.transform(others, lambda x: F.concat(F.upper(F.substr(x, F.lit(1), F.lit(1))), F.substr(x, F.lit(2)))), " ")
+    words = _words(mention)
+
+    def part(w, i):
+        x = F.get(others, F.size(F.filter(F.slice(words, 1, i + 1), _is_part)) - 1)
+        # initials stay initials: as many letters of the surrogate
+        initials = F.array_join(F.transform(F.split(w, ""), lambda c, k: F.when(c == ".", c).otherwise(F.upper(F.substr(x, F.pmod(F.floor(k / 2), F.length(x)).cast("int") + 1, F.lit(1))))), "")
+        whole = F.concat(F.upper(F.substr(x, F.lit(1), F.lit(1))), F.substr(x, F.lit(2)))
+        return F.when(~_is_part(w), w).when(w.rlike(r"^(?:(?:\p{Lu}\.)+|\p{Lu})$"), initials).otherwise(whole)
+
+    written = F.array_join(F.transform(words, part), " ")
     address = F.concat(first, F.lit("@"), last)
     return (
         F.when(kind == "email", F.when(shout, F.upper(address)).otherwise(address))

@@ -144,6 +144,38 @@ def test_format_type_and_coreference(replaced):
     assert [replaced[i]["how_many"] for i in range(len(PEOPLE))] == [2, 2, 1, 2, 1, 4, 2, 2, 0, 1, 3]
 
 
+FORMS = {
+    "+44 20 7946 0958": ["7946", "0958"], "+49 170 1234567": ["1234567"], "+33 1 23 45 67 89": ["23 45", "67 89"], "+14155552671": ["4155552671"],
+    "4155552671": ["55552671"], "+44 (0)20 7946 0958": ["7946"], "2001:0db8:85a3:0000:0000:8a2e:0370:7334": ["85a3", "8a2e"], "fe80::1ff:fe23:4567:890a": ["fe80", "4567"],
+    "::ffff:192.0.2.128": ["192.0.2"], "api_key=abcdef123456": ["abcdef", "123456"], "password: hunter22": ["hunter"], '"token": "abcdefgh"': ["abcdefgh"],
+    "Mr. J. Smith": ["Smith"], "Mr O'Brien": ["O'", "Brien"], "Mr O’Brien": ["Brien"], "MR. SMITH": ["SMITH"], "mr. Smith": ["Smith"],
+    "Mrs. Anne-Marie Dupont": ["Anne", "Marie", "Dupont"], "Dr. Martin Luther King": ["Martin", "Luther", "King"], "Sr. José García López": ["José", "García", "López"],
+    "Prof. J.R.R. Tolkien": ["Tolkien"], "Mr John F Kennedy": ["John", "Kennedy"], "Herr Ludwig van Beethoven": ["Ludwig", "Beethoven"], "Prof. Dr. Anna Bell": ["Anna", "Bell"],
+    "de89 3704 0044 0532 0130 00": ["3704", "0044", "0532", "0130"], "DE89370400440532013000": ["370400"], "gb29 nwbk 6016 1331 9268 19": ["nwbk", "6016", "9268"],
+}
+
+
+def test_forms_of_mentions(spark, documents):
+    """Each form is found whole, and its format stays."""
+    docs = documents([(i, f"so {t}, he said", "en") for i, t in enumerate(FORMS)])
+    got = {r["doc_id"]: r for r in surrogates.replace_mentions(docs, "k", "n").collect()}
+    for i, (t, old) in enumerate(FORMS.items()):
+        new = got[i]["text"]
+        assert got[i]["n"] == 1 and not [x for x in old if x in new], (t, new)
+        assert new.startswith("so ") and new.endswith(", he said"), (t, new)
+    text = {t: got[i]["text"][3:-9] for i, t in enumerate(FORMS)}
+    assert re.fullmatch(r"\+4\d \d\d \d{4} \d{4}", text["+44 20 7946 0958"]) and re.fullmatch(r"Mr\. [A-Z]\. [A-Z]\w+", text["Mr. J. Smith"])
+    assert text["Mr. J. Smith"].split()[-1].upper() == text["MR. SMITH"].split()[-1] and text["MR. SMITH"].isupper()
+    assert re.fullmatch(r"Prof\. [A-Z]\.[A-Z]\.[A-Z]\. \w+", text["Prof. J.R.R. Tolkien"]) and " van " in text["Herr Ludwig van Beethoven"]
+    assert text["de89 3704 0044 0532 0130 00"].replace(" ", "").upper() == text["DE89370400440532013000"]
+
+
+def test_what_only_looks_like_a_mention_stays(spark, documents):
+    texts = ["I miss Paris", "500 ms Latency", "std::vector a[1::2] at 12:30:45", "cs61 this that with them", "pi is 3.1415926535 or 1700000000", "password: required", "2024-01-02"]
+    got = surrogates.replace_mentions(documents([(i, t, "en") for i, t in enumerate(texts)]), "k", "n").collect()
+    assert {r["doc_id"]: r["text"] for r in got} == dict(enumerate(texts))
+
+
 def test_crowded_kinds_stay_different(spark):
     """All one-letter addresses at once: every draw collides with an original until forms grow."""
     values = [(k, v) for k in ("local",) for v in "abcdefghijklmnopqrstuvwxyz"] + [("family", f"name{i}") for i in range(2000)]
