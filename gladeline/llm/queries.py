@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gladeline.llm import covertree, fmindex, language, packing, quality, records, simhash, surrogates, tokencounts, toolcalls
+from gladeline.llm import (
+    alignment, conversations, covertree, fmindex, language, licenses, packing, quality, records, simhash, surrogates, tokencounts,
+    toolcalls,
+)
 from gladeline.llm.tables import held_out, table
 
 #: A run's own key comes from its caller; this one makes the query's result repeatable.
@@ -57,10 +60,24 @@ def op10_pigeonhole_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = table(spark, sf_dir, "conversations")
+    return conversations.repair_report(said, conversations.damage(said))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(table(spark, sf_dir, "documents"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_rule_ensemble, op2_tool_call_linking, op3_output_codes, op4_cover_tree, op5_surrogates, op6_binary_records,
-        op7_trie_counts, op8_concat_and_cut, op9_fm_index, op10_pigeonhole_simhash,
+        op7_trie_counts, op8_concat_and_cut, op9_fm_index, op10_pigeonhole_simhash, op11_conversation_repair, op12_license_scan,
+        op13_tokenizer_alignment,
     )
 }
