@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import os
-from itertools import chain
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gladeline.llm.tables import arrow_texts, pieces, raw_bytes, stored
+from gladeline.llm.tables import arrow_texts, pieces, raw_bytes, spread, stored
+from gladeline.llm.tokens import WordEncoder
 
 #: Text per chunk; the pairs of a chunk are counted together.
 CHUNK_BYTES = 4 << 20
@@ -54,19 +55,41 @@ def byte_level_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Side:
-    """One tokenizer: ids of many texts, and the bytes of every id."""
+def fragments(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """A space and each text, cut before single spaces that a printable ASCII sign follows; the border of each text.
+
+    No token of either kind reaches across such a cut: white space only ever begins a token.
+    """
+    raw, at = raw_bytes(pc.binary_join_element_wise(pa.scalar(""), texts, " "))
+    cut = np.zeros(len(raw) + 1, bool)
+    blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    cut[1 : len(raw) - 1] = (raw[1:-1] == 32) & ~blank[:-2] & (raw[2:] > 32) & (raw[2:] < 127)
+    cut[at] = True
+    where = np.flatnonzero(cut)
+    cuts = pa.StringArray.from_buffers(len(where) - 1, pa.py_buffer(where.astype(np.int32)), pa.py_buffer(raw))
+    return cuts, np.searchsorted(where, at)
+
+
+class Side(WordEncoder):
+    """One tokenizer: ids of many texts, each different fragment encoded once, and the bytes of every id."""
 
     def __init__(self, encode, spelled: list[bytes]):
-        self._encode = encode
+        self._encoded = encode
+        self.words, self.pool = pa.array([], pa.string()), np.zeros(0, np.uint32)
+        self.lengths, self.needed, self.calls = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
         self.spelled = pa.array(spelled, pa.binary())
-        self.lengths = pc.binary_length(self.spelled).cast(pa.int64())
+        self.widths = pc.binary_length(self.spelled).cast(pa.int64())
+
+    def __call__(self, parts: pa.DictionaryArray, at: np.ndarray) -> pa.ListArray:
+        """Token ids of texts that begin at ``at`` among the fragments."""
+        part = self._places(parts.dictionary)[np.asarray(parts.indices)]
+        lengths = self.lengths[part]
+        ids = self.pool[spread((np.cumsum(self.lengths) - self.lengths)[part], lengths)]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        return pa.ListArray.from_arrays(pa.array(ends[at].astype(np.int32)), pa.array(ids.astype(np.int32)))
+
 
-    def __call__(self, texts: list[str]) -> pa.ListArray:
-        ids = self._encode(texts)
-        at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))])
-        flat = np.fromiter(chain.from_iterable(ids), np.int32, int(at[-1]))
-        return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat))
+_ONE_WORD = re.compile(" [A-Za-z]+").fullmatch
 
 
 def byte_side(path: str) -> Side:
@@ -78,9 +101,15 @@ def byte_side(path: str) -> Side:
     spelled = [b""] * tokenizer.get_vocab_size()
     for token, i in tokenizer.get_vocab().items():
         spelled[i] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode()
+    one, letter = tokenizer.model.tokenize, {b: c for c, b in alphabet.items()}
 
-    def encode(texts):
-        return [x.ids for x in tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+    def encode(parts):
+        # a space and letters are one word to the pre-tokenizer, which only spells its bytes
+        out = [[t.id for t in one(p.translate(letter))] if _ONE_WORD(p) else None for p in parts]
+        rest = [i for i, got in enumerate(out) if got is None]
+        for i, got in zip(rest, tokenizer.encode_batch_fast([parts[i] for i in rest], add_special_tokens=False)):
+            out[i] = got.ids
+        return out
 
     return Side(encode, spelled)
 
@@ -94,7 +123,9 @@ def piece_side(path: str) -> Side:
         piece = model.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if model.is_byte(i) else piece.replace("▁", " ").encode()
 
-    return Side(lambda texts: model.encode(texts, num_threads=1), [spell(i) for i in range(model.get_piece_size())])
+    # every fragment begins with a space, which the model puts there itself
+    encode = lambda parts: model.encode([p[1:] for p in parts], num_threads=1)
+    return Side(encode, [spell(i) for i in range(model.get_piece_size())])
 
 
 _sides: dict[tuple[str, str], tuple[Side, Side]] = {}
@@ -118,7 +149,7 @@ def _same_bytes(side: Side, tokens: pa.ListArray, texts: list[str]) -> list[bool
 def _ends(side: Side, tokens: pa.ListArray, ids: str) -> pa.Table:
     """``doc, end`` and the id of every token; ``end`` counts the bytes from the start of the document."""
     flat, doc = pc.list_flatten(tokens), pc.list_parent_indices(tokens)
-    ends = pc.cumulative_sum(side.lengths.take(flat))
+    ends = pc.cumulative_sum(side.widths.take(flat))
     total = np.concatenate([[0], np.asarray(ends)])
     before = pa.array(total[np.asarray(tokens.offsets)[:-1]])
     return pa.table({"doc": doc, "end": pc.subtract(ends, before.take(doc)), ids: flat})
@@ -180,7 +211,9 @@ def _chunk_rows(chunk: int, rows: pa.RecordBatch, a: Side, b: Side, whole: bool)
     texts = arrow_texts(rows.column("text")).to_pylist()
     some = [i for i, t in enumerate(texts) if t]
     spelled = [texts[i] for i in some]
-    of_a, of_b = a(spelled), b(spelled)
+    parts, borders = fragments(pa.array(spelled, pa.string()))
+    parts = parts.dictionary_encode()
+    of_a, of_b = a(parts, borders), b(parts, borders)
     same = np.array(_same_bytes(a, of_a, spelled), bool) & np.array(_same_bytes(b, of_b, spelled), bool)
     at = np.array(some, np.int64)[same]
     of_a, of_b = of_a.filter(pa.array(same)), of_b.filter(pa.array(same))
