@@ -42,8 +42,6 @@ CLASSES = ("LOW", "MEDIUM", "HIGH")
 RINGS = ["nb_defo_pct_20", "nb_defo_pct_50", "nb_defo_pct_100"]
 # the library's own settings: 300 trees, depth 30, 1000 iterations, five folds
 SETTINGS = mo.Settings()
-# the grids fit up to 120 models; with the library's settings that is over half an hour on one machine, see README
-GRID_SETTINGS = mo.Settings(trees=20, depth=8, max_iter=100, folds=3)
 
 
 def query(fn: Query) -> Query:
@@ -793,17 +791,17 @@ def out_of_fold_scores(spark, d):
 
 @query
 def importance_table(spark, d):
-    return mo.importance_table(_real_frame(spark, d), mo.FEATURE_SETS, GRID_SETTINGS)
+    return mo.importance_table(_real_frame(spark, d), mo.FEATURE_SETS, SETTINGS)
 
 
 @query
 def compare_models(spark, d):
-    return mo.compare_models(_real_frame(spark, d), GRID_SETTINGS, mo.FEATURE_SETS)
+    return mo.compare_models(_real_frame(spark, d), SETTINGS, mo.FEATURE_SETS)
 
 
 @query
 def sensitivity(spark, d):
-    return mo.sensitivity(_real_frame(spark, d, masked=True), GRID_SETTINGS, mo.MASKING_SETS)
+    return mo.sensitivity(_real_frame(spark, d, masked=True), SETTINGS, mo.MASKING_SETS)
 
 
 @query
@@ -832,7 +830,7 @@ def scoring_run(spark, d):
     reset_store(spark, path)
     frame = cut_lineage(_real_frame(spark, d))
     append_table(frame.withColumn("assessed_at", F.lit(s.AS_OF)).drop("risk_class"), path, "assessments")
-    run_scoring(frame, path, GRID_SETTINGS, refit=SETTINGS)
+    run_scoring(frame, path, SETTINGS)
     rows = read_table(spark, path, "assessments")
     return rows.select("farm_id", "defo_pct", "risk_class", _in_range("risk_score"))
 

@@ -1,4 +1,7 @@
-"""Risk models with ``pyspark.ml``: folds, cross-validation, selection, scoring."""
+"""Risk models: folds, cross-validation, selection, scoring.
+
+Regressions are fitted with ``pyspark.ml``; forests are grown together by :mod:`gladeline.plans.forests`.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +12,7 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import ElementwiseProduct, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -17,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gladeline.operators.ordering import shuffled_rank
+from gladeline.plans import forests
 from gladeline.plans.metrics import classification_report, macro_f1, ranking_metrics
 from gladeline.session import cut_lineage
 
@@ -61,10 +65,10 @@ THREE_CLASS = Framing("3-class", "risk_class", ("HIGH", "LOW", "MEDIUM"), "HIGH"
 
 @dataclass(frozen=True)
 class Settings:
-    """``fit_rows`` bounds the labelled rows of one fit, as a forest's trees live on the driver; scoring has no bound."""
+    """``fit_rows`` bounds the labelled rows of one fit, and with them the nodes of one tree; scoring has no bound."""
 
     trees: int = 300
-    depth: int = 30  # the deepest Spark grows
+    depth: int = 30
     max_iter: int = 1000
     folds: int = FOLDS
     seed: int = SEED
@@ -85,15 +89,6 @@ def assemble(feats: Sequence[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=list(feats), outputCol="raw", handleInvalid="skip")
 
 
-def rf(settings: Settings) -> list:
-    return [
-        RandomForestClassifier(
-            featuresCol="raw", labelCol="y", weightCol="weight", numTrees=settings.trees, maxDepth=settings.depth,
-            featureSubsetStrategy="sqrt", minInstancesPerNode=1, seed=settings.seed, maxMemoryInMB=512,
-        )
-    ]
-
-
 def lr(settings: Settings, n_feats: int, n_rows: int) -> list:
     """Scaled logistic regression with an L2 penalty of strength 1 on the weighted loss sum.
 
@@ -176,13 +171,58 @@ def _bounded(
     return kept, _counts(kept, feats)
 
 
-def _fit(train: DataFrame, kind: str, feats: Sequence[str], counts: Mapping[float, int], settings: Settings) -> PipelineModel:
+def _fit(train: DataFrame, feats: Sequence[str], counts: Mapping[float, int], settings: Settings) -> PipelineModel:
     train, counts = _bounded(train, feats, counts, settings)
-    n = sum(counts.values())
-    stages = rf(settings) if kind == "RF" else lr(settings, len(feats), n)
+    stages = lr(settings, len(feats), sum(counts.values()))
     return Pipeline(stages=[assemble(feats), *stages]).fit(train.withColumn("weight", _weight(counts)))
 
 
+@dataclass(frozen=True)
+class Variant:
+    """A feature set and a framing, by name; ``fold`` is the column of the fold to leave out, if any."""
+
+    features: str
+    feats: tuple[str, ...]
+    framing: Framing
+    fold: str | None = None
+
+
+def _grown(frame: DataFrame, variants: Sequence[Variant], settings: Settings, scored: bool = True) -> tuple[forests.Grown, list[Variant]]:
+    """The forests of all variants, one per fold or one on all rows, and the variant of each."""
+    feats = sorted({f for v in variants for f in v.feats})
+    labels = list(dict.fromkeys((v.framing, v.fold) for v in variants))
+    marks = [(class_index(framing), F.col(fold) if fold else F.lit(None).cast("int")) for framing, fold in labels]
+    matrix = forests.binned_matrix(frame, feats, marks, settings.fit_rows, settings.seed)
+    grown, of = [], []
+    for v in variants:
+        label = labels.index((v.framing, v.fold))
+        for held_out in range(settings.folds) if v.fold else [None]:
+            weights = matrix.weights(label, len(v.framing.classes), held_out)
+            if any(weights):
+                grown.append(forests.Forest(tuple(feats.index(f) for f in v.feats), label, weights, held_out))
+                of.append(v)
+    return forests.grow(matrix, grown, settings.trees, settings.depth, settings.seed, scored), of
+
+
+def forest_predictions(frame: DataFrame, variants: Sequence[Variant], settings: Settings) -> DataFrame:
+    """``framing, features, farm_id, predicted, score``: each row from forests that never saw it, or from one on all rows.
+
+    All variants are grown together and see the same rows, those with every feature.
+    """
+    grown, of = _grown(frame, variants, settings)
+    at, picked, score = F.array_position("p", F.array_max("p")).cast("int") - 1, F.lit(None).cast("string"), F.lit(None).cast("double")
+    for framing in dict.fromkeys(v.framing for v in variants):
+        mine = F.col("framing") == framing.name
+        picked = F.when(mine, F.get(F.array(*[F.lit(c) for c in framing.classes]), at)).otherwise(picked)
+        score = F.when(mine, F.get("p", F.lit(framing.classes.index(framing.positive)))).otherwise(score)
+    # a row per forest
+    names = frame.sparkSession.createDataFrame(
+        [(i, v.framing.name, v.features) for i, v in enumerate(of)], "forest int, framing string, features string"
+    )
+    rows = grown.scores.join(F.broadcast(names), "forest")
+    return rows.select("framing", "features", "farm_id", picked.alias("predicted"), score.alias("score"))
+
+
 def _scored(model: PipelineModel, df: DataFrame, framing: Framing, keep: Sequence[str]) -> DataFrame:
     names = F.array(*[F.lit(c) for c in framing.classes])
     at = framing.classes.index(framing.positive)
@@ -217,6 +257,10 @@ def cross_val_predict(
     ``folded`` carries ``fold``. One fit per fold gives both the class and the probability.
     """
     rows = _training_rows(folded, framing)
+    if kind == "RF":
+        predicted = forest_predictions(rows, [Variant("", tuple(feats), framing, "fold")], settings)
+        labels = rows.select("farm_id", F.col(framing.label).alias("label"))
+        return predicted.join(labels, "farm_id").select("farm_id", "label", "predicted", "score")
     counts = _class_counts(rows, feats)
 
     def one(fold: int):
@@ -226,7 +270,7 @@ def cross_val_predict(
                 if other != fold:
                     for y, n in per_class.items():
                         train[y] = train.get(y, 0) + n
-            model = _fit(rows.filter(F.col("fold") != fold), kind, feats, train, settings)
+            model = _fit(rows.filter(F.col("fold") != fold), feats, train, settings)
             held_out = rows.filter(F.col("fold") == fold)
             return _scored(model, held_out, framing, ["farm_id", F.col(framing.label).alias("label")])
         return job
@@ -238,17 +282,15 @@ def cross_val_predict(
     return out
 
 
-def fit_all(frame: DataFrame, kind: str, feats: Sequence[str], framing: Framing, settings: Settings = Settings()) -> PipelineModel:
+def fit_all(frame: DataFrame, feats: Sequence[str], framing: Framing, settings: Settings = Settings()) -> PipelineModel:
+    """A regression on all labelled rows."""
     rows = _training_rows(frame, framing)
-    return _fit(rows, kind, feats, _counts(rows, feats), settings)
+    return _fit(rows, feats, _counts(rows, feats), settings)
 
 
 def importances(model: PipelineModel, feats: Sequence[str]) -> list[tuple[str, float]]:
-    """Long rows ``feature, importance``: a forest's impurity decrease, or how far a scaled feature moves the classes."""
-    fitted = model.stages[-1]
-    if isinstance(fitted, RandomForestClassificationModel):
-        return [(f, float(fitted.featureImportances[i])) for i, f in enumerate(feats)]
-    moves = fitted.coefficientMatrix
+    """Long rows ``feature, importance``: how far a scaled feature moves the classes of a regression."""
+    moves = model.stages[-1].coefficientMatrix
     return [(f, float(sum(abs(moves[c, i]) for c in range(moves.numRows)) / moves.numRows)) for i, f in enumerate(feats)]
 
 
@@ -256,31 +298,58 @@ def importance_table(
     frame: DataFrame, sets: Mapping[str, Sequence[str]] = FEATURE_SETS, settings: Settings = Settings(),
     kinds: Sequence[str] = MODELS,
 ) -> DataFrame:
-    """``model, features, feature, importance`` of the binary models fitted on all rows."""
-    frame = cut_lineage(frame)
-    variants = [(k, name) for k in kinds for name in sets]
-    logs = _together(
-        frame.sparkSession,
-        [lambda k=k, n=n: importances(fit_all(frame, k, sets[n], BINARY, settings), sets[n]) for k, n in variants],
-        settings.parallel,
-    )
-    rows = [(*variant, *row) for variant, log in zip(variants, logs, strict=True) for row in log]
-    table = frame.sparkSession.createDataFrame(rows, "model string, features string, feature string, importance double")
+    """``model, features, feature, importance`` of the binary models fitted on all rows that have every feature.
+
+    A forest's importance is the share of impurity that the feature's splits take away.
+    """
+    spark = frame.sparkSession
+    feats = sorted({f for names in sets.values() for f in names})
+    frame = cut_lineage(frame.dropna(subset=feats))
+    rows = []
+    if "RF" in kinds:
+        grown, of = _grown(frame, [Variant(n, tuple(f), BINARY) for n, f in sets.items()], settings, scored=False)
+        found = {(r["forest"], r["feature"]): r["importance"] for r in forests.importances(grown.nodes).collect()}
+        rows += [("RF", v.features, f, found.get((i, feats.index(f)), 0.0)) for i, v in enumerate(of) for f in v.feats]
+    if "LR" in kinds:
+        jobs = [lambda n=n: importances(fit_all(frame, sets[n], BINARY, settings), sets[n]) for n in sets]
+        for name, log in zip(sets, _together(spark, jobs, settings.parallel), strict=True):
+            rows += [("LR", name, *row) for row in log]
+    table = spark.createDataFrame(rows, "model string, features string, feature string, importance double")
     return table.withColumn("importance", F.round("importance", 3))
 
 
-def _variant_predictions(
-    folded: DataFrame, kinds: Sequence[str], sets: Mapping[str, Sequence[str]], framing: Framing, settings: Settings
+def variant_predictions(
+    frame: DataFrame, sets: Mapping[str, Sequence[str]], framings: Sequence[Framing], settings: Settings = Settings(),
+    kinds: Sequence[str] = MODELS,
 ) -> DataFrame:
-    """Out-of-fold predictions of all variants in one long frame; each variant is written as it finishes."""
-    out = None
-    for kind in kinds:
-        for name, feats in sets.items():
-            part = cross_val_predict(folded, kind, feats, framing, settings).select(
-                F.lit(kind).alias("model"), F.lit(name).alias("features"), "farm_id", "label", "predicted", "score"
-            )
-            part = cut_lineage(part)
-            out = part if out is None else out.unionByName(part)
+    """``model, framing, features, farm_id, label, predicted, score``: out-of-fold predictions of all variants.
+
+    Every variant sees the same rows, those with every feature. Forests are grown together; each regression is
+    written as it finishes.
+    """
+    frame = frame.dropna(subset=sorted({f for feats in sets.values() for f in feats}))
+    fold = {framing: f"fold_{i}" for i, framing in enumerate(framings)}
+    for framing in framings:
+        frame = stratified_folds(frame, framing.label, settings.folds, settings.seed).withColumnRenamed("fold", fold[framing])
+    frame = cut_lineage(frame)
+    parts = []
+    if "RF" in kinds:
+        variants = [Variant(name, tuple(feats), framing, fold[framing]) for framing in framings for name, feats in sets.items()]
+        labels = F.array(*[F.struct(F.lit(f.name).alias("framing"), F.col(f.label).alias("label")) for f in framings])
+        labels = frame.select("farm_id", F.explode(labels).alias("l")).select("farm_id", "l.*").filter("label is not null")
+        predicted = forest_predictions(frame, variants, settings).join(labels, ["farm_id", "framing"])
+        parts.append(cut_lineage(predicted.withColumn("model", F.lit("RF"))))
+    if "LR" in kinds:
+        for framing in framings:
+            folded = frame.withColumnRenamed(fold[framing], "fold")
+            for name, feats in sets.items():
+                part = cross_val_predict(folded, "LR", feats, framing, settings)
+                named = {"model": F.lit("LR"), "framing": F.lit(framing.name), "features": F.lit(name)}
+                parts.append(cut_lineage(part.withColumns(named)))
+    columns = ["model", "framing", "features", "farm_id", "label", "predicted", "score"]
+    out = parts[0].select(*columns)
+    for part in parts[1:]:
+        out = out.unionByName(part.select(*columns))
     return out
 
 
@@ -289,11 +358,10 @@ def _grid(
     kinds: Sequence[str],
 ) -> DataFrame:
     by = ["model", "features"]
-    frame = frame.dropna(subset=sorted({f for feats in sets.values() for f in feats}))  # the same rows for all
+    every = variant_predictions(frame, sets, framings, settings, kinds)
     tables = []
     for framing in framings:
-        folded = cut_lineage(stratified_folds(frame, framing.label, settings.folds, settings.seed))
-        predictions = _variant_predictions(folded, kinds, sets, framing, settings)
+        predictions = every.filter(F.col("framing") == framing.name)
         f1 = macro_f1(predictions, "label", "predicted", framing.classes, by)
         if len(framing.classes) == 2:
             hit = predictions.withColumn("hit", (F.col("label") == framing.positive).cast("long"))
@@ -369,9 +437,11 @@ def score_all(frame: DataFrame, kind: str, feats: Sequence[str], framing: Framin
     Rows that miss a feature keep a NULL score.
     """
     frame = cut_lineage(frame)
-    model = fit_all(frame, kind, feats, framing, settings)
-    scores = _scored(model, frame, framing, ["farm_id"]).select("farm_id", F.bround("score", 4).alias("risk_score"))
-    return frame.join(scores, "farm_id", "left")
+    if kind == "RF":
+        scored = forest_predictions(frame, [Variant("", tuple(feats), framing)], settings)
+    else:
+        scored = _scored(fit_all(frame, feats, framing, settings), frame, framing, ["farm_id"])
+    return frame.join(scored.select("farm_id", F.bround("score", 4).alias("risk_score")), "farm_id", "left")
 
 
 def out_of_fold_scores(frame: DataFrame, kind: str, feats: Sequence[str], settings: Settings = Settings()) -> DataFrame:
@@ -388,10 +458,11 @@ def score_v2(frame: DataFrame, feats: Sequence[str] = ("area_ha", "nb_defo_pct_2
     Returns the test report and ``farm_id, risk_class, risk_score`` with P(HIGH) for every parcel.
     """
     split = cut_lineage(stratified_split(frame, THREE_CLASS.label, seed=settings.seed))
-    model = fit_all(split.filter(~F.col("is_test")), "RF", feats, THREE_CLASS, settings)
-    tested = _scored(model, _training_rows(split, THREE_CLASS).filter("is_test"), THREE_CLASS, ["farm_id", "risk_class"])
+    training = split.withColumn("risk_class", F.when(~F.col("is_test"), F.col("risk_class")))
+    scored = cut_lineage(forest_predictions(training, [Variant("", tuple(feats), THREE_CLASS)], settings))
+    tested = scored.join(_training_rows(split, THREE_CLASS).filter("is_test").select("farm_id", "risk_class"), "farm_id")
     report = classification_report(tested, "risk_class", "predicted", THREE_CLASS.classes)
-    scores = _scored(model, split, THREE_CLASS, ["farm_id"]).select("farm_id", F.bround("score", 4).alias("risk_score"))
+    scores = scored.select("farm_id", F.bround("score", 4).alias("risk_score"))
     return report, split.select("farm_id", "risk_class").join(scores, "farm_id", "left")
 
 

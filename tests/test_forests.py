@@ -1,0 +1,166 @@
+"""Forests against a plain grower that makes one tree after the other."""
+
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from gladeline.plans import forests as fo
+from gladeline.plans import modelling as mo
+
+SEED = 7
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    rng = random.Random(3)
+    out = []
+    for i in range(300):
+        y = int(i % 7 == 0)
+        out.append((i * 13, rng.gauss(1.5 * y, 1.0), rng.choice([0.0, 1.0, 2.0]), rng.random(), y, i % 3, [2, 0, 1][i % 3] if y else 1, i % 3))
+    out.append((9001, 1.0, 1.0, 0.5, None, None, None, None))
+    out.append((9002, None, 1.0, 0.5, 1, 0, 1, 0))
+    return spark.createDataFrame(out, "farm_id long, a double, b double, c double, y int, k int, z int, m int").repartition(5)
+
+
+def plain_tree(data, forest, at, tree, depth, mtry):
+    """``path -> (feature, cut, counts)`` of one tree; ``data`` is id, bins, labels, folds per row."""
+    classes = len(forest.weights)
+    train = [r for r in data if r[2][forest.label] >= 0 and (forest.held_out is None or r[3][forest.label] != forest.held_out)]
+    drawn = {r[0]: int(w) for r, w in zip(train, fo.bootstrap(np.array([r[0] for r in train]), SEED, tree))}
+    out = {}
+
+    def impurity(rows):
+        n = [sum(drawn[r[0]] * forest.weights[c] for r in rows if r[2][forest.label] == c) for c in range(classes)]
+        return sum(x * x for x in n) / sum(n) if sum(n) else 0.0
+
+    def grow(path, rows, level):
+        counts = [sum(drawn[r[0]] for r in rows if r[2][forest.label] == c) for c in range(classes)]
+        best = None
+        if sum(x > 0 for x in counts) > 1 and level < depth:
+            ranks = fo.hashed(SEED, at, tree, path, np.arange(3))
+            looked = 0
+            for f in sorted(forest.feats, key=lambda f: int(ranks[f])):
+                options = []
+                for cut in sorted({r[1][f] for r in rows})[:-1]:
+                    left = [r for r in rows if r[1][f] <= cut]
+                    right = [r for r in rows if r[1][f] > cut]
+                    options.append((impurity(left) + impurity(right), -cut))
+                if options and looked < mtry:
+                    looked += 1
+                    top = max(o[0] for o in options)
+                    first = min(-c for v, c in options if v > top - 1e-9)
+                    if best is None or top > best[0] + 1e-9:
+                        best = top, f, first
+        out[path] = (None, None, counts) if best is None else (best[1], best[2], counts)
+        if best:
+            grow(2 * path, [r for r in rows if r[1][best[1]] <= best[2]], level + 1)
+            grow(2 * path + 1, [r for r in rows if r[1][best[1]] > best[2]], level + 1)
+
+    grow(1, [r for r in train if drawn[r[0]]], 0)
+    return out
+
+
+def plain_share(tree, forest, bins):
+    path = 1
+    while tree[path][0] is not None:
+        f, cut, _ = tree[path]
+        path = 2 * path + (bins[f] > cut)
+    weighted = [n * w for n, w in zip(tree[path][2], forest.weights)]
+    return [w / sum(weighted) for w in weighted] if sum(weighted) else [1 / len(weighted)] * len(weighted)
+
+
+def matrix_of(rows, fit_rows=10_000):
+    return fo.binned_matrix(rows, ["a", "b", "c"], [(F.col("y"), F.col("k")), (F.col("z"), F.col("m"))], fit_rows, SEED, bins=16)
+
+
+def forests_of(matrix):
+    return [
+        fo.Forest((0, 1, 2), 0, matrix.weights(0, 2, 1), 1), fo.Forest((1,), 0, matrix.weights(0, 2)), fo.Forest((0, 2), 1, matrix.weights(1, 3, 0), 0),
+    ]
+
+
+def data_of(matrix):
+    out = []
+    for row in matrix.score.collect():
+        chunk = fo._Chunk(row.asDict())
+        out += [(int(i), *[x.tolist() for x in of]) for i, *of in zip(chunk.ids, chunk.bins, chunk.labels, chunk.folds)]
+    return out
+
+
+@pytest.mark.parametrize("chunk_rows,most_nodes,most_trees", [(50_000, 10**6, None), (60, 10**6, 4), (60, 120, None)])
+def test_trees_and_scores_match_a_plain_grower(rows, monkeypatch, chunk_rows, most_nodes, most_trees):
+    monkeypatch.setattr(fo, "CHUNK_ROWS", chunk_rows)
+    monkeypatch.setattr(fo, "BLOCK_NODES", 8)
+    matrix = matrix_of(rows)
+    forests, data = forests_of(matrix), data_of(matrix)
+    assert len(data) == 301
+    grown = fo.grow(matrix, forests, 4, 5, SEED, most_nodes=most_nodes, most_trees=most_trees)
+    nodes = {}
+    for r in grown.nodes.collect():
+        forest = forests[r["forest"]]
+        cut = None if r["cut"] is None else matrix.cuts[r["feature"]].index(r["cut"])
+        nodes.setdefault((r["forest"], r["tree"]), {})[r["path"]] = (None if r["feature"] < 0 else r["feature"], cut, r["counts"][: len(forest.weights)])
+    scores = {(r["forest"], r["farm_id"]): (r["trees"], r["p"]) for r in grown.scores.collect()}
+    want_rows = 0
+    for at, forest in enumerate(forests):
+        trees = [plain_tree(data, forest, at, t, 5, max(1, math.isqrt(len(forest.feats)))) for t in range(4)]
+        assert [nodes[at, t] for t in range(4)] == trees
+        for farm_id, bins, _, folds in data:
+            if forest.held_out is not None and folds[forest.label] != forest.held_out:
+                continue
+            want_rows += 1
+            n, p = scores[at, farm_id]
+            want = np.mean([plain_share(t, forest, bins) for t in trees], axis=0)
+            assert n == 4 and p[: len(want)] == pytest.approx(want, abs=1e-9)
+    assert len(scores) == want_rows
+
+
+def test_importances_add_up_and_name_the_telling_feature(rows):
+    matrix = matrix_of(rows)
+    grown = fo.grow(matrix, forests_of(matrix), 10, 6, SEED, scored=False)
+    found = {(r["forest"], r["feature"]): r["importance"] for r in fo.importances(grown.nodes).collect()}
+    assert found[1, 1] == 1.0 and found[0, 0] == max(found[0, f] for f in range(3))
+    assert sum(v for (f, _), v in found.items() if f == 0) == pytest.approx(1.0) and grown.scores is None
+
+
+def test_a_bounded_fit_still_scores_every_row(rows):
+    matrix = matrix_of(rows, fit_rows=60)
+    drawn = sum(n for (label, _, _), n in matrix.counts.items() if label == 0)
+    assert 40 <= drawn <= 85 and sum(n for (label, _, y), n in matrix.counts.items() if (label, y) == (0, 1)) >= 20
+    grown = fo.grow(matrix, [fo.Forest((0, 1, 2), 0, matrix.weights(0, 2))], 3, 4, SEED)
+    assert grown.scores.count() == 301
+
+
+def test_the_driver_never_holds_more_nodes_than_a_group_may(rows, monkeypatch):
+    """Eight times the trees do not make the driver hold more."""
+    held = []
+    write = fo._write_nodes
+    monkeypatch.setattr(fo, "_write_nodes", lambda group, *a: (held.append(len(group.tree)), write(group, *a)))
+    matrix = matrix_of(rows)
+    forest = [fo.Forest((0, 1, 2), 0, matrix.weights(0, 2))]
+    for trees in (2, 16):
+        held.clear()
+        grown = fo.grow(matrix, forest, trees, 6, SEED, scored=False, most_nodes=150)
+        assert max(held) <= 150 and sum(held) == grown.nodes.count()
+    assert len(held) > 2
+
+
+def test_no_labels_no_features_and_one_class(rows):
+    nothing = matrix_of(rows.limit(0))
+    assert nothing.counts == {} and fo.grow(nothing, [fo.Forest((0,), 0, (1.0, 1.0))], 2, 3, SEED).scores.count() == 0
+    single = matrix_of(rows.filter("y = 1"))
+    assert single.weights(0, 2) == (0.0, 1.0)
+    p = fo.grow(single, [fo.Forest((0, 1), 0, single.weights(0, 2))], 2, 3, SEED).scores.select("p").distinct().collect()
+    assert [r["p"] for r in p] == [[0.0, 1.0]]
+
+
+def test_a_forest_separates_what_a_line_cannot(spark):
+    rng = random.Random(1)
+    points = [(i, rng.uniform(-1, 1), rng.uniform(-1, 1)) for i in range(600)]
+    frame = spark.createDataFrame([(i, x, y, "AFFECTED" if x * y > 0 else "CLEAN") for i, x, y in points], "farm_id long, x double, y double, risk_binary string")
+    got = mo.cross_val_predict(mo.stratified_folds(frame, "risk_binary", 3), "RF", ["x", "y"], mo.BINARY, mo.Settings(trees=30, folds=3))
+    right = got.filter("label = predicted").count()
+    assert right > 540 and got.count() == 600

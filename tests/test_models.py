@@ -111,7 +111,7 @@ def test_regression_minimises_the_balanced_penalised_loss(frame):
         p = 1 / (1 + np.exp(-cols @ beta))
         grad = cols.T @ (w * (p - y)) + ridge @ beta
         beta -= np.linalg.solve((cols * (w * p * (1 - p))[:, None]).T @ cols + ridge, grad)
-    model = mo.fit_all(frame, "LR", feats, mo.BINARY, mo.Settings())
+    model = mo.fit_all(frame, feats, mo.BINARY, mo.Settings())
     last = model.stages[-1]
     assert [*last.coefficients, last.intercept] == pytest.approx(beta, abs=1e-3)
     assert mo.importances(model, feats) == [(f, abs(float(v))) for f, v in zip(feats, last.coefficients, strict=True)]
