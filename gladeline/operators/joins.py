@@ -18,6 +18,18 @@ def join_to_unique(many: DataFrame, unique: DataFrame, keys: Sequence[str], how:
     The sides often come out of an ``explode``, whose size Spark takes to be that of its input. The hint keeps
     it from broadcasting a side that only looks small.
     """
-    mix = F.xxhash64(*keys)
-    left, right = many.withColumn("__mix", mix), unique.withColumn("__mix", mix)
-    return left.hint("merge").join(right, ["__mix", *keys], how).drop("__mix")
+    mix, (name,) = F.xxhash64(*keys), fresh([*many.columns, *unique.columns], "__mix")
+    left, right = many.withColumn(name, mix), unique.withColumn(name, mix)
+    return left.hint("merge").join(right, [name, *keys], how).drop(name)
+
+
+def fresh(taken: Sequence[str], *names: str) -> list[str]:
+    """``names``, each lengthened until no column of ``taken`` is called so; case does not tell names apart."""
+    known = {c.lower() for c in taken}
+    out = []
+    for name in names:
+        while name.lower() in known:
+            name += "_"
+        known.add(name.lower())
+        out.append(name)
+    return out
