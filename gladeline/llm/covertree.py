@@ -9,8 +9,9 @@ Vectors are dealt into blocks of bounded size and every block of queries meets e
 against all rows has to; a block's tree is built in the task that uses it. Each meeting answers with k rows per query
 at most, and these are ranked per query.
 
-Defined cases: a vector that is null, holds a null or a non-finite number, or has no id takes no part; rows of one id
-are one vector, the smallest; the query's own id is never its candidate; vectors of different lengths do not meet; equal
+Defined cases: a vector that is null, holds a null or a non-finite number, or has no id takes no part; every
+row is a candidate, also where rows share an id or are equal, and the k best of a query are taken over all rows of its
+id; no row of the query's own id is its candidate; vectors of different lengths do not meet; equal
 scores go to the smaller id; with fewer candidates than k all are returned; an empty table gives no rows; whole
 numbers are kept up to 64 bits, and a score beyond them is held at the bound; further columns are ignored.
 """
@@ -150,14 +151,13 @@ def dual_search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, da
 
 
 def whole_vectors(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """``vec_id, x``: each usable vector once, its components scaled and rounded down."""
+    """``vec_id, x``: each usable vector, its components scaled and rounded down."""
     as_double = F.col("embedding").cast("array<double>")
     usable = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall(
         as_double, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))
     )
     scaled = F.transform(as_double, lambda v: F.floor(v * F.lit(float(scale))))
-    rows = vectors.filter(F.coalesce(usable, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), scaled.alias("x"))
-    return rows.groupBy("vec_id").agg(F.min("x").alias("x"))
+    return vectors.filter(F.coalesce(usable, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), scaled.alias("x"))
 
 
 def _matrix(table: pa.Table, length: int) -> np.ndarray:
@@ -167,10 +167,12 @@ def _matrix(table: pa.Table, length: int) -> np.ndarray:
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE) -> DataFrame:
     """``query_id, rank, vec_id, score`` for the rows of ``vectors`` that ``is_query`` (a condition on ``vec_id``) takes."""
-    rows = stored(whole_vectors(vectors, scale).withColumns({"n": F.size("x"), "asks": F.coalesce(is_query, F.lit(False))}))
+    numbered = whole_vectors(vectors, scale).withColumn("row", F.monotonically_increasing_id())
+    rows = stored(numbered.withColumns({"n": F.size("x"), "asks": F.coalesce(is_query, F.lit(False))}))
     n, asked = rows.agg(F.count(F.lit(1)), F.count_if("asks")).first()
     data_blocks, query_blocks = max(1, -(-n // DATA_BLOCK)), max(1, -(-asked // QUERY_BLOCK))
-    mix = F.xxhash64("vec_id")
+    # by row, as an id may be frequent
+    mix = F.xxhash64("row")
     # every block of queries meets every block of data, so a query is sent once per data block and the reverse
     every_query = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))).alias("q")
     every_data = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(data_blocks - 1).cast("long"))).alias("d")

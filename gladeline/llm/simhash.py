@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from gladeline.llm.tables import arrow_texts, pieces, stored
 from gladeline.operators.graph import collapse
-from gladeline.operators.joins import join_to_unique
+from gladeline.operators.joins import fresh, join_to_unique
 
 MOST = 3
 SHINGLE = 3
@@ -212,13 +212,10 @@ def keep_one(docs: DataFrame, most: int = MOST) -> DataFrame:
     """
     known = components(fingerprints(docs), most)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("first")
-    kept = known.groupBy("home").agg(first).select("first.doc_id", "first.text_hash", F.lit(True).alias("__kept"))
-    keyed = docs.withColumns({
-        "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__no": F.col("doc_id").isNull(), "__hash": F.xxhash64("text")
-    })
-    chosen = kept.select(
-        F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("doc_id").isNull().alias("__no"), F.col("text_hash").alias("__hash"), "__kept"
-    )
+    kept = known.groupBy("home").agg(first).select("first.doc_id", "first.text_hash")
+    keys = fresh(docs.columns, "__id", "__no", "__hash")
+    own = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col("doc_id").isNull(), F.xxhash64("text")]
+    keyed = docs.withColumns(dict(zip(keys, own)))
+    chosen = kept.select(*[c.alias(k) for k, c in zip(keys, [F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), F.col("text_hash")])])
     # copies have ids of their own, so no key is frequent; the join's placing serves the last step as well
-    keys = ["__id", "__no", "__hash"]
     return keyed.join(chosen.distinct(), keys).dropDuplicates(keys).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gladeline.llm.tables import stored
-from gladeline.operators.joins import join_to_unique
+from gladeline.operators.joins import fresh, join_to_unique
 
 #: Titles by gender; names are found after them.
 TITLES = {
@@ -129,7 +129,9 @@ def entities_of(mention: Column, kind: Column) -> Column:
     return (
         F.when(kind == "email", F.array(_entity("local", F.substring_index(small, "@", 1)), _entity("domain", F.substring_index(small, "@", -1))))
         .when(kind == "name", parts)
-        .when(kind.isin("ssn", "phone", "card"), F.array(_entity(kind, digits)))
+        # a number of the North American plan is the same with and without its country code
+        .when(kind == "phone", F.array(_entity(kind, F.regexp_replace(digits, r"^1(?=\d{10}$)", ""))))
+        .when(kind.isin("ssn", "card"), F.array(_entity(kind, digits)))
         .when(kind == "iban", F.array(_entity(kind, F.upper(F.regexp_replace(mention, " ", "")))))
         .when(kind == "ip6", F.array(_entity(kind, small)))
         .otherwise(F.array(_entity(kind, mention)))
@@ -178,6 +180,25 @@ def _number(value: Column, digest: Column) -> Column:
     return F.when(_luhn(value), F.element_at(F.filter(checked, _luhn), 1)).otherwise(drawn)
 
 
+def _remainder(number: Column) -> Column:
+    """An account number without its blanks modulo 97, letters counting from 10 and the first four signs last."""
+    turned = F.concat(F.substr(number, F.lit(5)), F.substr(number, F.lit(1), F.lit(4)))
+
+    def add(total, c):
+        letter = F.ascii(c) - 55
+        return F.when(c.rlike(r"\d"), (total * 10 + F.ascii(c) - 48) % 97).otherwise((total * 100 + letter) % 97)
+
+    return F.aggregate(F.filter(F.split(turned, ""), lambda c: c != ""), F.lit(0), add)
+
+
+def _account(value: Column, digest: Column) -> Column:
+    """Another account of the same country; its check digits are right if the value's are."""
+    drawn = _alike(F.substr(value, F.lit(5)), digest)
+    country, check = F.substr(value, F.lit(1), F.lit(2)), F.substr(value, F.lit(3), F.lit(2))
+    right = F.lpad((98 - _remainder(F.concat(country, F.lit("00"), drawn))).cast("string"), 2, "0")
+    return F.concat(country, F.when(_remainder(value) == 1, right).otherwise(check), drawn)
+
+
 def _name(value: Column, gender: str | None, digest: Column, longer: Column) -> Column:
     def made(script):
         ending = [""] if gender is None else ENDINGS[script, gender]
@@ -204,7 +225,7 @@ def surrogate(kind: Column, value: Column, key: str, attempt: Column) -> Column:
         .when(kind == "ip", F.concat_ws(".", *octets))
         .when(kind == "ip6", F.concat_ws(":", F.lit("2001:db8"), *[F.substr(digest, F.lit(4 * i + 1), F.lit(4)) for i in range(6)]))
         .when(kind.isin("ssn", "phone", "card"), _number(value, digest))
-        .when(kind == "iban", F.concat(F.substr(value, F.lit(1), F.lit(2)), _alike(F.substr(value, F.lit(3)), digest)))
+        .when(kind == "iban", _account(value, digest))
         .when(kind == "family", _name(value, None, digest, longer))
     )
     for gender in ("m", "f", "n"):
@@ -242,10 +263,15 @@ def _in_format(mention: Column, kind: Column, others: Column) -> Column:
     chars = F.split(mention, "")
     # the i-th digit or letter of the normal form takes the place of the i-th one of the mention
     counts = F.transform(chars, lambda c, i: F.size(F.filter(F.slice(chars, 1, i + 1), lambda x: x.rlike(r"[\p{L}\d]"))))
-    placed = F.array_join(
-        F.transform(F.arrays_zip(chars.alias("c"), counts.alias("n")), lambda x: F.when(x["c"].rlike(r"\p{Ll}"), F.lower(F.substr(first, x["n"], F.lit(1))))
-        .when(x["c"].rlike(r"[\p{L}\d]"), F.substr(first, x["n"], F.lit(1))).otherwise(x["c"])), ""
-    )
+    # signs before the normal form (a country code) stay
+    before = F.element_at(counts, -1) - F.length(first)
+
+    def sign(x):
+        own = F.substr(first, (x["n"] - before).cast("int"), F.lit(1))
+        counted = x["c"].rlike(r"[\p{L}\d]") & (x["n"] > before)
+        return F.when(counted & x["c"].rlike(r"\p{Ll}"), F.lower(own)).when(counted, own).otherwise(x["c"])
+
+    placed = F.array_join(F.transform(F.arrays_zip(chars.alias("c"), counts.alias("n")), sign), "")
     shout = (mention == F.upper(mention)) & (mention != F.lower(mention))
     title = F.regexp_extract(mention, rf"^(?:{_TITLE})\.? ", 0)
     words = _words(mention)
@@ -267,11 +293,25 @@ def _in_format(mention: Column, kind: Column, others: Column) -> Column:
     )
 
 
+def _one_gender(parts: DataFrame) -> DataFrame:
+    """Given names with one kind in the whole table, so that a person keeps a surrogate under any title.
+
+    The titles that have a gender decide; where they differ or none has one, the name is taken as neutral.
+    """
+    is_given = F.col("kind").startswith("given_")
+    told = F.collect_set("kind")
+    men, women = F.array_contains(told, "given_m"), F.array_contains(told, "given_f")
+    agreed = F.when(men & ~women, "given_m").when(women & ~men, "given_f").otherwise("given_n")
+    by_value = parts.filter(is_given).groupBy("value").agg(agreed.alias("agreed"))
+    met = join_to_unique(parts, by_value, ["value"], "left")
+    return met.select("mention", "as", "at", F.when(is_given, F.col("agreed")).otherwise(F.col("kind")).alias("kind"), "value")
+
+
 def replacements(mentions: DataFrame, key: str) -> DataFrame:
     """``mention, replacement`` for a table of different mentions."""
     known = stored(mentions.withColumn("kind", kind_of(F.col("mention"))).withColumn("parts", entities_of(F.col("mention"), F.col("kind"))))
     parts = known.select("mention", F.col("kind").alias("as"), F.posexplode("parts").alias("at", "part"))
-    parts = parts.select("mention", "as", "at", "part.kind", "part.value")
+    parts = _one_gender(parts.select("mention", "as", "at", "part.kind", "part.value"))
     chosen = assign(stored(parts.select("kind", "value").distinct()), key)
     found = join_to_unique(parts, chosen, ["kind", "value"])
     whole = found.groupBy("mention", "as").agg(F.sort_array(F.collect_list(F.struct("at", "other"))).alias("others"))
@@ -287,16 +327,18 @@ def replace_mentions(docs: DataFrame, key: str, count_as: str | None = None) ->
     pairs = docs.filter(hinted).select(F.xxhash64(text).alias("key"), F.explode(F.array_distinct(found)).alias("mention")).distinct()
     pairs = stored(pairs)
     known = stored(replacements(pairs.select("mention").distinct(), key))
-    per_text = join_to_unique(pairs, known, ["mention"]).groupBy("key").agg(
-        F.map_from_entries(F.collect_list(F.struct("mention", "replacement"))).alias("__other")
+    # the columns used on the way are named unlike any of the table's
+    key_name, other_name, found_name = fresh(docs.columns, "__key", "__other", "__found")
+    per_text = join_to_unique(pairs, known, ["mention"]).groupBy(F.col("key").alias(key_name)).agg(
+        F.map_from_entries(F.collect_list(F.struct("mention", "replacement"))).alias(other_name)
     )
-    keyed = docs.filter(hinted).withColumn("__key", F.xxhash64(text))
-    met = join_to_unique(keyed, per_text.withColumnRenamed("key", "__key"), ["__key"], "left")
+    keyed = docs.filter(hinted).withColumn(key_name, F.xxhash64(text))
+    met = join_to_unique(keyed, per_text, [key_name], "left")
     # what stands between the mentions, each followed by the mention's replacement
-    between = F.split(text, MENTION, -1)
-    mended = F.array_join(F.transform(between, lambda s, i: F.concat(s, F.coalesce(F.element_at("__other", F.coalesce(F.get("__found", i), F.lit(""))), F.lit("")))), "")
-    met = met.withColumn("__found", F.when(F.col("__other").isNotNull(), found))
-    changed = F.when(F.col("__other").isNull(), text).otherwise(mended)
+    between, here, others = F.split(text, MENTION, -1), F.col(found_name), F.col(other_name)
+    mended = F.array_join(F.transform(between, lambda s, i: F.concat(s, F.coalesce(F.element_at(others, F.coalesce(F.get(here, i), F.lit(""))), F.lit("")))), "")
+    met = met.withColumn(found_name, F.when(others.isNotNull(), found))
+    changed = F.when(others.isNull(), text).otherwise(mended)
 
     def columns(new_text, n):
         out = [new_text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
@@ -307,4 +349,4 @@ def replace_mentions(docs: DataFrame, key: str, count_as: str | None = None) ->
         return out + ([F.coalesce(n, F.lit(0)).cast("int").alias(count_as)] if count_as else [])
 
     untouched = docs.filter(~hinted).select(*columns(text, F.lit(0)) if count_as else [F.col(f"`{c}`") for c in docs.columns])
-    return met.select(*columns(changed, F.when(F.col("__found").isNull(), F.lit(0)).otherwise(F.size("__found")))).unionByName(untouched)
+    return met.select(*columns(changed, F.when(here.isNull(), F.lit(0)).otherwise(F.size(here)))).unionByName(untouched)

@@ -10,7 +10,8 @@ def documents(spark):
     def make(rows):
         full = [(i, t, lang, "s", len(t) if t is not None else None) for i, t, lang in rows]
         extra = ", fp long, part int, score double, held_out string, ids string, `a.b` int, mention string, key long, home long, before long"
-        return spark.createDataFrame([(*r, 1, 2, 0.5, "x", "y", 3, "m", 7, 8, 9) for r in full], TEXT + extra)
+        extra += ", __key long, __other string, __found int, __id int, __no int, __hash long, __mix long, __kept int"
+        return spark.createDataFrame([(*r, 1, 2, 0.5, "x", "y", 3, "m", 7, 8, 9, 77, "o", 5, 6, 4, 33, 11, 12) for r in full], TEXT + extra)
 
     return make
 

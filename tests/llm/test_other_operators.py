@@ -4,7 +4,9 @@ import json
 import random
 import re
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,9 +29,9 @@ def test_query_equals_sql(spark, name):
     assert compare(spark, duck(SMALL), name, SMALL) == ""
 
 
-def test_eleven_queries_are_registered():
+def test_the_queries_are_registered():
     found = [n for n in queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(n[2:].split("_")[0]) for n in found) == list(range(1, 11)) and "pipeline" in queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in found) == list(range(1, 14)) and "pipeline" in queries()
 
 
 # top-k
@@ -76,7 +78,7 @@ def test_top_k_over_blocks_and_odd_vectors(spark, monkeypatch):
     vectors = {i: rng.normal(size=4).round(2).tolist() for i in range(60)} | {i: [0.25, 0.25, 0.0, 0.0] for i in range(60, 90)}
     given = [(i, v) for i, v in vectors.items()]
     given += [(90, None), (91, [None, 1.0, 1.0, 1.0]), (92, [float("nan")] * 4), (93, [float("inf")] * 4), (None, [1.0] * 4)]
-    given += [(100, [1.0, 2.0]), (101, [0.5, 0.5]), (102, []), (150, []), (5, vectors[5]), (200, [1e10, 1.0, 1.0, 1.0])]
+    given += [(100, [1.0, 2.0]), (101, [0.5, 0.5]), (102, []), (150, []), (200, [1e10, 1.0, 1.0, 1.0])]
     df = spark.createDataFrame([(i, v, 1, 2, 3) for i, v in given], "vec_id long, embedding array<double>, x int, asks int, score int")
     whole = {i: [int(np.floor(256 * c)) for c in v] for i, v in vectors.items()} | {100: [256, 512], 101: [128, 128], 102: [], 150: []}
     whole[200] = [2560000000000, 256, 256, 256]
@@ -89,6 +91,22 @@ def test_top_k_over_blocks_and_odd_vectors(spark, monkeypatch):
     assert rows(covertree.top_k(df.limit(0), F.col("vec_id") % 50 == 0)) == []
 
 
+def test_rows_that_share_an_id_are_candidates_like_any_other(spark, monkeypatch):
+    """Against the registered SQL: repeated ids, of queries too, equal rows among them."""
+    rng = np.random.default_rng(2)
+    given = [(int(i), rng.normal(size=3).round(1).tolist()) for i in rng.integers(0, 60, 300)]
+    given += given[:40] + [(50, [0.5, 0.5, 0.5])] * 20 + [(0, [1.0, 1.0, 1.0])]
+    vectors = pd.DataFrame(given, columns=["vec_id", "embedding"])
+    db = duckdb.connect()
+    db.register("embeddings", vectors)
+    expected = sorted(map(tuple, db.execute(oracle.ORACLE_SQL["op4_cover_tree"]).fetchall()))
+    df = spark.createDataFrame(given, "vec_id long, embedding array<double>")
+    for size in (covertree.DATA_BLOCK, 16):
+        monkeypatch.setattr(covertree, "DATA_BLOCK", size)
+        monkeypatch.setattr(covertree, "QUERY_BLOCK", max(2, size // 8))
+        assert sorted(rows(covertree.top_k(df, F.col("vec_id") % 50 == 0))) == expected
+
+
 # surrogates
 
 PEOPLE = [
@@ -120,9 +138,30 @@ def test_clean_texts_and_other_columns_stay(replaced):
         assert replaced[len(PEOPLE) + i]["text"] == t
     for r in replaced.values():
         assert (r["fp"], r["a.b"], r["mention"], r["key"]) == (1, 3, "m", 7)
+        assert [r[c] for c in ("__key", "__other", "__found", "__mix")] == [77, "o", 5, 11]
         assert r["n_chars"] == (len(r["text"]) if r["text"] is not None else None)
 
 
+def test_one_person_and_one_phone_under_several_writings(spark, documents):
+    texts = [
+        "Dr. John Smith and Mr. John Smith", "Dr. Maria Lopez, Mrs. Maria Lopez, Prof. Maria Lopez", "+1 415-555-2671, 415-555-2671 or 1-415-555-2671",
+        "Mr. Kim Park and Mrs. Kim Park", "DE89 3704 0044 0532 0130 00 and GB82WEST12345698765432 and DE00370400440532013000",
+    ]
+    out = {r.doc_id: r.text for r in surrogates.replace_mentions(documents([(i, t, "en") for i, t in enumerate(texts)]), "k").collect()}
+    for i, pattern in ((0, r"Dr\. (.+) and Mr\. (.+)"), (1, r"Dr\. (.+), Mrs\. (.+), Prof\. (.+)"), (3, r"Mr\. (.+) and Mrs\. (.+)")):
+        assert len(set(re.fullmatch(pattern, out[i]).groups())) == 1, out[i]
+    one, two, three = re.fullmatch(r"\+1 (\d{3}-\d{3}-\d{4}), (\d{3}-\d{3}-\d{4}) or 1-(\d{3}-\d{3}-\d{4})", out[2]).groups()
+    assert one == two == three != "415-555-2671"
+
+    def remainder(account):
+        account = account.replace(" ", "")
+        return int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97
+
+    accounts = out[4].split(" and ")
+    assert [remainder(a) == 1 for a in accounts] == [True, True, False]
+    assert all(a != b and a[:2] == b[:2] and len(a) == len(b) for a, b in zip(accounts, texts[4].split(" and ")))
+
+
 def test_format_type_and_coreference(replaced):
     text = {i: r["text"] for i, r in replaced.items()}
     first, second = re.findall(r"[\w.]+@[\w.]+\w", text[0])

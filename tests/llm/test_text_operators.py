@@ -239,6 +239,7 @@ def test_majority_over_many_hashes():
 def test_keep_one_keeps_the_smallest_id_and_all_columns(odd, none):
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns
+    assert {tuple(r) for r in kept.select("__id", "__no", "__hash", "__kept", "__mix").collect()} == {(6, 4, 33, 12, 11)}
     found = kept.select("doc_id", "text").collect()
     assert sorted(r[0] for r in found if r[1] in (None, "", " \n\t ")) == [0]
     assert sorted(r[0] for r in found if r[1] == "word") == [4]
