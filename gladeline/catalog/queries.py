@@ -369,7 +369,8 @@ def polygon_runs(spark, d):
 @query
 def zonal_sum(spark, d):
     bands = ra.loss_area_bands(s.cells(spark, d))
-    return zo.zonal_sum(s.farm_runs(spark, d), bands, ["defo_m2", "total_m2", "lossyear"])
+    # the parcels cover the whole raster: nothing to prune
+    return zo.zonal_sum(s.farm_runs(spark, d), bands, ["defo_m2", "total_m2", "lossyear"], pruned=False)
 
 
 @query

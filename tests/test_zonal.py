@@ -54,6 +54,35 @@ def test_own_and_ring_sums(world):
             assert (got[f][f"defo_m2{suffix}"], got[f][f"total_m2{suffix}"]) == want
 
 
+def test_zonal_sum_over_word_borders_negative_columns_and_nulls(spark):
+    rng = random.Random(9)
+    cells = {(r, c): (rng.random(), rng.choice([None, 1.0, 2.5])) for r in range(-2, 4) for c in range(-200, 200) if rng.random() < 0.6}
+    cells |= {(r, c): (0.5, None) for r, c in [(9, -64), (9, -1), (9, 0), (9, 63), (9, 64), (9, 127)]}
+    frame = spark.createDataFrame([(r, c, *v) for (r, c), v in cells.items()], "row int, col int, a double, b double")
+    runs = [(f, rng.randrange(-2, 4), lo, lo + rng.randrange(0, 180)) for f in range(60) for lo in [rng.randrange(-200, 150)]]
+    runs += [(100 + i, 9, a, b) for i, (a, b) in enumerate([(-64, -64), (-64, -1), (63, 64), (0, 127), (1, 62), (-64, 127)])]
+    table = spark.createDataFrame(runs, "farm_id long, row int, col_lo int, col_hi int")
+    for pruned in (True, False):
+        got = {r["farm_id"]: (r["a"], r["b"]) for r in zonal_sum(table, frame, ["a", "b"], pruned=pruned).collect()}
+        assert len(got) == len(runs)
+        for farm, row, lo, hi in runs:
+            inside = [cells[row, c] for c in range(lo, hi + 1) if (row, c) in cells]
+            for at in (0, 1):
+                values = [v[at] for v in inside if v[at] is not None]
+                assert got[farm][at] == (pytest.approx(sum(values), abs=1e-9) if values else None)
+
+
+def test_zonal_sum_takes_no_footprint_apart(spark):
+    """A footprint of a million cells joins as its words, and whole numbers add up exactly."""
+    runs = spark.range(1000).select(F.lit(1).cast("long").alias("farm_id"), F.col("id").alias("row"), F.lit(0).cast("long").alias("col_lo"), F.lit(999).cast("long").alias("col_hi"))
+    frame = spark.range(0, 200_000).select((F.col("id") % 1000).alias("row"), F.floor(F.col("id") / 1000 * 5).alias("col"), F.lit(3.0).alias("a"))
+    out = zonal_sum(runs, frame, ["a"], pruned=False)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    made = [line for line in plan.splitlines() if "Generate explode" in line]
+    assert len(made) == 1 and "[word#" in made[0], made
+    assert out.first()["a"] == 600_000.0
+
+
 def test_zonal_sum_of_any_band_agrees_with_words(world):
     bands = world["frame"].withColumn("defo_m2", F.when((F.col("lossyear") >= 21) & (F.col("forest2020") == 1), 100.0).otherwise(0.0))
     a = {r["farm_id"]: (r["defo_m2"], r["area_m2"]) for r in zonal_sum(world["runs"], bands, ["defo_m2", "area_m2"]).collect()}
