@@ -329,6 +329,11 @@ _QUERIES = {
         SELECT farm_id, defo_m2, total_m2, defo_pct, nb_defo_pct_20, nb_defo_pct_50, nb_defo_pct_100, dist_to_defo_m,
                dist_to_defo_m_masked FROM shares JOIN distances USING (farm_id)""",
     "parcel_context_real": _REAL + "SELECT * FROM wide_shares",
+    "distance_band": """
+        SELECT c.row, c.col,
+               coalesce(round_even(least(sqrt(min((c.row - l.row) ** 2 + (c.col - l.col) ** 2)) * 10, 2560), 1), 2560)::DOUBLE AS dist_to_defo_m
+        FROM cells c LEFT JOIN losses l ON l.row BETWEEN c.row - 256 AND c.row + 256 AND l.col BETWEEN c.col - 256 AND c.col + 256
+        GROUP BY c.row, c.col""",
     "both_distances_real": _REAL + "SELECT * FROM wide_distances",
     "masking_report": """
         SELECT count(*)::BIGINT AS n_affected, count(*) FILTER (WHERE dist_to_defo_m = 0)::BIGINT AS n_was_zero,
@@ -417,6 +422,16 @@ _QUERIES = {
     "browse": """
         SELECT farm_id, area_ha, risk_class FROM parcel_view WHERE risk_class IN ('LOW', 'HIGH')
         ORDER BY farm_id LIMIT 50 OFFSET 100""",
+    "page_directory": """
+        SELECT 'first' AS request, farm_id, area_ha, risk_score, risk_class FROM (SELECT * FROM parcel_view ORDER BY farm_id LIMIT 40)
+        UNION ALL SELECT 'across', farm_id, area_ha, risk_score, risk_class
+          FROM (SELECT * FROM parcel_view ORDER BY farm_id LIMIT 600 OFFSET 100)
+        UNION ALL SELECT 'class', farm_id, area_ha, risk_score, risk_class
+          FROM (SELECT * FROM parcel_view WHERE risk_class IS NOT NULL ORDER BY farm_id LIMIT 30 OFFSET 60)
+        UNION ALL SELECT 'score', farm_id, area_ha, risk_score, risk_class
+          FROM (SELECT * FROM parcel_view WHERE risk_class = 'LOW' AND risk_score >= 0.001 ORDER BY farm_id LIMIT 25 OFFSET 10)
+        UNION ALL SELECT 'last', farm_id, area_ha, risk_score, risk_class
+          FROM (SELECT * FROM parcel_view ORDER BY farm_id DESC LIMIT 7)""",
     "class_tiles": """
         SELECT CASE risk_class WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 ELSE 2 END::BIGINT AS place, risk_class,
                CASE risk_class WHEN 'LOW' THEN 'Compliant' WHEN 'MEDIUM' THEN 'Needs review' ELSE 'Non-compliant' END AS label,

@@ -13,6 +13,7 @@ from gladeline.functions.labels import MEDIAN_AFFECTED_PCT, compliance_label, ri
 from gladeline.functions.numbers import cap_distance, share_pct
 from gladeline.grid import GridSpec
 from gladeline.operators import components as cc
+from gladeline.operators import distance as ds
 from gladeline.operators import footprints as fp
 from gladeline.operators import proximity as px
 from gladeline.operators import raster as ra
@@ -433,6 +434,14 @@ def sample_at(spark, d):
     return px.sample_at(s.points(spark, d), s.cells(spark, d), "crop_prob")
 
 
+@query
+def distance_band(spark, d):
+    """The distance raster up to the library's own cap, for every valid cell."""
+    words = zo.loss_words(s.cells(spark, d))
+    band = ds.distance_band(words, int(s.GRID.cells(sc.DISTANCE_CAP_M)))
+    return ds.distance_metres(band, s.GRID.cell_m, sc.DISTANCE_CAP_M)
+
+
 @query
 def masked_distance(spark, d):
     raster = cut_lineage(s.cells(spark, d))
@@ -519,6 +528,23 @@ def page(spark, d):
     return sv.page(s.farms(spark, d), 25, 100).select("farm_id", "area_ha")
 
 
+@query
+def page_directory(spark, d):
+    """A stored view and its directory: a first page, one across ranges, one of a class, one by score, and the last rows."""
+    view = _view(spark, d)
+    pages = sv.store_pages(view, scratch_folder(spark), rows_per_range=500)
+    n = view.count()
+    asked = {
+        "first": (40, 0, None, None), "across": (600, 100, None, None), "class": (30, 60, ["HIGH", "MEDIUM", "LOW"], None),
+        "score": (25, 10, ["LOW"], 0.001), "last": (20, n - 7, None, None),
+    }
+    out = None
+    for name, request in asked.items():
+        part = sv.read_page(pages, *request).select(F.lit(name).alias("request"), "farm_id", "area_ha", "risk_score", "risk_class")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query
 def page_after(spark, d):
     return sv.page_after(s.farms(spark, d), 25, 100).select("farm_id", "area_ha")

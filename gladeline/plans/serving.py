@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from gladeline.functions.labels import RISK_CLASSES, compliance_label
 from gladeline.operators.ordering import number_rows
@@ -13,6 +15,8 @@ from gladeline.operators.ordering import number_rows
 MAX_LIMIT = 10_000
 MAX_WARNINGS = 4_100
 PAGE_SIZE = 50
+MAX_TOP = 20_000  # rows up to which a page is a top-k
+RANGE_ROWS = 100_000  # rows of a range of a stored view
 
 
 def check_parameters(
@@ -42,17 +46,77 @@ def semi_filter(df: DataFrame, ids: DataFrame, keep: bool = True) -> DataFrame:
     return df.join(ids.select("farm_id"), "farm_id", "left_semi" if keep else "left_anti")
 
 
-def page(df: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+def _order(df: DataFrame) -> list:
+    """By ``farm_id``, then by a hash of the row, so that several rows of one parcel have places too."""
+    return [F.col("farm_id"), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])]
+
+
+def page(df: DataFrame, limit: int, offset: int = 0, most_top: int = MAX_TOP) -> DataFrame:
     """Rows ``offset .. offset + limit - 1`` in order of ``farm_id``, then of a hash of the row.
 
-    Rows are numbered in parallel and filtered, at any offset alike; a top-k would hold ``offset + limit`` rows in
-    one task. Several rows of one parcel are rows like any other.
+    A page that ends within ``most_top`` rows is a top-k: every task keeps that many rows at most and nothing is
+    written. Beyond it a task would have to hold too many, so rows are numbered in parallel and filtered; pages of a
+    table that is read more than once come from :func:`store_pages`.
     """
-    order = [F.col("farm_id"), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])]
-    numbered = number_rows(df, order, "__place")
+    if offset + limit <= most_top:
+        return df.orderBy(*_order(df)).offset(offset).limit(limit)
+    numbered = number_rows(df, _order(df), "__place")
     return numbered.filter(F.col("__place").between(offset, offset + limit - 1)).orderBy("__place").drop("__place")
 
 
+@dataclass(frozen=True)
+class Pages:
+    """A view in ranges of its order, a folder each, and a directory of how many rows of each class a range holds."""
+
+    rows: DataFrame
+    directory: DataFrame
+
+
+def store_pages(view: DataFrame, path: str, rows_per_range: int = RANGE_ROWS) -> Pages:
+    """Write ``view`` for paging, sorted once; ``rows_per_range`` is what a page has to read at least."""
+    ranges = max(1, -(-view.count() // rows_per_range))
+    order = _order(view)
+    placed = view.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("range_no", F.spark_partition_id())
+    placed.write.partitionBy("range_no").parquet(f"{path}/rows")
+    kind = StructType([*view.schema.fields, StructField("range_no", IntegerType())])
+    rows = view.sparkSession.read.schema(kind).parquet(f"{path}/rows")
+    rows.groupBy("range_no", "risk_class").agg(F.count(F.lit(1)).alias("n")).coalesce(1).write.parquet(f"{path}/directory")
+    return open_pages(view.sparkSession, path, kind)
+
+
+def open_pages(spark: SparkSession, path: str, kind: StructType | None = None) -> Pages:
+    """Pages written before."""
+    reader = spark.read if kind is None else spark.read.schema(kind)
+    return Pages(reader.parquet(f"{path}/rows"), spark.read.schema("range_no int, risk_class string, n long").parquet(f"{path}/directory"))
+
+
+def read_page(
+    pages: Pages, limit: int, offset: int = 0, classes: Sequence[str] | None = None, min_risk_score: float | None = None,
+) -> DataFrame:
+    """The same rows as :func:`page` of the filtered view, from the ranges that hold them alone.
+
+    The directory tells which these are. A score filter is not in the directory: its rows per range are counted over
+    two narrow columns first. Nothing is written, and only the rows of one range, or of those the page spans, are sorted.
+    """
+    held = pages.rows.drop("range_no")
+    wanted = F.lit(True) if classes is None else F.col("risk_class").isin(*classes)
+    if min_risk_score is None:
+        counts = pages.directory.filter(wanted).groupBy("range_no").agg(F.sum("n").alias("n"))
+    else:
+        wanted = wanted & (F.col("risk_score") >= min_risk_score)
+        counts = pages.rows.filter(wanted).groupBy("range_no").agg(F.count(F.lit(1)).alias("n"))
+    start, picked, skipped = 0, [], 0
+    for number, n in sorted((r["range_no"], r["n"]) for r in counts.collect()):  # one number per range
+        if start < offset + limit and start + n > offset:
+            skipped = skipped if picked else start
+            picked.append(number)
+        start += n
+    if not picked:
+        return held.filter(F.lit(False))
+    near = pages.rows.filter(F.col("range_no").isin(*picked)).filter(wanted).drop("range_no")
+    return near.orderBy(*_order(held)).offset(offset - skipped).limit(limit)
+
+
 def page_after(df: DataFrame, limit: int, last_id: int) -> DataFrame:
     """The page that follows ``last_id``: a filter and a top-k, at any depth."""
     return df.filter(F.col("farm_id") > F.lit(last_id)).orderBy("farm_id").limit(limit)
