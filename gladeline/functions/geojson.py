@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from gladeline.session import cut_lineage
 
@@ -48,8 +51,8 @@ def geometry_texts(shapes: DataFrame, id_col: str = "farm_id", scale: float = 1.
     """``id, geometry`` from ``id, rings`` in cell corners: a Polygon, or a MultiPolygon of several outer rings.
 
     Outer rings have positive area (inside on the right, y down). A hole goes to the outer ring around it, the
-    smallest one where they are nested. Only shapes with several outer rings need that search; it meets holes and
-    upright sides of outer rings by row, counting the sides to the right of a point of the hole. Null or no rings
+    smallest one where they are nested. Only shapes with several outer rings need that search; it sweeps the rows that
+    hold a point of a hole or a side once. Null or no rings
     give a null text. The shapes are written once, as they are read for both kinds.
     """
     shapes = cut_lineage(shapes.select(id_col, "rings"))
@@ -67,25 +70,54 @@ def _text(kind: str, coordinates: Column) -> Column:
     return F.to_json(F.struct(F.lit(kind).alias("type"), coordinates.alias("coordinates")))
 
 
+def _swept(marks: DataFrame, id_col: str) -> DataFrame:
+    """``id, place, home``: the smallest ring open at each hole's point.
+
+    ``marks`` are, per row of a shape, the upright sides of outer rings (``home``) and the points of holes
+    (``place``). A row is swept once from left to right: a side opens its ring or closes it, and what is open at a
+    point lies around it. Only the open rings are held, which are nested, so a row may have any number of holes.
+    """
+    by = [id_col, "row"]
+    ordered = marks.repartition(*by).sortWithinPartitions(*by, "x")
+    kind = StructType([marks.schema[id_col], *StructType.fromDDL("place int, home int").fields])
+    arrow = to_arrow_schema(kind)
+
+    def sweep(batches):
+        row, around = None, {}
+        for batch in batches:
+            found = []
+            for key, at, home, area, place in zip(*(batch.column(c).to_pylist() for c in (id_col, "row", "home", "home_area2", "place"))):
+                if (key, at) != row:
+                    row, around = (key, at), {}
+                if place is None:
+                    if home in around:
+                        del around[home]
+                    else:
+                        around[home] = area
+                elif around:
+                    found.append((key, place, min(around, key=lambda h: (around[h], h))))
+            columns = zip(*found) if found else ([], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    return ordered.mapInArrow(sweep, kind)
+
+
 def _multipolygons(rings: DataFrame, id_col: str, scale: float) -> DataFrame:
     """``id, geometry`` of shapes given ring by ring ``(id, place, ring, area2)``."""
     outer, holes = rings.filter(F.col("area2") > 0), rings.filter(F.col("area2") < 0)
     sides = outer.select(
         id_col, F.col("place").alias("home"), F.col("area2").alias("home_area2"), F.explode(_sides(F.col("ring"))).alias("s")
     ).filter(F.col("s.a.y") != F.col("s.b.y"))
+    rows = F.sequence(F.least("s.a.y", "s.b.y").cast("long"), F.greatest("s.a.y", "s.b.y").cast("long") - 1)
     upright = sides.select(
-        id_col, "home", "home_area2", F.col("s.a.x").alias("x"),
-        F.explode(F.sequence(
-            F.least("s.a.y", "s.b.y").cast("long"), F.greatest("s.a.y", "s.b.y").cast("long") - 1
-        )).alias("row"),
+        id_col, F.explode(rows).alias("row"), F.col("s.a.x").alias("x"), "home", "home_area2", F.lit(None).cast("int").alias("place")
     )
     spot = _inside_point(F.col("ring"))
-    spots = holes.select(id_col, "place", spot["x"].alias("px"), F.floor(spot["y"]).alias("row"))
-    around = (
-        spots.join(upright, [id_col, "row"]).filter(F.col("x") > F.col("px"))
-        .groupBy(id_col, "place", "home", "home_area2").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") % 2 == 1)
-        .groupBy(id_col, "place").agg(F.min_by("home", F.struct("home_area2", "home")).alias("home"))
+    spots = holes.select(
+        id_col, F.floor(spot["y"]).alias("row"), spot["x"].alias("x"), F.lit(None).cast("int").alias("home"),
+        F.lit(None).cast("double").alias("home_area2"), "place",
     )
+    around = _swept(upright.unionByName(spots), id_col)
     inner = (
         holes.join(around, [id_col, "place"]).groupBy(id_col, F.col("home").alias("place"))
         .agg(F.array_sort(F.collect_list(F.struct("place", "ring")))["ring"].alias("inner"))

@@ -1,5 +1,7 @@
 """Runs, words, buffers, outlines and polygons against brute force on small random grids."""
 
+import json
+import time
 import random
 
 import pytest
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from gladeline.functions.geojson import geometry_texts, parse_rings
 from gladeline.grid import GridSpec
 from gladeline.operators.footprints import buffer_runs, centroid, dilate, parcel_points, polygon_runs, ring_runs
+from gladeline.operators import outlines
 from gladeline.operators.outlines import outline_edges, polygonize
 from gladeline.operators.raster import clip
 from gladeline.operators.words import cells_to_words, merge_pieces, runs_to_words, words_to_cells, words_to_runs
@@ -222,3 +225,48 @@ def test_cells_to_words_marks_each_mask(spark):
     cells = spark.createDataFrame([(0, 0, True), (0, 63, False), (0, 64, True)], "row long, col long, loss boolean")
     got = {(r["word"]): (r["valid"], r["lost"]) for r in cells_to_words(cells, valid=F.lit(True), lost=F.col("loss")).collect()}
     assert got == {0: (1 - 2**63, 1), 1: (1, 1)}
+
+
+@pytest.mark.parametrize("tile_shift", [0, 1, 3])
+def test_rings_across_tiles_are_the_same(runs, spark, monkeypatch, tile_shift):
+    whole = {r["farm_id"]: r["rings"] for r in polygonize(runs).collect()}
+    monkeypatch.setattr(outlines, "TILE_SHIFT", tile_shift)
+    monkeypatch.setattr(outlines, "BATCH_ROWS", 5)
+    assert {r["farm_id"]: r["rings"] for r in polygonize(runs).collect()} == whole
+    comb = [(1, r, 0, 399 if r % 2 == 0 else 0) for r in range(60)]
+    shape = polygonize(spark.createDataFrame(comb, RUN)).first()["rings"]
+    assert len(shape) == 1 and len(shape[0]) == len(set(map(tuple, shape[0]))) + 1 == 2 * 60 + 3
+    turns = [(a["x"] == b["x"]) != (b["x"] == c["x"]) for a, b, c in zip(shape[0], shape[0][1:], shape[0][2:])]
+    assert all(turns)
+
+
+def test_ranking_writes_less_than_three_times_the_sides(spark, monkeypatch):
+    """A comb of 1,024 teeth, 700 cells wide: one ring of 4,098 sides over 24 tiles."""
+    written = []
+    store = outlines.cut_lineage
+    monkeypatch.setattr(outlines, "cut_lineage", lambda df: written.append((kept := store(df)).count()) or kept)
+    teeth = spark.range(2048).select(
+        F.lit(1).cast("long").alias("farm_id"), F.col("id").cast("int").alias("row"), F.lit(0).alias("col_lo"),
+        F.when(F.col("id") % 2 == 0, 700).otherwise(0).cast("int").alias("col_hi"),
+    )
+    corners = outlines.outline_corners(teeth)
+    sides = corners.count()
+    assert sides == outline_edges(teeth).count() >= 4096 and sum(written) < 3 * sides
+    assert corners.filter("place = 0").count() == 1 and corners.agg(F.max("place")).first()[0] == sides - 1
+
+
+def test_ten_thousand_holes_on_one_row(spark):
+    """Two frames side by side, 5,000 holes each in the same row, swept once."""
+    rows = []
+    for first in (0, 15_010):
+        rows += [(1, r, first, first + 15_001) for r in (0, 2)]
+        rows += [(1, 1, first + 3 * k, first + 3 * k + 1) for k in range(5000)] + [(1, 1, first + 15_001, first + 15_001)]
+    shapes = polygonize(spark.createDataFrame(rows, RUN))
+    plan = outlines_plan = geometry_texts(shapes)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in outlines_plan and "Cartesian" not in plan
+    start = time.perf_counter()
+    parts = json.loads(geometry_texts(shapes).first()["geometry"])["coordinates"]
+    assert [len(p) for p in parts] == [5001, 5001] and time.perf_counter() - start < 60
+    for part in parts:
+        left, right = part[0][0][0], max(x for x, _ in part[0])
+        assert all(left < ring[0][0] < right for ring in part[1:])
