@@ -493,6 +493,26 @@ _QUERIES = {
     "out_of_fold_ranges": _REAL + """
         SELECT farm_id, true AS in_range FROM wide_frame WHERE risk_binary IS NOT NULL AND has_rings""",
     "scoring_run": "SELECT farm_id, defo_pct, risk_class, true AS in_range FROM assessments",
+    "variant_counts": _REAL + """,
+labels AS (
+  SELECT 'binary' AS framing, risk_binary AS label, farm_id FROM wide_frame WHERE has_rings
+  UNION ALL SELECT '3-class', a.risk_class, farm_id FROM wide_frame JOIN assessments a USING (farm_id) WHERE has_rings)
+        SELECT model, framing, features, label, count(*)::BIGINT AS n, count(DISTINCT farm_id)::BIGINT AS n_farms, true AS in_range
+        FROM labels, (SELECT unnest(['RF', 'LR']) AS model),
+             (SELECT unnest(['A: area+nb200 (baseline)', 'B: nb200 only', 'C: distance only', 'D: nb 200+500+1000',
+                             'E: dist + nb multi', 'F: E + area']) AS features)
+        WHERE label IS NOT NULL GROUP BY model, framing, features, label""",
+    "watch_list": _REAL + """
+        SELECT f.farm_id, f.area_ha, d.dist_to_defo_m, w.nb_defo_pct_200, w.nb_defo_pct_500, w.nb_defo_pct_1000, a.risk_score
+        FROM farms f JOIN wide_shares w USING (farm_id) JOIN wide_distances d USING (farm_id) JOIN assessments a USING (farm_id)
+        WHERE a.risk_binary = 'CLEAN' ORDER BY a.risk_score DESC NULLS LAST, f.farm_id LIMIT 25""",
+    "leakage_by_derivation": _ranking("""
+        SELECT unnest(['nb_defo_pct_20', 'nb_defo_pct_50', 'nb_defo_pct_100', 'pressure', 'area_ha']) AS feature,
+               unnest([nb_defo_pct_20, nb_defo_pct_50, nb_defo_pct_100, defo_pct * 0.001::DOUBLE + nb_defo_pct_20, area_ha]) AS value,
+               CASE WHEN defo_pct > 0 THEN 1 ELSE 0 END AS hit
+        FROM frame WHERE risk_binary IS NOT NULL""") + """
+        SELECT feature, false AS is_own_loss, CASE WHEN feature = 'pressure' THEN 'defo_pct' ELSE '' END AS derived_from, roc_auc,
+               feature = 'pressure' OR roc_auc IN (0.0, 1.0) AS leaks FROM rank_metrics""",
     "leakage_audit": _ranking("""
         SELECT unnest(['nb_defo_pct_20', 'nb_defo_pct_50', 'nb_defo_pct_100', 'defo_pct', 'area_ha']) AS feature,
                unnest([nb_defo_pct_20, nb_defo_pct_50, nb_defo_pct_100, defo_pct, area_ha]) AS value,

@@ -25,6 +25,7 @@ from gladeline.plans import reports as rp
 from gladeline.plans import screening as sc
 from gladeline.plans import serving as sv
 from gladeline.plans.scoring import scoring_run as run_scoring
+from gladeline.plans.scoring import watch_list as run_watch_list
 from gladeline.session import cut_lineage, scratch_folder
 from gladeline.sources import schemas
 from gladeline.sources.files import (
@@ -791,6 +792,15 @@ def select_best(spark, d):
 @query
 def leakage_audit(spark, d):
     out = mo.leakage_audit(_frame(spark, d).filter(F.col("risk_binary").isNotNull()), [*RINGS, "defo_pct", "area_ha"])
+    return out.withColumn("roc_auc", F.round("roc_auc", 6)).drop("derived_from")
+
+
+@query
+def leakage_by_derivation(spark, d):
+    """A feature that holds a little of the parcel's own share under a harmless name, beside honest ones."""
+    frame = _frame(spark, d).filter(F.col("risk_binary").isNotNull())
+    scaled = frame.withColumn("pressure", F.col("defo_pct") * 0.001).withColumn("pressure", F.col("pressure") + F.col("nb_defo_pct_20"))
+    out = mo.leakage_audit(scaled, [*RINGS, "pressure", "area_ha"])
     return out.withColumn("roc_auc", F.round("roc_auc", 6))
 
 
@@ -826,6 +836,22 @@ def compare_models(spark, d):
     return mo.compare_models(_real_frame(spark, d), SETTINGS, mo.FEATURE_SETS)
 
 
+@query
+def variant_counts(spark, d):
+    """What must hold for any comparison: each variant predicts every row with all features once, in [0, 1]."""
+    rows = mo.variant_predictions(_real_frame(spark, d), mo.FEATURE_SETS, (mo.BINARY, mo.THREE_CLASS), SETTINGS)
+    return rows.groupBy("model", "framing", "features", "label").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("farm_id").alias("n_farms"), F.bool_and(F.col("score").between(0.0, 1.0)).alias("in_range")
+    )
+
+
+@query
+def watch_list(spark, d):
+    """Clean parcels by the stand-in score, with the features that explain it."""
+    scored = _real_frame(spark, d).join(s.assessments(spark, d).select("farm_id", "risk_score"), "farm_id")
+    return run_watch_list(scored, ["dist_to_defo_m", "nb_defo_pct_200", "nb_defo_pct_500", "nb_defo_pct_1000"], 25)
+
+
 @query
 def sensitivity(spark, d):
     return mo.sensitivity(_real_frame(spark, d, masked=True), SETTINGS, mo.MASKING_SETS)

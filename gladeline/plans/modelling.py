@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from gladeline.operators.ordering import shuffled_rank
 from gladeline.plans import forests
+from gladeline.plans.lineage import sources_of
 from gladeline.plans.metrics import classification_report, macro_f1, ranking_metrics
 from gladeline.session import cut_lineage
 
@@ -467,11 +468,20 @@ def score_v2(frame: DataFrame, feats: Sequence[str] = ("area_ha", "nb_defo_pct_2
 
 
 def leakage_audit(frame: DataFrame, feats: Sequence[str]) -> DataFrame:
-    """``feature, is_own_loss, roc_auc, leaks``: a feature leaks by name, or by separating the label perfectly."""
+    """``feature, is_own_loss, derived_from, roc_auc, leaks``.
+
+    A feature leaks by its name, by being computed from the parcel's own loss under whatever name (``derived_from``
+    lists the columns, empty if none), or by separating the label perfectly.
+    """
     pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in feats])
     affected = (F.col("risk_binary") == "AFFECTED").cast("long").alias("hit")
     rows = frame.select(affected, F.explode(pairs).alias("p")).select("hit", "p.feature", "p.value")
     auc = ranking_metrics(rows, "value", "hit", ["feature"]).select("feature", "roc_auc")
+    come_from = sources_of(frame)
+    derived = F.lit("")
+    for f in feats:
+        derived = F.when(F.col("feature") == f, ",".join(sorted(come_from[f] & set(OWN_LOSS) - {f}))).otherwise(derived)
     own = F.col("feature").isin(*OWN_LOSS)
     perfect = (F.col("roc_auc") == 1.0) | (F.col("roc_auc") == 0.0)
-    return auc.select("feature", own.alias("is_own_loss"), "roc_auc", (own | F.coalesce(perfect, F.lit(False))).alias("leaks"))
+    leaks = own | (derived != "") | F.coalesce(perfect, F.lit(False))
+    return auc.select("feature", own.alias("is_own_loss"), derived.alias("derived_from"), "roc_auc", leaks.alias("leaks"))

@@ -5,10 +5,12 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gladeline.plans import metrics as me
 from gladeline.plans import modelling as mo
+from gladeline.plans.lineage import sources_of
 from gladeline.plans.scoring import scoring_run, watch_list
 from gladeline.plans.screening import model_frame
 from gladeline.session import cut_lineage
@@ -157,6 +159,30 @@ def test_leak_audit(frame):
     assert got == {"x": (False, False), "z": (False, False), "defo_pct": (True, True)}
 
 
+def test_lineage_follows_values_and_not_names(frame, spark):
+    base = frame.filter("risk_binary is not null").select("farm_id", "x", "z", "defo_pct", "risk_binary")
+    made = base.withColumn("y", F.col("defo_pct") / 100).withColumn("mild", F.sqrt(F.col("y")) + F.col("x")).drop("y")
+    sums = base.groupBy("farm_id").agg(F.max(F.col("defo_pct") * 2).alias("peak"), F.sum("z").alias("calm"))
+    both = made.join(sums, "farm_id").withColumn("rank", F.row_number().over(Window.partitionBy("risk_binary").orderBy("peak")))
+    listed = both.withColumn("some", F.explode(F.array("mild", "z"))).withColumnRenamed("z", "renamed")
+    listed = listed.unionByName(listed.withColumn("calm", F.col("calm") + 1))
+    found = sources_of(listed)
+    own = {c: "defo_pct" in s for c, s in found.items()}
+    assert own == {"farm_id": False, "x": False, "renamed": False, "defo_pct": True, "risk_binary": False, "mild": True, "peak": True, "calm": False, "rank": True, "some": True}
+    python = base.select("farm_id", "defo_pct").mapInArrow(lambda batches: batches, "farm_id long, echo double")
+    assert "defo_pct" in sources_of(python)["echo"]
+    audit = {r["feature"]: (r["derived_from"], r["leaks"]) for r in mo.leakage_audit(made, ["x", "z", "mild"]).collect()}
+    assert audit == {"x": ("", False), "z": ("", False), "mild": ("defo_pct", True)}
+
+
+def test_ring_shares_are_not_derived_from_the_own_share(spark):
+    from gladeline import standin
+
+    shares = standin.shares(spark, "/root/testdata/sf0.001")
+    found = sources_of(shares)
+    assert not set(mo.OWN_LOSS) & found["nb_defo_pct_50"] and "defo_m2" in found["defo_pct"]
+
+
 def test_model_frame_joins_and_labels(spark):
     farms = spark.createDataFrame([(1, 2.0), (2, 3.0), (3, 1.0)], "farm_id long, area_ha double")
     shares = spark.createDataFrame([(1, 0.0), (2, 7.0)], "farm_id long, defo_pct double")
