@@ -14,7 +14,7 @@ HEADLINE = (
     "mosaic", "zonal_sum", "defo_pct", "ring_features", "parcel_context", "nearest_loss", "nearest_loss_excluding_own",
     "masked_distance", "connected_components", "build_parcels", "polygonize_parcels", "clip", "resample",
     "list_farms", "early_warning", "class_stats", "stats_document", "describe", "roc_auc", "classification_report",
-    "stratified_folds", "model_frame", "forest_scores", "regression_scores",
+    "stratified_folds", "model_frame", "forest_scores", "regression_scores", "distance_band", "page_directory",
 )
 
 

@@ -18,6 +18,7 @@ from gladeline.functions.numbers import cap_distance
 from gladeline.grid import BLOCK_SHIFT, bit_range, block_of, has_bit, low_bits, one_bit, without
 from gladeline.operators.joins import join_to_unique
 from gladeline.operators.raster import prune
+from gladeline.session import cut_lineage
 
 BLOCK = 1 << BLOCK_SHIFT  # cells along a block
 SHEET = BLOCK * BLOCK  # cells along a sheet
@@ -93,16 +94,17 @@ def _prune(candidates: DataFrame, first_row: Column, first_col: Column, size: in
 
 
 def nearest_loss(
-    points: DataFrame, loss: DataFrame, cap_px: float = CAP_PX, exclude: DataFrame | None = None
+    points: DataFrame, loss: DataFrame, cap_px: float = CAP_PX, exclude: DataFrame | None = None, blocks: DataFrame | None = None,
 ) -> DataFrame:
     """``farm_id, dist_px``: cells to the nearest loss cell, NULL when none is within ``cap_px``.
 
     ``points`` has ``farm_id, crow, ccol``, one row per parcel. With ``exclude`` (footprint runs) the parcel's
-    own cells do not count; all parcels still run in this one job.
+    own cells do not count; all parcels still run in this one job. ``blocks`` are the :func:`loss_blocks` of
+    ``loss``, for callers that need them more than once.
     """
     cap2 = math.floor(cap_px * cap_px)
     reach = math.floor(cap_px)
-    blocks = loss_blocks(loss)
+    blocks = loss_blocks(loss) if blocks is None else blocks
     at = points.select(
         "farm_id", F.col("crow").cast("long").alias("prow"), F.col("ccol").cast("long").alias("pcol")
     )
@@ -167,10 +169,10 @@ def nearest_loss(
 
 def distance_feature(
     points: DataFrame, loss: DataFrame, cell_m: float = 10.0, cap_m: float = 2560.0,
-    exclude: DataFrame | None = None, name: str = "dist_to_defo_m",
+    exclude: DataFrame | None = None, name: str = "dist_to_defo_m", blocks: DataFrame | None = None,
 ) -> DataFrame:
     """``farm_id, <name>`` in metres, capped, 1 decimal."""
-    found = nearest_loss(points, loss, cap_m / cell_m, exclude)
+    found = nearest_loss(points, loss, cap_m / cell_m, exclude, blocks)
     return found.select("farm_id", cap_distance(F.col("dist_px"), cell_m, cap_m).alias(name))
 
 
@@ -179,13 +181,15 @@ def both_distances(
 ) -> DataFrame:
     """``farm_id, dist_to_defo_m, dist_to_defo_m_masked``.
 
-    Only parcels with loss of their own are measured a second time; for the others both distances agree.
+    Only parcels with loss of their own are measured a second time; for the others both distances agree. The blocks
+    of loss are stored once for the three uses.
     """
-    plain = distance_feature(points, loss, cell_m, cap_m)
-    affected = own_loss_blocks(farm_runs, loss_blocks(loss)).select("farm_id").distinct()
+    blocks = cut_lineage(loss_blocks(loss))
+    plain = distance_feature(points, loss, cell_m, cap_m, blocks=blocks)
+    affected = own_loss_blocks(farm_runs, blocks).select("farm_id").distinct()
     redone = distance_feature(
         points.join(affected, "farm_id", "left_semi"), loss, cell_m, cap_m,
-        farm_runs.join(affected, "farm_id", "left_semi"), "masked",
+        farm_runs.join(affected, "farm_id", "left_semi"), "masked", blocks,
     )
     return plain.join(redone, "farm_id", "left").select(
         "farm_id", "dist_to_defo_m", F.coalesce("masked", "dist_to_defo_m").alias("dist_to_defo_m_masked")
