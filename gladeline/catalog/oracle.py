@@ -239,6 +239,9 @@ _QUERIES = {
     "geojson_files": "SELECT farm_id, area_ha, n_cells, 'cocoa' AS commodity, geometry FROM farms",
     "feature_files": "SELECT farm_id, defo_m2, total_m2, defo_pct FROM assessments",
     "stored_tables": "SELECT farm_id, defo_pct, risk_score, risk_class FROM assessments",
+    "updated_tables": """
+        SELECT farm_id, defo_pct, CASE WHEN defo_pct > 0 AND risk_score > 0.01 THEN 0.95 ELSE risk_score END::DOUBLE AS risk_score,
+               CASE WHEN defo_pct > 0 THEN risk_class ELSE 'SEEN' END AS risk_class FROM assessments""",
     # ---- raster
     "threshold": 'SELECT "row", col, crop_prob FROM cells WHERE crop_prob > 0.3',
     "mosaic_masked": """
@@ -256,6 +259,9 @@ _QUERIES = {
         WHERE (x > a AND x < a * 5 AND y > a AND y < a * 5
                AND NOT (x > a * 2 AND x < a * 4 AND y > a * 2 AND y < a * 3 + 2))
            OR (x > a * 6 AND y > a * 6 + 2 AND x - a * 6 + y - a * 6 - 2 < a * 3 + 0.25)""",
+    "tile_directory": """
+        SELECT ("row" >> 5) || '_' || (col >> 5) AS tile, count(*) AS n_cells, min("row") AS row_lo, max("row") AS row_hi,
+               min(col) AS col_lo, max(col) AS col_hi FROM cells GROUP BY 1""",
     "loss_mask": 'SELECT "row", col, loss FROM cells',
     "pixel_area": """
         SELECT DISTINCT "row", round(6371008.8 ** 2 * radians(0.0001)
@@ -522,4 +528,9 @@ labels AS (
                feature = 'defo_pct' OR roc_auc IN (0.0, 1.0) AS leaks FROM rank_metrics""",
 }
 
+_QUERIES["compacted_tables"] = _QUERIES["updated_tables"]
+# the same rows out of a raster stored by tile
+_QUERIES |= {f"{name}_tiles": _QUERIES[whole] for name, whole in (
+    ("clip", "clip_boundary"), ("zonal_sum", "zonal_sum"), ("sample_at", "sample_at"))}
+
 ORACLE_SQL = {name: _BASE + sql for name, sql in _QUERIES.items()}

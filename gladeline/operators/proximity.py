@@ -196,13 +196,18 @@ def both_distances(
     )
 
 
-def sample_at(points: DataFrame, cells: DataFrame, name: str) -> DataFrame:
+def point_runs(points: DataFrame) -> DataFrame:
+    """The cell of every point as a run ``(row, col_lo, col_hi)``."""
+    return points.select(F.col("crow").alias("row"), F.col("ccol").alias("col_lo"), F.col("ccol").alias("col_hi"))
+
+
+def sample_at(points: DataFrame, cells: DataFrame, name: str, pruned: bool = True) -> DataFrame:
     """``farm_id, <band>``: the band at the centroid cell, NULL where it is masked.
 
-    Only raster cells in the tiles of the points are shuffled.
+    Only raster cells in the tiles of the points are shuffled; ``pruned=False`` where the cells are such already.
     """
-    spots = points.select(F.col("crow").alias("row"), F.col("ccol").alias("col_lo"), F.col("ccol").alias("col_hi"))
-    values = prune(cells, spots).select(F.col("row").cast("long").alias("crow"), F.col("col").cast("long").alias("ccol"), name)
+    near = prune(cells, point_runs(points)) if pruned else cells
+    values = near.select(F.col("row").cast("long").alias("crow"), F.col("col").cast("long").alias("ccol"), name)
     at = points.select("farm_id", "crow", "ccol")
     return join_to_unique(at, values, ["crow", "ccol"], "left").select("farm_id", name)
 

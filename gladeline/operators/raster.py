@@ -44,15 +44,17 @@ def mosaic(scenes: DataFrame, order_cols: Sequence[str], bands: Sequence[str]) -
     return scenes.groupBy("row", "col").agg(*last)
 
 
-def clip(cells: DataFrame, region_runs: DataFrame) -> DataFrame:
+def clip(cells: DataFrame, region_runs: DataFrame, pruned: bool = True) -> DataFrame:
     """Cells inside a region given as runs ``(row, col_lo, col_hi)``.
 
     The region becomes one bit word per 64 columns, so every cell meets at most one region row. Cells far from
-    the region are left out before they are shuffled.
+    the region are left out before they are shuffled, for a pass over the runs; cells that ``read_touching`` took
+    from a tiled raster need no such pass (``pruned=False``).
     """
     region = runs_to_words(region_runs, []).select("row", "word", F.col("bits").alias("region_bits"))
     inside = has_bit(F.col("region_bits"), low_bits(F.col("col"), WORD_SHIFT))
-    marked = prune(cells, region_runs).withColumn("word", word_of(F.col("col")))
+    near = prune(cells, region_runs) if pruned else cells
+    marked = near.withColumn("word", word_of(F.col("col")))
     return join_to_unique(marked, region, ["row", "word"]).filter(inside).select(*cells.columns)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gladeline.functions.geojson import geometry_texts, parse_rings
@@ -16,7 +16,9 @@ from gladeline.operators.outlines import polygonize
 from gladeline.operators.proximity import both_distances
 from gladeline.operators.raster import clip, clip_box, is_loss, resample, threshold
 from gladeline.operators.zonal import loss_words, parcel_context, parcel_loss
+from gladeline.session import cut_lineage
 from gladeline.sources.store import with_defaults
+from gladeline.sources.tiles import read_touching
 
 CROP_THRESHOLD = 0.3
 RADII_M = (200, 500, 1000)
@@ -43,12 +45,23 @@ def build_parcels(
     return farms.drop("comp_id").join(shapes, "farm_id"), runs
 
 
-def clip_to_boundary(cells: DataFrame, boundaries: DataFrame, grid: GridSpec) -> DataFrame:
-    """Cells whose centre lies in any of the boundaries ``(geometry)``: holes and several parts count, overlaps once."""
+def boundary_runs(boundaries: DataFrame, grid: GridSpec) -> DataFrame:
+    """The boundaries ``(geometry)`` as runs ``(row, col_lo, col_hi)``; those of different ones may overlap."""
     shapes = boundaries.select("geometry").distinct().select(
         F.sha2("geometry", 256).alias("shape"), parse_rings(F.col("geometry")).alias("rings")
     )
-    return clip(cells, polygon_runs(shapes, grid, "shape").select("row", "col_lo", "col_hi"))
+    return polygon_runs(shapes, grid, "shape").select("row", "col_lo", "col_hi")
+
+
+def clip_to_boundary(cells: DataFrame, boundaries: DataFrame, grid: GridSpec) -> DataFrame:
+    """Cells whose centre lies in any of the boundaries ``(geometry)``: holes and several parts count, overlaps once."""
+    return clip(cells, boundary_runs(boundaries, grid))
+
+
+def clip_stored(spark: SparkSession, path: str, boundaries: DataFrame, grid: GridSpec) -> DataFrame:
+    """As :func:`clip_to_boundary` over a tiled raster, of which only the tiles that a boundary touches are opened."""
+    runs = cut_lineage(boundary_runs(boundaries, grid))
+    return clip(read_touching(spark, path, runs), runs, pruned=False)
 
 
 def assess(farm_runs: DataFrame, cells: DataFrame, grid: GridSpec, as_of: str, parcels: DataFrame | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import json
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -258,6 +259,98 @@ def test_a_failed_snapshot_leaves_the_table(spark, tables, tmp_path):
     assert store.read_table(spark, path, "assessments").count() < 8
 
 
+def _stored_files(path):
+    return {str(f): f.stat().st_mtime_ns for f in Path(path).glob("assessments/part=*/bucket=*/*.parquet")}
+
+
+def _brute_force(steps):
+    """Rows after appends and updates, one by one."""
+    rows = []
+    for kind, given in steps:
+        if kind == "append":
+            rows += [dict(r) for r in given]
+        else:
+            for change in given:
+                for row in rows:
+                    if row["farm_id"] == change["farm_id"]:
+                        row.update(change)
+    return sorted((r["farm_id"], r["defo_pct"], r["risk_score"], r["risk_class"]) for r in rows)
+
+
+def _merged_rows(df):
+    return sorted(tuple(r) for r in df.select("farm_id", "defo_pct", "risk_score", "risk_class").collect())
+
+
+@pytest.mark.parametrize("most", [store.MOST_PATCHES, 0])
+def test_updates_merge_on_read(spark, tmp_path, monkeypatch, most):
+    """Loads and updates in turn against a plain list; a farm with many rows, repeated changes, NULL as a value."""
+    monkeypatch.setattr(store, "MOST_PATCHES", most)
+    path, kinds = str(tmp_path), "farm_id long, defo_pct double, risk_score double, risk_class string"
+    store.reset_store(spark, path, buckets=8)
+
+    def row(i, n=0):
+        return {"farm_id": i, "defo_pct": float(n), "risk_score": 0.1, "risk_class": "LOW"}
+
+    steps = [
+        ("append", [row(i) for i in range(200)] + [row(7, n) for n in range(1, 300)]),
+        ("update", [{"farm_id": i, "risk_score": 0.5 + i / 1000} for i in (3, 7, 50, 999)]),
+        ("append", [row(i, 1) for i in (3, 7, 300)]),
+        ("update", [{"farm_id": i, "risk_class": "HIGH", "defo_pct": 42.0} for i in (3, 300, 120)]),
+        ("update", [{"farm_id": 50, "risk_score": -1.0}]),
+    ]
+    for nth, (kind, given) in enumerate(steps):
+        schema = ", ".join(f for f in kinds.split(", ") if f.split()[0] in given[0])
+        df = spark.createDataFrame(given, schema)
+        if kind == "append":
+            store.append_table(df, path, "assessments")
+        else:
+            before = _stored_files(path)
+            store.update_table(df.unionByName(df), path, "assessments")
+            after = _stored_files(path)
+            assert before.items() <= after.items() and len(after) > len(before)
+        assert _merged_rows(store.read_table(spark, path, "assessments")) == _brute_force(steps[: nth + 1])
+    began = store.read_table(spark, path, "assessments")
+    want = _brute_force(steps)
+    assert _merged_rows(store.read_table(spark, path, "assessments", [7, 300, 5])) == [r for r in want if r[0] in (5, 7, 300)]
+    before = _stored_files(path)
+    store.compact_table(spark, path, "assessments")
+    entries, _ = store._manifest(spark, path, "assessments")
+    assert not any(e.patch for e in entries) and len({e.bucket for e in entries}) == len(entries) == 8
+    assert len({e.part for e in entries}) == 2  # buckets without changes keep the files of the first load
+    assert before.items() <= _stored_files(path).items()
+    assert _merged_rows(store.read_table(spark, path, "assessments")) == want == _merged_rows(began)
+    store.update_table(spark.createDataFrame([(3, None)], "farm_id long, risk_score double"), path, "assessments")
+    assert [r["risk_score"] for r in store.read_table(spark, path, "assessments", [3]).collect()] == [None, None]
+
+
+def test_updates_that_change_nothing(spark, tmp_path):
+    path = str(tmp_path)
+    store.reset_store(spark, path)
+    change = spark.createDataFrame([(1, 0.5), (None, 0.7)], "farm_id long, risk_score double")
+    store.update_table(change, path, "assessments")
+    store.compact_table(spark, path, "assessments")
+    assert store.read_table(spark, path, "assessments").count() == 0
+    store.append_table(change, path, "assessments")
+    store.update_table(change.limit(0).withColumn("risk_class", F.lit("X")), path, "assessments")
+    store.update_table(change.withColumn("risk_score", F.col("risk_score") * 2), path, "assessments")
+    got = {(r["farm_id"], r["risk_score"]) for r in store.read_table(spark, path, "assessments").collect()}
+    assert got == {(1, 1.0), (None, 0.7)}
+    for wrong in (change.select("farm_id"), change.withColumn("colour", F.lit(1))):
+        with pytest.raises(ValueError):
+            store.update_table(wrong, path, "assessments")
+
+
+def test_a_failed_update_leaves_the_table(spark, tmp_path):
+    path = str(tmp_path)
+    store.reset_store(spark, path)
+    rows = spark.createDataFrame([(1, 0.5), (2, 0.7)], "farm_id long, risk_score double")
+    store.append_table(rows, path, "assessments")
+    with pytest.raises(Exception, match="no score"):
+        store.update_table(rows.withColumn("risk_score", F.raise_error(F.lit("no score")).cast("double")), path, "assessments")
+    got = {(r["farm_id"], r["risk_score"]) for r in store.read_table(spark, path, "assessments").collect()}
+    assert got == {(1, 0.5), (2, 0.7)}
+
+
 def test_boundaries_of_any_properties(spark, tmp_path):
     def square(x, y, side):
         return [[x, y], [x + side, y], [x + side, y + side], [x, y + side], [x, y]]
