@@ -5,20 +5,21 @@ scores the one with fewer pieces. A position's forward score needs only the lett
 beginning share it: the different words of a stretch of documents form a trie, each of its nodes gets its forward
 score and count once, from the nodes above it, and the node at a word's end holds the word's terminal count. The trie
 is built and scored level by level, all nodes of a depth at once; the pieces that end at a node are found by walking
-a trie of reversed pieces upward. Stretches have a bounded size, so memory does too, and nothing is shuffled.
+a trie of reversed pieces upward. Deep down, where few words are left, the rest of their paths is scored depth first by
+the same rule, still once per shared letter. Stretches have a bounded size, so memory does too, and nothing is shuffled.
 
 The vocabulary comes from a public tokenizer file. Its pieces are ranked, not weighted, so a piece of rank r has
 log-score ``-log(r + 2)``. A character that no piece covers counts as the bytes of its UTF-8 form, each scored below
 all pieces.
 
 Defined cases: a null, empty or blank text has no words and no tokens; words are what stands between ASCII white
-space, each with the vocabulary's mark for a word's beginning; words of more than ``LONG`` characters are counted one
-by one; further columns are ignored.
+space, each with the vocabulary's mark for a word's beginning, of any length; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 from gladeline.llm.tables import arrow_texts, pieces, split_words
 
 BEGIN = "▁"
-LONG = 200
+STEP = 256
+NARROW = 48
 PIECE = 12 << 20
 _CHAR = 21  # bits of a character's number
 
@@ -78,35 +80,74 @@ class PieceCounter:
         """Counts of different words, in their order."""
         out = np.zeros(len(words), np.int64)
         order = np.asarray(pc.sort_indices(words), dtype=np.int64)  # by bytes, so that common beginnings lie together
-        spelled = words.take(pa.array(order)).to_pylist()
-        long = [i for i, w in enumerate(spelled) if len(w) > LONG]
-        for i in long:
-            out[order[i]] = self.count_long(spelled[i])
-            spelled[i] = ""
-        if spelled:
-            out_sorted = self._trie_counts(spelled)
-            out_sorted[long] = out[order[long]]
-            out[order] = out_sorted
+        if len(words):
+            out[order] = self._trie_counts([BEGIN + w for w in words.take(pa.array(order)).to_pylist()])
         return out
 
     def _trie_counts(self, spelled: list[str]) -> np.ndarray:
-        """Build the trie of sorted words level by level and score each level from those above."""
-        length = np.fromiter(map(len, spelled), np.int64, len(spelled)) + 1
-        code = np.frombuffer("".join(BEGIN + w for w in spelled).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-        start = np.cumsum(length) - length
-        node, total = np.zeros(len(spelled), np.int64), 1
-        size = len(code) + 1  # no trie has more nodes than its words have characters
-        parent, char, best, count = np.zeros(size, np.int32), np.zeros(size, np.int32), np.zeros(size), np.zeros(size, np.int32)
-        for depth in range(int(length.max())):
-            live = np.flatnonzero(length > depth)
-            key = node[live] << _CHAR | code[start[live] + depth]
-            new = np.concatenate([[True], key[1:] != key[:-1]])
-            node[live] = total + np.cumsum(new) - 1
-            level = slice(total, total + int(new.sum()))
-            parent[level], char[level] = key[new] >> _CHAR, key[new] & ((1 << _CHAR) - 1)
-            self._score_level(level, parent, char, best, count)
-            total = level.stop
-        return count[node].astype(np.int64)
+        """Build the trie of sorted words level by level and score each level from those above.
+
+        The letters are laid out ``STEP`` levels at a time. Where a level has fewer than ``NARROW`` words left, their
+        paths are walked word by word from there, each going on from the letters it shares with the word before.
+        """
+        length = np.fromiter(map(len, spelled), np.int64, len(spelled))
+        node, done, depth, total = np.zeros(len(spelled), np.int64), np.zeros(len(spelled), np.int64), 0, 1
+        parent, char, best, count = np.zeros(1, np.int32), np.zeros(1, np.int32), np.zeros(1), np.zeros(1, np.int32)
+        live = np.arange(len(spelled))
+        while len(live) >= NARROW or depth == 0:
+            parts = [spelled[i][depth : depth + STEP] for i in live]
+            code = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+            size = np.fromiter(map(len, parts), np.int64, len(parts))
+            start = np.zeros(len(spelled), np.int64)
+            start[live] = np.cumsum(size) - size
+            # no step has more nodes than its words have characters
+            parent, char, best, count = (np.concatenate([a[:total], np.zeros(len(code), a.dtype)]) for a in (parent, char, best, count))
+            for at in range(int(size.max())):
+                key = node[live] << _CHAR | code[start[live] + at]
+                new = np.concatenate([[True], key[1:] != key[:-1]])
+                node[live] = total + np.cumsum(new) - 1
+                level = slice(total, total + int(new.sum()))
+                parent[level], char[level] = key[new] >> _CHAR, key[new] & ((1 << _CHAR) - 1)
+                self._score_level(level, parent, char, best, count)
+                total, depth = level.stop, depth + 1
+                more = length[live] > depth
+                ended = live[~more]
+                done[ended] = count[node[ended]]
+                live = live[more]
+                if len(live) < NARROW:
+                    break
+        path, scores, amounts, before = [], [], [], ""
+        for i in live.tolist():
+            word = spelled[i]
+            shared = len(commonprefix((before, word)))
+            if shared < depth or not scores:  # another node: its own scores and those of the nodes above it
+                path, at = [], int(node[i])
+                while len(path) <= self.longest and at:
+                    path.append(at)
+                    at = int(parent[at])
+                if not at:
+                    path.append(0)
+                path.reverse()
+                scores, amounts, shared = best[path].tolist(), count[path].tolist(), depth
+            first = depth + 1 - len(path)  # the depth of the first score kept
+            del scores[shared + 1 - first :], amounts[shared + 1 - first :]
+            self._walk(word, first, scores, amounts)
+            done[i], before = amounts[-1], word
+        return done
+
+    def _walk(self, word: str, first: int, best: list[float], amounts: list[int]) -> None:
+        """Go on with the scores and counts of the beginnings of a word, of which the first has ``first`` letters."""
+        for end in range(first + len(best), len(word) + 1):
+            n = len(word[end - 1].encode("utf-8", "surrogatepass"))
+            top, fewest = best[-1] + n * self.byte, amounts[-1] + n
+            for begin in range(max(first, end - self.longest), end):
+                score = self.scores.get(word[begin:end])
+                if score is not None:
+                    total, amount = best[begin - first] + score, amounts[begin - first] + 1
+                    if total > top or total == top and amount < fewest:
+                        top, fewest = total, amount
+            best.append(top)
+            amounts.append(fewest)
 
     def _score_level(self, level: slice, parent, char, best, count) -> None:
         above, own = parent[level], char[level]
@@ -128,23 +169,6 @@ class PieceCounter:
             at, state, ancestor = at[inner], state[inner], ancestor[inner]
         best[level], count[level] = top, fewest
 
-    def count_long(self, word: str) -> int:
-        """The same recurrence for a single word."""
-        spelled = BEGIN + word
-        best, pieces_ = [0.0], [0]
-        for end in range(1, len(spelled) + 1):
-            n = len(spelled[end - 1].encode("utf-8", "surrogatepass"))
-            top, fewest = best[-1] + n * self.byte, pieces_[-1] + n
-            for begin in range(max(0, end - self.longest), end):
-                score = self.scores.get(spelled[begin:end])
-                if score is not None:
-                    total, amount = best[begin] + score, pieces_[begin] + 1
-                    if total > top or total == top and amount < fewest:
-                        top, fewest = total, amount
-            best.append(top)
-            pieces_.append(fewest)
-        return pieces_[-1]
-
 
 _counters: dict[str, PieceCounter] = {}
 

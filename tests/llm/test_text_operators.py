@@ -140,6 +140,8 @@ def best_count(scores, word):
             memo[end] = (top[0], -top[1])
         return memo[end]
 
+    for end in range(len(word)):  # from the front, so that no word is too long for the call stack
+        best(end)
     return best(len(word))[1]
 
 
@@ -153,7 +155,27 @@ def test_counts_equal_the_best_segmentation(spark, odd):
     strange = {r[0]: r[1:] for r in rows(tokencounts.token_counts(odd))}
     assert strange[0] == strange[1] == strange[2] == (0, 0)
     assert strange[8][1] == sum(best_count(scores, "▁" + w) for w in re.split(r"[ \t\n\v\f\r]+", ODD[8]))
-    assert strange[10][1] == tokencounts.PieceCounter(scores).count_long(ODD[10])
+    assert strange[10][1] == sum(best_count(scores, "▁" + w) for w in re.split(r"[ \t\n\v\f\r]+", ODD[10]))
+
+
+@pytest.mark.parametrize("narrow, step", [(1, 3), (1, 256), (5, 4), (48, 256), (10_000, 256), (10_000, 1)])
+def test_trie_of_long_words_equals_the_best_segmentation(monkeypatch, narrow, step):
+    """Words with long common beginnings, letters of one to four bytes, ends at every depth; any split of the work."""
+    monkeypatch.setattr(tokencounts, "NARROW", narrow)
+    monkeypatch.setattr(tokencounts, "STEP", step)
+    rng = random.Random(3)
+    scores = {"".join(rng.choices("abé▁字", k=rng.randrange(1, 7))): -rng.randrange(2, 9) * 0.5 for _ in range(60)}
+    words = {"".join(rng.choices("abé字😀", k=rng.randrange(1, 40))) for _ in range(40)}
+    words |= {w[: rng.randrange(1, len(w) + 1)] + "".join(rng.choices("ab字", k=rng.randrange(300))) for w in list(words)}
+    words = sorted(words, key=lambda w: rng.random())
+    got = tokencounts.PieceCounter(scores).counts(pa.array(words))
+    assert got.tolist() == [best_count(scores, "▁" + w) for w in words]
+
+
+def test_long_texts_without_spaces():
+    scores = {"▁": -1.0, "ab": -1.0, "abab": -1.5, "b": -1.2}
+    words = ["ab" * 40_000, "ab" * 40_000 + "c", "ab" * 20_000 + "b"]
+    assert tokencounts.PieceCounter(scores).counts(pa.array(words)).tolist() == [20_001, 20_002, 10_002]
 
 
 def test_counts_of_an_empty_table(none):
@@ -297,8 +319,9 @@ def test_benchmark_in_blocks_and_odd_rows(spark, odd, none, monkeypatch):
         (i is None, i or 0, n, h, len(f), hashlib.sha256(",".join(f).encode()).hexdigest(), h > 0 and 20 * h >= n)
         for (i, _), (n, h, f) in zip(given, plain_contamination([t for _, t in given], bench))
     )
-    for block in (fmindex.BLOCK_BYTES, 10):
+    for block, cut in ((fmindex.BLOCK_BYTES, fmindex.ITEM_BYTES), (10, fmindex.ITEM_BYTES), (40, 20)):
         monkeypatch.setattr(fmindex, "BLOCK_BYTES", block)
+        monkeypatch.setattr(fmindex, "ITEM_BYTES", cut)
         got = sorted((r[0] is None, r[0] or 0, *r[1:]) for r in rows(fmindex.contamination(odd, items)))
         assert got == expected
     clean = fmindex.keep_clean(odd, items)
@@ -308,6 +331,35 @@ def test_benchmark_in_blocks_and_odd_rows(spark, odd, none, monkeypatch):
     assert fmindex.keep_clean(odd, items.limit(0)).count() == len(given)
 
 
+def test_blocks_are_bounded_and_hold_every_phrase(spark, monkeypatch):
+    """One huge item, many rows of one id and many copies: a block has at most its bytes and one cut more."""
+    rng = random.Random(4)
+    bench = [(1, " ".join(f"w{rng.randrange(500)}" for _ in range(4000)))]
+    bench += [(2, " ".join(f"V{rng.randrange(50)}" for _ in range(rng.randrange(1, 30)))) for _ in range(100)]
+    bench += [(3, "the same thing! " * 9)] * 200 + [(4, "The same, thing " * 9), (4, "x" * 3000), (5, None)]
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    monkeypatch.setattr(fmindex, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(fmindex, "ITEM_BYTES", 400)
+    dealt = [tuple(r) for r in fmindex._in_blocks(items, 13).collect()]
+    sizes = {}
+    for _, words, block in dealt:
+        sizes[block] = sizes.get(block, 0) + len(words)
+    assert len(sizes) > 10 and sum(n > 2000 + 400 for n in sizes.values()) <= 1 and max(sizes.values()) <= 2000 + 3000
+    assert sum(item == "3" for item, _, _ in dealt) == 1
+    whole = [(str(i), t or "") for i, t in bench]
+    cut = [(item, words) for item, words, _ in dealt]
+
+    def phrases(rows):
+        made = fmindex.Phrases(rows, 13)
+        vocabulary = made.vocabulary.to_pylist()
+        return {
+            (tuple(vocabulary[c - 1] for c in made.table[nth, : made.lengths[nth]]), made.items[made.owner[o]])
+            for nth in range(len(made.lengths)) for o in range(made.owner_at[nth], made.owner_at[nth + 1])
+        }
+
+    assert phrases(cut) == phrases(whole)
+
+
 def test_suffix_array_and_search():
     rng = np.random.default_rng(2)
     symbols = np.concatenate([np.append(rng.integers(1, 3, n), 0) for n in (1, 50, 200, 200)])
