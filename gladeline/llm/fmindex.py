@@ -8,8 +8,9 @@ Burrows-Wheeler transform in a wavelet matrix, and every n-th suffix position ke
 backward at once, their occurrences located by walking to a kept position, and marked as spans; spans that touch
 merge. A shard answers for its documents alone, so nothing is shuffled.
 
-The benchmark goes to the executors in blocks of bounded size, fetched and searched one after the other, so neither
-the driver nor a task ever holds more than a block.
+The benchmark is cut into blocks of bounded size: repeated items count once, long ones are cut with an overlap. The
+blocks pass through the driver one after the other and are fetched and searched one after the other, so neither the
+driver nor a task holds the texts of more than one block (and the cut of an item beyond its bound).
 
 Defined cases: a null or empty text has no words and no hits; an item without words has no phrase; items without an
 id mark hits but are not listed, and rows of one id are one item; an empty benchmark or table is no error; further
@@ -18,13 +19,16 @@ columns are passed on by :func:`keep_clean` and ignored elsewhere.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gladeline.llm.tables import arrow_texts, byte_table, filtered, mapped, pieces, split_words, spread
+from gladeline.llm.tables import arrow_texts, byte_table, filtered, mapped, pieces, split_words, spread, stored
+from gladeline.operators.ordering import running_sums
 
 WINDOW = 13
 #: Text and number of texts after which a shard is closed.
@@ -32,6 +36,8 @@ SHARD_BYTES = 16 << 20
 SHARD_TEXTS = 20_000
 #: Benchmark text per block.
 BLOCK_BYTES = 32 << 20
+#: Text of an item after which it is cut.
+ITEM_BYTES = 1 << 20
 #: Every so many suffix positions are kept.
 SAMPLE = 16
 #: Occurrences located at once.
@@ -289,19 +295,52 @@ def _shards(batches):
         yield rows
 
 
+def _cut_items(benchmark: DataFrame, window: int) -> DataFrame:
+    """``item, words``: the items' words, lower-cased and joined, different rows only.
+
+    An item of more than ``ITEM_BYTES`` is cut; the cuts overlap by one word less than a phrase, so none is lost.
+    """
+
+    def cut(batches):
+        for batch in batches:
+            for piece in pieces(batch, "text"):
+                words, at = words_of(arrow_texts(piece.column("text")))
+                ends = np.cumsum(np.asarray(pc.binary_length(words), dtype=np.int64) + 1)
+                items, texts = [], []
+                for item, a, b in zip(piece.column("item").to_pylist(), at[:-1].tolist(), at[1:].tolist()):
+                    while a < b:
+                        room = (ends[a - 1] if a else 0) + ITEM_BYTES
+                        stop = min(b, max(a + window, int(np.searchsorted(ends, room, side="right"))))
+                        items.append(item)
+                        texts.append(" ".join(words[a:stop].to_pylist()))
+                        a = b if stop == b else stop - window + 1
+                yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(texts, pa.string())], names=["item", "words"])
+
+    given = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
+    return given.mapInArrow(cut, "item string, words string").distinct()
+
+
+def _in_blocks(benchmark: DataFrame, window: int) -> DataFrame:
+    """The cut items with a ``block`` each. Running sums over a digest's order deal them, so that a block has at most
+    ``BLOCK_BYTES`` and one cut more, however many rows share an id."""
+    marked = F.concat(F.coalesce(F.concat(F.lit("+"), "item"), F.lit("-")), F.lit(" "), "words")
+    cut = _cut_items(benchmark, window).select("item", "words", F.sha2(marked.cast("binary"), 256).alias("digest"), F.octet_length("words").cast("long").alias("size"))
+    dealt = running_sums(stored(cut), [F.col("digest")], {"upto": "size"})
+    return stored(dealt.select("item", "words", F.floor((F.col("upto") - F.col("size")) / F.lit(BLOCK_BYTES)).cast("int").alias("block")))
+
+
 def _blocks(spark: SparkSession, benchmark: DataFrame, window: int):
     """The benchmark as broadcasts of bounded size, and a function that yields their phrases inside a task."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("words"))
-    total = items.agg(F.sum(F.octet_length("words"))).first()[0] or 0
-    n = -(-total // BLOCK_BYTES) or 1
+    items, run = _in_blocks(benchmark, window), uuid.uuid4().hex
+    n = items.agg(F.max("block")).first()[0]
     sent = []
-    for nth in range(n):
-        block = items if n == 1 else items.filter(F.pmod(F.xxhash64("item", "words"), F.lit(n)) == nth)
-        sent.append(spark.sparkContext.broadcast([tuple(r) for r in block.collect()]))
+    for nth in range(0 if n is None else n + 1):
+        block = items.filter(F.col("block") == nth).select("item", "words").collect()
+        sent.append(spark.sparkContext.broadcast([tuple(r) for r in block]))
 
     def blocks():
-        for one in sent:
-            yield _phrases(one, window)
+        for nth, one in enumerate(sent):
+            yield _phrases((run, nth), one, window)
 
     return blocks
 
@@ -309,11 +348,13 @@ def _blocks(spark: SparkSession, benchmark: DataFrame, window: int):
 _last: dict[str, tuple] = {}
 
 
-def _phrases(sent, window: int) -> Phrases:
-    """The phrases of a block; a worker keeps those of the last one it used."""
-    key = (sent._jbroadcast.id() if getattr(sent, "_jbroadcast", None) else sent._path, window)
+def _phrases(key: tuple, sent, window: int) -> Phrases:
+    """The phrases of a block; a worker keeps those of the last one it used, and no block's texts."""
     if _last.get("key") != key:
+        _last.clear()
         _last.update(key=key, phrases=Phrases(sent.value, window))
+        if getattr(sent, "_path", None):
+            vars(sent).pop("_value", None)  # the texts; the broadcast reads its file again if asked again
     return _last["phrases"]
 
 
