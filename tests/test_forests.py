@@ -164,3 +164,25 @@ def test_a_forest_separates_what_a_line_cannot(spark):
     got = mo.cross_val_predict(mo.stratified_folds(frame, "risk_binary", 3), "RF", ["x", "y"], mo.BINARY, mo.Settings(trees=30, folds=3))
     right = got.filter("label = predicted").count()
     assert right > 540 and got.count() == 600
+
+
+@pytest.mark.parametrize("bundle_pairs,step_pairs,chunk_rows", [(1 << 24, 1 << 20, 50_000), (500, 700, 60)])
+def test_trees_grown_in_tasks_are_those_grown_level_by_level(rows, monkeypatch, bundle_pairs, step_pairs, chunk_rows):
+    """Nodes and scores alike, held against the plain grower above by way of the levels; no job per level."""
+    monkeypatch.setattr(fo, "BUNDLE_PAIRS", bundle_pairs)
+    monkeypatch.setattr(fo, "STEP_PAIRS", step_pairs)
+    monkeypatch.setattr(fo, "CHUNK_ROWS", chunk_rows)
+    matrix = matrix_of(rows)
+    by_level = fo.grow(matrix, forests_of(matrix), 5, 8, SEED, most_nodes=10**6)
+    monkeypatch.setattr(fo, "_count_level", None)
+    in_tasks = fo.grow(matrix, forests_of(matrix), 5, 8, SEED)
+    for a, b, keys in ((by_level.nodes, in_tasks.nodes, ["forest", "tree", "path"]), (by_level.scores, in_tasks.scores, ["forest", "farm_id"])):
+        assert a.orderBy(*keys).collect() == b.orderBy(*keys).collect() != []
+    assert fo.grow(matrix, forests_of(matrix), 5, 8, SEED, scored=False).nodes.count() == by_level.nodes.count()
+
+
+def test_a_fit_too_large_for_a_task_goes_level_by_level(rows, monkeypatch):
+    monkeypatch.setattr(fo, "TASK_ROWS", 100)
+    monkeypatch.setattr(fo, "_grow_in_tasks", None)
+    matrix = matrix_of(rows)
+    assert fo.grow(matrix, forests_of(matrix), 2, 4, SEED).scores.count() > 0
