@@ -41,6 +41,20 @@ def _sources(farm_runs: DataFrame, id_col: str) -> DataFrame:
     return words_to_pieces(sided, [id_col, "side"]).withColumnRenamed("row", "src_row")
 
 
+def reaching_pieces(farm_runs: DataFrame, radii: Sequence[int], id_col: str = "farm_id") -> DataFrame:
+    """The pieces that shape the buffers, ``(id, side, src_row, col_lo, col_hi, first_row, last_row)``.
+
+    ``first_row`` and ``last_row`` are the rows that a piece reaches with the widest radius: upwards from the upper
+    outline (``side`` -1), downwards from the lower one (1), its own row otherwise (0).
+    """
+    if min(radii) < 1:
+        raise ValueError("a buffer radius must be at least one cell")
+    src, side, widest = F.col("src_row"), F.col("side"), max(radii)
+    return _sources(farm_runs, id_col).withColumns({
+        "first_row": F.when(side < 0, src - widest).otherwise(src), "last_row": F.when(side > 0, src + widest).otherwise(src),
+    })
+
+
 def dilate(farm_runs: DataFrame, radii: Sequence[int], id_col: str = "farm_id") -> DataFrame:
     """Footprint and its buffers as words: ``(id, row, word, own, b_<R>...)``, radii in cells.
 

@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gladeline.functions.numbers import share_pct
 from gladeline.grid import WORD_SHIFT, GridSpec, bit_range, low_bits, one_bit, run_bits_in_word, without, word_of
-from gladeline.operators.footprints import dilate
+from gladeline.operators.footprints import reaching_pieces
 from gladeline.operators.joins import join_to_unique
 from gladeline.operators.raster import LOSS_SINCE, is_loss, prune
 from gladeline.operators.words import cells_to_words, explode_words, runs_to_words
+from gladeline.session import cut_lineage
+
+TILE_ROWS, TILE_WORDS = 6, 2  # 64 rows of 4 words where buffers meet the raster
+SPREAD = 8  # copies of a tile, so that many parcels on one spot are many tasks' work
+PART_MARKS = 2_000_000  # words of buffers merged by a task
 
 
 def _all_ids(farm_runs: DataFrame, parcels: DataFrame | None, id_col: str) -> DataFrame:
@@ -71,6 +76,44 @@ def loss_words(cells: DataFrame, since: int = LOSS_SINCE) -> DataFrame:
     return cells_to_words(cells, valid=F.lit(True), loss=is_loss(since))
 
 
+def _met_by_tile(farm_runs: DataFrame, raster_words: DataFrame, radii: Sequence[int], id_col: str) -> DataFrame:
+    """``id, row, valid, loss, own, b_<R>...`` for the raster words that a footprint or its widest buffer may meet.
+
+    The raster goes by tiles of 64 rows and 4 words, and outline pieces are sent to the tiles they reach. Buffers are
+    widened there, beside the raster, and the overlaps of a parcel's pieces merge in place: of its thousand words none
+    is shuffled or sorted. Parcels of one tile are dealt over ``SPREAD`` copies of it. The pieces are written once, as
+    the words they will make are counted first: ``PART_MARKS`` of them are merged by a task at most, on average.
+    """
+    widest, across = max(radii), WORD_SHIFT + TILE_WORDS
+    pieces = cut_lineage(reaching_pieces(farm_runs, radii, id_col))
+    src, side, lo, hi, word = F.col("src_row"), F.col("side"), F.col("col_lo"), F.col("col_hi"), F.col("word")
+    rows, words = F.col("last_row") - F.col("first_row") + 1, word_of(hi + widest) - word_of(lo - widest) + 1
+    marks = pieces.agg(F.sum(rows * words)).first()[0] or 0
+    parts = max(int(farm_runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-marks // PART_MARKS))
+    tile, group = ["trow", "tcol", "copy"], [id_col, "trow", "tcol", "copy", "pos"]
+    entry = F.struct(F.col("row").cast("long").alias("row"), "word", "valid", "loss")
+    tiles = raster_words.select(
+        F.shiftright(F.col("row").cast("long"), TILE_ROWS).alias("trow"), F.shiftright("word", TILE_WORDS).alias("tcol"), entry.alias("e")
+    ).groupBy("trow", "tcol").agg(F.collect_list("e").alias("entries"))  # 256 words at most
+    tiles = tiles.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))).repartition(parts, *tile)
+    trows = F.sequence(F.shiftright("first_row", TILE_ROWS), F.shiftright("last_row", TILE_ROWS))
+    tcols = F.sequence(F.shiftright(lo - widest, across), F.shiftright(hi + widest, across))
+    placed = pieces.withColumn("trow", F.explode(trows)).withColumn("tcol", F.explode(tcols))
+    placed = placed.withColumn("copy", F.pmod(F.xxhash64(id_col), F.lit(SPREAD)).cast("int")).repartition(parts, *tile)
+    met = placed.hint("merge").join(tiles, tile).select(*placed.columns, F.posexplode("entries").alias("pos", "e"))
+    near = F.col("row").between(F.col("first_row"), F.col("last_row")) & word.between(word_of(lo - widest), word_of(hi + widest))
+    met = met.select(*placed.columns, "pos", "e.*").filter(near)
+    dr, zero = F.col("row") - src, F.lit(0).cast("long")
+
+    def merged(condition: Column, widen: Column) -> Column:
+        return F.bit_or(F.when(condition, run_bits_in_word(lo - widen, hi + widen, word)).otherwise(zero))
+
+    square = {r: F.lit(r * r) - dr * dr for r in radii}
+    buffers = [merged(square[r] >= 0, F.floor(F.sqrt(square[r].cast("double"))).cast("long")).alias(f"b_{r}") for r in radii]
+    of_raster = [F.max("row").alias("row"), F.bit_or("valid").alias("valid"), F.bit_or("loss").alias("loss")]
+    return met.groupBy(*group).agg(*of_raster, merged(dr == 0, zero).alias("own"), *buffers)
+
+
 def loss_shares(
     farm_runs: DataFrame,
     raster_words: DataFrame,
@@ -85,9 +128,10 @@ def loss_shares(
     the join has one row per key, so the join never multiplies rows. Sums combine on the map side.
     """
     if radii:
-        marks = dilate(farm_runs, radii, id_col)
+        met = _met_by_tile(farm_runs, raster_words, radii, id_col)
     else:
         marks = runs_to_words(farm_runs, [id_col]).withColumnRenamed("bits", "own")
+        met = join_to_unique(marks, raster_words, ["row", "word"])
     zones = {"": F.col("own")} | {f"_{r}": without(F.col(f"b_{r}"), F.col("own")) for r in radii}
     area = grid.pixel_area(F.col("row"))
     sums = []
@@ -96,7 +140,7 @@ def loss_shares(
         lost = F.bit_count(bits.bitwiseAND(F.col("loss")))
         sums.append(F.sum(F.when(valid > 0, lost * area)).alias(f"defo_m2{suffix}"))
         sums.append(F.sum(F.when(valid > 0, valid * area)).alias(f"total_m2{suffix}"))
-    totals = join_to_unique(marks, raster_words, ["row", "word"]).groupBy(id_col).agg(*sums)
+    totals = met.groupBy(id_col).agg(*sums)
     return _all_ids(farm_runs, parcels, id_col).join(totals, id_col, "left")
 
 

@@ -207,3 +207,33 @@ def test_context_of_a_parcel_without_a_cell(spark):
     assert set(rows) == {1, 2} and rows[1]["total_m2"] == 400.0
     assert rows[2]["defo_pct"] is None and rows[2]["nb_defo_pct_20"] is None
     assert rows[2]["dist_to_defo_m"] == rows[2]["dist_to_defo_m_masked"] == 60.0
+
+
+def test_buffers_meet_the_raster_by_tile_as_word_by_word(spark, monkeypatch):
+    """Parcels over tile borders, below zero, of several pieces and on one spot; no exchange of the words of a buffer."""
+    from gladeline.operators import zonal
+    from gladeline.operators.footprints import dilate
+
+    monkeypatch.setattr(zonal, "PART_MARKS", 500)
+    rng = random.Random(5)
+    cells = [(r, c, 1, 22 if rng.random() < 0.2 else 0) for r in range(-80, 90) for c in range(-90, 300) if rng.random() < 0.6]
+    words = loss_words(spark.createDataFrame(cells, "row long, col long, forest2020 int, lossyear int"))
+    runs = [(1, r, 250, 262) for r in range(60, 68)] + [(2, -3, -5, 70), (2, -1, -5, -4), (2, -1, 66, 70)] + [(3, 200, 900, 950)]
+    runs += [(i, r, 10, 14) for i in range(10, 60) for r in (0, 1)]
+    runs = spark.createDataFrame(runs, "farm_id long, row long, col_lo long, col_hi long")
+    got = loss_shares(runs, words, GridSpec(10.0), [3, 70])
+    met = dilate(runs, [3, 70]).join(words, ["row", "word"])
+
+    def of(zone, bits):
+        return F.sum(F.bit_count(F.expr(f"({zone}) & {bits}")) * 100.0)
+
+    zones = {"": "own", "_3": "b_3 & ~own", "_70": "b_70 & ~own"}
+    want = met.groupBy("farm_id").agg(*[of(z, bits).alias(f"{n}_m2{x}") for x, z in zones.items() for n, bits in (("defo", "loss"), ("total", "valid"))])
+    want = {r["farm_id"]: r.asDict() for r in want.collect()}
+    rows = {r["farm_id"]: r.asDict() for r in got.collect()}
+    assert set(rows) == {1, 2, 3, *range(10, 60)} and rows[3]["total_m2_70"] is None
+    for k, row in want.items():
+        assert {c: v or 0.0 for c, v in rows[k].items()} == {c: v or 0.0 for c, v in row.items()}
+    text = got._jdf.queryExecution().executedPlan().toString()
+    above = text.split("SortMergeJoin [trow")[0]
+    assert "pos#" in above and all("pos#" not in line and "word#" not in line for line in above.splitlines() if "Exchange" in line)
