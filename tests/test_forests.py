@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,3 +187,34 @@ def test_a_fit_too_large_for_a_task_goes_level_by_level(rows, monkeypatch):
     monkeypatch.setattr(fo, "_grow_in_tasks", None)
     matrix = matrix_of(rows)
     assert fo.grow(matrix, forests_of(matrix), 2, 4, SEED).scores.count() > 0
+
+
+def test_gains_stand_for_the_nodes_and_no_node_row_is_made(rows, monkeypatch):
+    matrix = matrix_of(rows)
+    grown = fo.grow(matrix, forests_of(matrix), 5, 8, SEED, scored=False)
+    by_nodes = {(r["forest"], r["feature"]): r["importance"] for r in fo.importances(grown.nodes).collect()}
+    by_gains = {(r["forest"], r["feature"]): r["importance"] for r in fo.importances(grown.gains).collect()}
+    assert by_gains == pytest.approx(by_nodes) and len(by_gains) == 6
+    assert grown.gains.count() == grown.nodes.filter("feature >= 0").select("forest", "tree", "feature").distinct().count()
+    monkeypatch.setattr(fo, "cut_lineage", None)
+    assert fo.grow(matrix, forests_of(matrix), 5, 8, SEED, scored=False).scores is None
+
+
+def test_bundles_send_packed_sums_and_an_id_that_comes_twice_is_one_row(rows, monkeypatch):
+    """A row per forest and chunk from every bundle, not one per row scored."""
+    sent = []
+    monkeypatch.setattr(fo, "BUNDLE_PAIRS", 100)
+    matrix = matrix_of(rows.unionByName(rows.filter("farm_id < 130")))
+    forest = [fo.Forest((0, 2), 0, matrix.weights(0, 2))]
+    grown = fo.grow(matrix, forest, 6, 4, SEED)
+    scores = {r["farm_id"]: (r["trees"], r["p"]) for r in grown.scores.collect()}
+    by_level = {r["farm_id"]: (r["trees"], r["p"]) for r in fo.grow(matrix, forest, 6, 4, SEED, most_nodes=10**6).scores.collect()}
+    assert scores == by_level and len(scores) == 301 and scores[13][0] == 12 and scores[1300][0] == 6
+    chunk = fo._Chunk(matrix.score.first().asDict())
+    nodes = {"feature": np.array([-1], np.int8), "cut": np.zeros(1, np.int16), "left": np.array([-1], np.int32), "shares": np.array([[1, 2]])}
+    for first in (0, 1):
+        batch = list(fo._summed(chunk, 0, forest[0], 0, [(np.array([first]), nodes)], 16))
+        assert [b.num_rows for b in batch] == [1] and (batch[0]["ids"][0].as_py() is None) == bool(first)
+        sent += batch
+    total = fo._added_up(pa.Table.from_batches(sent), 2)
+    assert total.num_rows == 301 and set(total["s1"].to_pylist()) == {4, 8}
