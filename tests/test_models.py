@@ -224,3 +224,23 @@ def test_the_scoring_run_stores_what_it_selects(spark, frame, tmp_path):
     top = watch_list(run.scored, ["x"], 5).collect()
     clean = sorted(((-r["risk_score"], i) for i, r in scored.items() if r["risk_binary"] == "CLEAN" and r["risk_score"] is not None))
     assert [r["farm_id"] for r in top] == [i for _, i in clean[:5]]
+
+
+def test_regressions_of_all_variants_wait_in_one_line_with_few_tasks_each(spark, monkeypatch):
+    """A fit of few rows runs an iteration in one task, and no variant waits for another."""
+    rng = random.Random(5)
+    rows = [(i, rng.random(), rng.random(), "AFFECTED" if i % 3 else "CLEAN", ["LOW", "HIGH", "MEDIUM"][i % 3]) for i in range(240)]
+    frame = spark.createDataFrame(rows, "farm_id long, a double, b double, risk_binary string, risk_class string").repartition(7)
+    kind = type(frame)
+    lines, parts, together, coalesce = [], [], mo._together, kind.coalesce
+    monkeypatch.setattr(mo, "_together", lambda spark, jobs, parallel: (lines.append(len(jobs)), together(spark, jobs, parallel))[1])
+    monkeypatch.setattr(kind, "coalesce", lambda self, n: (parts.append(n), coalesce(self, n))[1])
+    settings = mo.Settings(max_iter=20, folds=3)
+    got = mo.variant_predictions(frame, {"one": ["a"], "two": ["a", "b"]}, (mo.BINARY, mo.THREE_CLASS), settings, ("LR",))
+    assert lines == [12, 4] and set(parts) == {1} and len(parts) == 12
+    assert got.groupBy("framing", "features").agg(F.countDistinct("farm_id").alias("n")).filter("n = 240").count() == 4
+    folded = mo.stratified_folds(frame, "risk_binary", 3)
+    alone = mo.cross_val_predict(folded, "LR", ["a", "b"], mo.BINARY, settings)
+    mine = got.filter("framing = 'binary' AND features = 'two'")
+    far = mine.join(alone.select("farm_id", F.col("score").alias("s")), "farm_id").filter("abs(score - s) > 1e-6").count()
+    assert far == 0 and alone.count() == mine.count() == 240
