@@ -117,3 +117,26 @@ def test_a_hot_tile_is_written_by_several_tasks(spark, tmp_path):
         spark.conf.set(size, before)
     assert len(glob.glob(f"{path}/cells/*/tile_row=0/tile=0_0/*.parquet")) > 3
     assert tiles.read_tiles(spark, path).count() == 200_000
+
+
+@pytest.mark.parametrize("most_tiles", [100_000, 3])
+def test_many_tiles_share_a_bounded_number_of_folders(spark, stored, tmp_path, monkeypatch, most_tiles):
+    """Files follow the bound, whatever the number of tiles; a region still gets its tiles and no other cells."""
+    path, cells = str(tmp_path), stored[1]
+    monkeypatch.setattr(tiles, "MOST_FOLDERS", 20)
+    tiles.create_tiles(spark, path, cells.schema, shift=5)
+    tiles.add_cells(cells.filter("v % 3 > 0"), path)
+    monkeypatch.setattr(tiles, "MOST_FOLDERS", 256)
+    tiles.add_cells(cells.filter("v % 3 = 0"), path)
+    first, second = sorted(glob.glob(f"{path}/cells/batch=*"))
+    assert 4 < len(glob.glob(f"{first}/*/*")) <= 20 and len(glob.glob(f"{second}/*/*")) > 150
+    mine, plain = (sorted(map(tuple, tiles.read_directory(spark, p).select("tile_row", "tile", "n_cells", "row_lo", "row_hi", "col_lo", "col_hi").collect()))
+                   for p in (path, stored[0]))
+    assert mine == plain
+    near = tiles.read_touching(spark, path, region(spark), most_tiles)
+    assert near.columns == cells.columns
+    if most_tiles > 3:
+        total = len(glob.glob(f"{path}/cells/batch=*/tile_row=*/tile=*/*.parquet"))
+        assert 0 < files_read(near) < total / 2
+    assert sorted(map(tuple, near.collect())) == sorted(map(tuple, tiles.read_touching(spark, stored[0], region(spark)).collect()))
+    assert sorted(map(tuple, tiles.read_tiles(spark, path).collect())) == sorted(map(tuple, cells.collect()))
