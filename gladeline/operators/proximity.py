@@ -1,16 +1,19 @@
 """Distance from parcel centroids to the nearest loss cell.
 
-Loss cells are packed twice: 8 x 8 cells into a BIGINT *block*, and 8 x 8 blocks into a BIGINT *sheet*
-saying which blocks hold any loss. A point probes the sheets its radius touches (a fixed number), keeps
-those that can beat the best upper bound, opens their blocks, prunes again, and measures cells only in the
-few blocks left. So the work per point is bounded however many loss cells lie around it, and the raster
-side of every join has one row per key.
+Loss cells are packed level by level: 8 x 8 cells into a BIGINT *block*, 8 x 8 blocks into a BIGINT *sheet*
+saying which blocks hold any loss, and, for a wide radius, 8 x 8 sheets into a *page*, and so on. A point probes
+the widest squares, of which its radius touches 25 at most, keeps the squares inside them that can beat the best
+upper bound, opens those, prunes again, and measures cells only in the few blocks left. So the work per point is
+bounded however many loss cells lie around it, only squares that can still win are shuffled, and the raster side of
+every join has one row per key.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +24,7 @@ from gladeline.operators.raster import prune
 from gladeline.session import cut_lineage
 
 BLOCK = 1 << BLOCK_SHIFT  # cells along a block
-SHEET = BLOCK * BLOCK  # cells along a sheet
+MOST_STEPS = 3  # widest squares that a radius reaches from one end to the other
 CAP_PX = 256  # search radius in cells
 
 
@@ -32,10 +35,10 @@ def loss_blocks(loss: DataFrame) -> DataFrame:
     )
 
 
-def _sheets(blocks: DataFrame) -> DataFrame:
-    return blocks.groupBy(block_of(F.col("brow")).alias("srow"), block_of(F.col("bcol")).alias("scol")).agg(
-        F.bit_or(one_bit(_place(F.col("brow"), F.col("bcol")))).alias("occupied")
-    )
+def _packed(squares: DataFrame) -> DataFrame:
+    """Squares ``(row, col)`` as bits of the squares 8 times as wide, ``(row, col, bits)``."""
+    row, col = F.col("row"), F.col("col")
+    return squares.groupBy(block_of(row).alias("row"), block_of(col).alias("col")).agg(F.bit_or(one_bit(_place(row, col))).alias("bits"))
 
 
 def own_blocks(farm_runs: DataFrame) -> DataFrame:
@@ -71,28 +74,64 @@ def _nearest2(first_row: Column, first_col: Column, size: int) -> Column:
     return dr * dr + dc * dc
 
 
-def _farthest2(first_row: Column, first_col: Column, size: int) -> Column:
-    """Squared cell distance from the point to the farthest cell of a square."""
-    dr = F.greatest(F.abs(F.col("prow") - first_row), F.abs(F.col("prow") - (first_row + (size - 1))))
-    dc = F.greatest(F.abs(F.col("pcol") - first_col), F.abs(F.col("pcol") - (first_col + (size - 1))))
-    return dr * dr + dc * dc
+def _least_farthest2(bits, prow, pcol, row, col, size: int) -> np.ndarray:
+    """Per row, the least squared cell distance to the farthest cell of one of the squares of ``size`` cells whose bits are set; no bit gives the largest BIGINT."""
+    def ends(at, first):
+        starts = [((first << BLOCK_SHIFT) + i) * size for i in range(BLOCK)]
+        return [np.maximum(np.abs(at - s), np.abs(at - (s + size - 1))) ** 2 for s in starts]
+
+    rows, cols = ends(prow, row), ends(pcol, col)
+    best = np.full(len(bits), np.iinfo(np.int64).max)
+    for i in range(BLOCK * BLOCK):
+        held = (bits >> i) & 1 == 1
+        np.minimum(best, rows[i >> BLOCK_SHIFT] + cols[i & (BLOCK - 1)], out=best, where=held)
+    return best
 
 
-def _prune(candidates: DataFrame, first_row: Column, first_col: Column, size: int, cap2: int) -> DataFrame:
-    """Keep the squares that can hold the nearest cell: none closer than the best certain distance is lost.
+def _opened(squares: DataFrame, size: int, cap2: int) -> DataFrame:
+    """The squares of ``size`` cells inside those of ``bits`` that can hold the nearest cell: ``farm_id, prow, pcol, row, col``.
 
-    The window holds one point's probes, whose number the search radius fixes.
+    None closer than the best certain distance is lost. That distance is found before the squares become rows, so the
+    window sorts a row per wider square, of which a point has few.
     """
-    of_point = Window.partitionBy("farm_id")
+    places = F.sequence(F.lit(0), F.lit(BLOCK * BLOCK - 1))
+
+    def inner(axis: str, place: Column) -> Column:
+        part = F.shiftright(place, BLOCK_SHIFT) if axis == "row" else low_bits(place, BLOCK_SHIFT)
+        return F.shiftleft(F.col(axis), BLOCK_SHIFT) + part
+
+    def corner(place: Column) -> tuple[Column, Column]:
+        return inner("row", place) * size, inner("col", place) * size
+
+    @F.arrow_udf("long")
+    def certain(bits: pa.Array, *ends: pa.Array) -> pa.Array:
+        return pa.array(_least_farthest2(bits.to_numpy(), *[e.to_numpy() for e in ends], size))
+
+    best2, place = F.min("certain").over(Window.partitionBy("farm_id")), F.col("place")
     return (
-        candidates.withColumn("near2", _nearest2(first_row, first_col, size))
-        .filter(F.col("near2") <= cap2)
-        .withColumn("best2", F.min(_farthest2(first_row, first_col, size)).over(of_point))
-        .filter(F.col("near2") <= F.col("best2"))
-        .drop("near2", "best2")
+        squares.withColumn("certain", certain("bits", "prow", "pcol", "row", "col"))
+        .withColumn("best2", F.least(best2, F.lit(cap2)))
+        .withColumn("place", F.explode(places))
+        .filter(has_bit(F.col("bits"), place) & (_nearest2(*corner(place), size) <= F.col("best2")))
+        .select("farm_id", "prow", "pcol", inner("row", place).alias("row"), inner("col", place).alias("col"))
     )
 
 
+def _left_by_level(touched: DataFrame, levels: list[DataFrame]) -> list[DataFrame]:
+    """Per level, the squares that a parcel's own loss changes and what is left in them, ``farm_id, row, col, left``."""
+    row, col = F.col("row"), F.col("col")
+    out = [touched.select("farm_id", F.col("brow").alias("row"), F.col("bcol").alias("col"), "left")]
+    for level in levels[1:]:
+        emptied = (
+            out[-1].filter(F.col("left") == 0)
+            .groupBy("farm_id", block_of(row).alias("row"), block_of(col).alias("col"))
+            .agg(F.bit_or(one_bit(_place(row, col))).alias("emptied"))
+        )
+        left = without(F.col("bits"), F.col("emptied")).alias("left")
+        out.append(join_to_unique(emptied, level, ["row", "col"]).select("farm_id", "row", "col", left))
+    return out
+
+
 def nearest_loss(
     points: DataFrame, loss: DataFrame, cap_px: float = CAP_PX, exclude: DataFrame | None = None, blocks: DataFrame | None = None,
 ) -> DataFrame:
@@ -109,56 +148,31 @@ def nearest_loss(
         "farm_id", F.col("crow").cast("long").alias("prow"), F.col("ccol").cast("long").alias("pcol")
     )
 
-    def span(center: Column) -> Column:
-        return F.sequence(F.shiftright(center - reach, 2 * BLOCK_SHIFT), F.shiftright(center + reach, 2 * BLOCK_SHIFT))
-
-    probes = at.withColumn("srow", F.explode(span(F.col("prow")))).withColumn("scol", F.explode(span(F.col("pcol"))))
-    sheet_row, sheet_col = F.shiftleft(F.col("srow"), 2 * BLOCK_SHIFT), F.shiftleft(F.col("scol"), 2 * BLOCK_SHIFT)
-    probes = probes.filter(_nearest2(sheet_row, sheet_col, SHEET) <= cap2)
-    found = join_to_unique(probes, _sheets(blocks), ["srow", "scol"])
-
-    touched = None
-    if exclude is not None:
-        # own blocks with loss in them, and what is left of that loss without the parcel's own cells
-        touched = own_loss_blocks(exclude, blocks)
-        emptied = (
-            touched.filter(F.col("left") == 0)
-            .groupBy("farm_id", block_of(F.col("brow")).alias("srow"), block_of(F.col("bcol")).alias("scol"))
-            .agg(F.bit_or(one_bit(_place(F.col("brow"), F.col("bcol")))).alias("emptied"))
-        )
-        others = without(F.col("occupied"), F.coalesce("emptied", F.lit(0).cast("long")))
-        found = (
-            found.join(emptied, ["farm_id", "srow", "scol"], "left")
-            .withColumn("occupied", others)
-            .filter(F.col("occupied") != 0)
-            .drop("emptied")
-        )
+    levels, shift = [blocks.select(F.col("brow").alias("row"), F.col("bcol").alias("col"), "bits")], BLOCK_SHIFT
+    while len(levels) < 2 or 2 * reach >> shift > MOST_STEPS:
+        levels.append(_packed(levels[-1]))
+        shift += BLOCK_SHIFT
+    own = None if exclude is None else _left_by_level(own_loss_blocks(exclude, blocks), levels)
 
-    open_sheets = _prune(found, sheet_row, sheet_col, SHEET, cap2)
-    inner = F.col("place")
-    in_sheet = (
-        open_sheets.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(SHEET - 1))))
-        .filter(has_bit(F.col("occupied"), inner))
-        .select(
-            "farm_id", "prow", "pcol",
-            (F.shiftleft(F.col("srow"), BLOCK_SHIFT) + F.shiftright(inner, BLOCK_SHIFT)).alias("brow"),
-            (F.shiftleft(F.col("scol"), BLOCK_SHIFT) + low_bits(inner, BLOCK_SHIFT)).alias("bcol"),
-        )
-    )
-    block_row, block_col = F.shiftleft(F.col("brow"), BLOCK_SHIFT), F.shiftleft(F.col("bcol"), BLOCK_SHIFT)
-    open_blocks = join_to_unique(_prune(in_sheet, block_row, block_col, BLOCK, cap2), blocks, ["brow", "bcol"])
-    if touched is not None:
-        open_blocks = (
-            open_blocks.join(touched, ["farm_id", "brow", "bcol"], "left")
-            .withColumn("bits", F.coalesce("left", "bits"))
-            .drop("left")
-        )
-
-    dr = block_row + F.shiftright(inner, BLOCK_SHIFT) - F.col("prow")
-    dc = block_col + low_bits(inner, BLOCK_SHIFT) - F.col("pcol")
+    def span(center: Column) -> Column:
+        return F.explode(F.sequence(F.shiftright(center - reach, shift), F.shiftright(center + reach, shift)))
+
+    found = at.withColumn("row", span(F.col("prow"))).withColumn("col", span(F.col("pcol")))
+    found = found.filter(_nearest2(F.shiftleft("row", shift), F.shiftleft("col", shift), 1 << shift) <= cap2)
+    for number, level in reversed(list(enumerate(levels))):
+        found = join_to_unique(found, level, ["row", "col"])
+        if own is not None:
+            found = found.join(own[number], ["farm_id", "row", "col"], "left").withColumn("bits", F.coalesce("left", "bits")).drop("left")
+            found = found.filter(F.col("bits") != 0)
+        if number:
+            found = _opened(found, 1 << number * BLOCK_SHIFT, cap2)
+
+    place = F.col("place")
+    dr = F.shiftleft("row", BLOCK_SHIFT) + F.shiftright(place, BLOCK_SHIFT) - F.col("prow")
+    dc = F.shiftleft("col", BLOCK_SHIFT) + low_bits(place, BLOCK_SHIFT) - F.col("pcol")
     nearest = (
-        open_blocks.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(SHEET - 1))))
-        .filter(has_bit(F.col("bits"), inner))
+        found.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(BLOCK * BLOCK - 1))))
+        .filter(has_bit(F.col("bits"), place))
         .select("farm_id", (dr * dr + dc * dc).alias("d2"))
         .filter(F.col("d2") <= cap2)
         .groupBy("farm_id")

@@ -17,7 +17,7 @@ from gladeline.session import cut_lineage
 
 TILE_ROWS, TILE_WORDS = 6, 2  # 64 rows of 4 words where buffers meet the raster
 SPREAD = 8  # copies of a tile, so that many parcels on one spot are many tasks' work
-PART_MARKS = 2_000_000  # words of buffers merged by a task
+PART_MARKS = 500_000  # words of buffers merged by a task: under 300 MB in hash maps
 
 
 def _all_ids(farm_runs: DataFrame, parcels: DataFrame | None, id_col: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -237,3 +238,40 @@ def test_buffers_meet_the_raster_by_tile_as_word_by_word(spark, monkeypatch):
     text = got._jdf.queryExecution().executedPlan().toString()
     above = text.split("SortMergeJoin [trow")[0]
     assert "pos#" in above and all("pos#" not in line and "word#" not in line for line in above.splitlines() if "Exchange" in line)
+
+
+def test_a_task_merges_half_a_million_words_at_most(spark):
+    """100 cells with buffers of 1,000 cells: 6.4 million words or more, known before anything is widened."""
+    runs = spark.createDataFrame([(i, 5000, 3000 + 40 * i, 3000 + 40 * i) for i in range(100)], "farm_id long, row long, col_lo long, col_hi long")
+    words = spark.createDataFrame([(5000, 50, -1, 1)], "row long, word long, valid long, loss long")
+    plan = loss_shares(runs, words, GridSpec(10.0), [1000])._jdf.queryExecution().optimizedPlan().toString()
+    parts = {int(n) for n in re.findall(r"RepartitionByExpression \[trow#.*\], (\d+)", plan)}
+    assert len(parts) == 1 and min(parts) >= 2 * 1001 * 32 * 100 // 500_000
+
+
+def test_a_wide_radius_joins_few_squares_of_a_point(spark, monkeypatch):
+    """Loss everywhere: of the seventy sheets around a point only those that can hold the nearest cell are shuffled."""
+    from gladeline.operators import proximity
+
+    sizes, join = [], proximity.join_to_unique
+
+    def counted(many, *rest, **more):
+        sizes.append(many.count())
+        return join(many, *rest, **more)
+
+    monkeypatch.setattr(proximity, "join_to_unique", counted)
+    lost = [(r, c) for r in range(-400, 400, 9) for c in range(-400, 400, 7)]
+    at = [(i, 13 * i - 130, 97 - 17 * i) for i in range(20)]
+    points = spark.createDataFrame(at, "farm_id long, crow long, ccol long")
+    got = {r[0]: r[1] for r in nearest_loss(points, spark.createDataFrame(lost, "row long, col long")).collect()}
+    assert all(round(got[i] ** 2) == brute((r, c), lost, 256) for i, r, c in at)
+    assert len(sizes) == 3 and max(sizes) <= 25 * len(at)
+
+
+def test_own_loss_that_fills_whole_sheets_is_no_bound(spark):
+    """All loss of the own sheets is the parcel's; beyond a wide radius it must not close the squares farther off."""
+    runs = spark.createDataFrame([(1, r, 0, 511) for r in range(64)], "farm_id long, row long, col_lo long, col_hi long")
+    lost = [(r, c) for r in range(0, 64, 5) for c in range(0, 512, 5)] + [(31, -200), (200, 700)]
+    points = spark.createDataFrame([(1, 31, 20)], "farm_id long, crow long, ccol long")
+    lost = spark.createDataFrame(lost, "row long, col long")
+    assert [r[1] for r in nearest_loss(points, lost, 256, runs).collect()] == [220.0]
