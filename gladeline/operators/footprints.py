@@ -191,8 +191,10 @@ def polygon_runs(farms: DataFrame, grid: GridSpec, id_col: str = "farm_id") -> D
     closed. Edge crossings with the centre line of every raster row are sorted and paired per row of a parcel.
     """
     size = F.lit(float(grid.cell_m))
+    # of a bare column Spark would first ask whether it has elements, by evaluating what it is made of (texts parsed) again
+    rings = F.filter("rings", lambda ring: ring.isNotNull())
     edges = (
-        farms.select(id_col, F.explode("rings").alias("ring"))
+        farms.select(id_col, F.explode(rings).alias("ring"))
         .select(
             id_col,
             F.explode(

@@ -101,12 +101,17 @@ def _link_tiles(batches, id_col: str, kind: pa.Schema):
     waiting = None
 
     def linked(rows: pa.Table):
+        def values(name):
+            column = rows[name]
+            # whole numbers by way of NumPy, several times faster
+            return column.to_numpy().tolist() if pa.types.is_integer(column.type) and not column.null_count else column.to_pylist()
+
         def tuples(*names):
-            return list(zip(*(rows[c].to_pylist() for c in names)))
+            return list(zip(*map(values, names)))
 
         tile, found, a = tuples(id_col, "ty", "tx"), [], 0
         keys, ons, lows = (tuples(*[f"{end}_{c}" for c in ("y", "x", "way")]) for end in ("at", "to", "low"))
-        lengths, steps = rows["length"].to_pylist(), rows["low_steps"].to_pylist()
+        lengths, steps = values("length"), values("low_steps")
         while a < len(tile):
             b = a + 1
             while b < len(tile) and tile[b] == tile[a]:

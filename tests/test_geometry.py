@@ -270,3 +270,11 @@ def test_ten_thousand_holes_on_one_row(spark):
     for part in parts:
         left, right = part[0][0][0], max(x for x, _ in part[0])
         assert all(left < ring[0][0] < right for ring in part[1:])
+
+
+def test_texts_are_parsed_once_on_the_way_to_runs(spark):
+    texts = spark.createDataFrame([(1, '{"type":"Polygon","coordinates":[[[0,0],[30,0],[30,20],[0,20],[0,0]]]}'), (2, None)], "farm_id long, geometry string")
+    got = polygon_runs(texts.repartition(1).select("farm_id", parse_rings(F.col("geometry")).alias("rings")), GridSpec(10.0))
+    assert sorted(map(tuple, got.collect())) == [(1, 0, 0, 2), (1, 1, 0, 2)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("get_json_object(") <= 2
