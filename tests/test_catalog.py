@@ -31,3 +31,11 @@ def test_every_sql_has_a_query():
 
 def test_entry(spark):
     assert entry(spark).count() == 10
+
+
+def test_watch_list_builds_one_mosaic(spark, monkeypatch):
+    from gladeline import standin
+
+    built, cells = [], standin.cells
+    monkeypatch.setattr(standin, "cells", lambda *at: built.append(at) or cells(*at))
+    assert queries()["watch_list"](spark, SF).count() <= 25 and len(built) == 1
