@@ -218,3 +218,45 @@ def test_bundles_send_packed_sums_and_an_id_that_comes_twice_is_one_row(rows, mo
         sent += batch
     total = fo._added_up(pa.Table.from_batches(sent), 2)
     assert total.num_rows == 301 and set(total["s1"].to_pylist()) == {4, 8}
+
+
+@pytest.mark.parametrize("step_pairs", [10, 40, 150])
+def test_nodes_of_many_rows_are_split_one_by_one_and_no_tree_is_kept(rows, monkeypatch, step_pairs):
+    """Nodes, gains and scores are those grown level by level, and a task that holds all rows keeps no tree to score them."""
+    monkeypatch.setattr(fo, "CHUNK_ROWS", 60)
+    matrix = matrix_of(rows)
+    by_level = fo.grow(matrix, forests_of(matrix), 4, 8, SEED, most_nodes=10**6)
+    monkeypatch.setattr(fo, "STEP_PAIRS", step_pairs)
+    monkeypatch.setattr(fo, "_sets", None)
+    in_tasks = fo.grow(matrix, forests_of(matrix), 4, 8, SEED)
+    for a, b, keys in ((by_level.nodes, in_tasks.nodes, ["forest", "tree", "path"]), (by_level.scores, in_tasks.scores, ["forest", "farm_id"])):
+        assert a.orderBy(*keys).collect() == b.orderBy(*keys).collect() != []
+    want = {tuple(r)[:3]: r["gain"] for r in by_level.gains.groupBy("forest", "tree", "feature").agg(F.sum("gain").alias("gain")).collect()}
+    got = [tuple(r) for r in in_tasks.gains.collect()]
+    assert {g[:3]: g[3] for g in got} == pytest.approx(want) and len(got) == len(want)
+
+
+def test_a_step_holds_few_rows_however_large_the_tree():
+    rng = np.random.default_rng(2)
+    n, step = 5000, 300
+    own, y, cells = rng.integers(0, 16, (3, n)).astype(np.uint8), rng.integers(0, 2, n).astype(np.int8), rng.integers(0, 16, (3, 4000)).astype(np.uint8)
+    forest, ids = fo.Forest((0, 1, 2), 0, (1.0, 1.0)), np.arange(n)
+    sizes, ended = [], np.zeros(4000, int)
+    for parts, nodes in fo._grown_parts(forest, 0, np.arange(2), own, y, lambda t: fo.bootstrap(ids, SEED, t), cells, 2, SEED, 16, 12, step):
+        sizes.append(sum(len(p.rows) for p in parts))
+        total = np.zeros((4000, 2), np.int64)
+        fo._add_shares(total, parts, nodes, np.ones((len(nodes["tree"]), 2), np.int64), cells, np.arange(3))
+        ended += total[:, 0]
+    assert max(sizes) <= step and len(sizes) > 20
+    assert (ended == 2).all()  # each row to be scored ends in one leaf of each tree
+
+
+def test_few_rows_to_train_on_are_held_and_the_others_streamed(rows, monkeypatch):
+    monkeypatch.setattr(fo, "CHUNK_ROWS", 60)
+    matrix = matrix_of(rows, fit_rows=60)
+    forest = [fo.Forest((0, 1, 2), 0, matrix.weights(0, 2))]
+    want = fo.grow(matrix, forest, 3, 4, SEED, most_nodes=10**6).scores.orderBy("farm_id").collect()
+    monkeypatch.setattr(fo, "TASK_ROWS", 200)
+    monkeypatch.setattr(fo, "_count_level", None)
+    assert matrix.n_rows <= 200 < matrix.n_all
+    assert fo.grow(matrix, forest, 3, 4, SEED).scores.orderBy("farm_id").collect() == want and len(want) == 301
