@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from gladeline.plans import forests
 from gladeline.plans import metrics as me
 from gladeline.plans import modelling as mo
 from gladeline.plans.lineage import sources_of
@@ -244,3 +245,17 @@ def test_regressions_of_all_variants_wait_in_one_line_with_few_tasks_each(spark,
     mine = got.filter("framing = 'binary' AND features = 'two'")
     far = mine.join(alone.select("farm_id", F.col("score").alias("s")), "farm_id").filter("abs(score - s) > 1e-6").count()
     assert far == 0 and alone.count() == mine.count() == 240
+
+
+def test_a_fit_sees_every_labelled_row(spark):
+    """More than a million rows, of which none is left out: the penalty and the weights of both models count them all."""
+    from gladeline.catalog import queries
+
+    n = 1_000_100
+    assert queries.SETTINGS == mo.Settings()
+    frame = spark.range(n).select(
+        F.col("id").alias("farm_id"), (F.col("id") % 97).cast("double").alias("x"), F.when(F.col("id") % 10 == 0, "AFFECTED").otherwise("CLEAN").alias("risk_binary"))
+    model = mo.fit_all(frame, ["x"], mo.BINARY, mo.Settings(max_iter=2))
+    assert model.stages[-1].getRegParam() == pytest.approx(1.0 / n, rel=1e-12)
+    matrix = forests.binned_matrix(frame, ["x"], [(mo.class_index(mo.BINARY), F.lit(None).cast("int"))], mo.Settings().fit_rows, mo.SEED)
+    assert matrix.counts == {(0, -1, 0): 900_090, (0, -1, 1): 100_010} and matrix.n_rows == matrix.n_all == n
