@@ -260,3 +260,34 @@ def test_few_rows_to_train_on_are_held_and_the_others_streamed(rows, monkeypatch
     monkeypatch.setattr(fo, "_count_level", None)
     assert matrix.n_rows <= 200 < matrix.n_all
     assert fo.grow(matrix, forest, 3, 4, SEED).scores.orderBy("farm_id").collect() == want and len(want) == 301
+
+
+def test_many_rows_that_differ_are_not_copied(monkeypatch):
+    """The same nodes and sums whether rows are put together or grown as they are held."""
+    rng = np.random.default_rng(4)
+    n, forests = 900, [fo.Forest((2, 0, 1), 0, (1.0, 2.0), 1), fo.Forest((2, 0, 1), 0, (1.0, 2.0))]
+    chunk = fo._Chunk({
+        "n": n, "ids": np.arange(n, dtype="<i8").tobytes(), "bins": rng.integers(0, 64, (n, 4)).astype(np.uint8).tobytes(),
+        "labels": rng.integers(-1, 2, (n, 1)).astype(np.int8).tobytes(), "folds": rng.integers(0, 3, (n, 1)).astype(np.int8).tobytes(),
+    })
+
+    def grown(at):
+        held, nodes, forest = fo._Held(n, forests), [], forests[at]
+        held.add(0, chunk)
+        cells, which = held.scored(forest, 64)
+        own, y, draws = held.trained(forest, 64, 2, SEED)
+        total = np.zeros((cells.shape[1], 2), np.int64)
+        columns = np.array([1, 2, 0, 0])
+        for parts, found in fo._grown_parts(forest, at, np.arange(3), own, y, draws, cells, 2, SEED, 64, 9, 200):
+            fo._add_shares(total, parts, found, fo._shares(found["counts"], np.array(forest.weights)), cells, columns)
+            numbers = np.array([p.number for p in parts])[found["tree"]]
+            nodes += zip(numbers.tolist(), *[found[c].tolist() for c in ("path", "feature", "cut")])
+        which = np.arange(n) if which is None else which
+        return np.shares_memory(own, held.bins), sorted(nodes), total[which[which >= 0]].tolist(), np.flatnonzero(which >= 0).tolist()
+
+    for at in (0, 1):
+        monkeypatch.setattr(fo, "MANY_ROWS", 1 << 21)
+        copied, *want = grown(at)
+        monkeypatch.setattr(fo, "MANY_ROWS", 0)
+        as_held, *got = grown(at)
+        assert not copied and as_held and got == want and len(want[0]) > 100
